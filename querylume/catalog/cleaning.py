@@ -14,7 +14,7 @@ TEXT_LOG = """
 , texts AS (
  SELECT query_id,
   CASE WHEN query_type = 'copy' THEN query_type
-   ELSE strftime(arrival_timestamp, '%Y-%m-%dT%H:%M:%S.%f') END AS at,
+   ELSE strftime(arrival_timestamp, '%Y-%m-%dT%H:%M:%S.%f') END AS stamp,
   CASE WHEN query_type = 'bogus' THEN 'NaN' WHEN query_type = 'copy' THEN query_type
    ELSE CAST(num_scans AS VARCHAR) || '.5' END AS amount
  FROM query_log
@@ -24,11 +24,11 @@ TEXT_LOG = """
 
 def text_log(log):
     kind = F.col("query_type")
-    at = F.date_format("arrival_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    stamp = F.date_format("arrival_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     amount = F.concat(F.col("num_scans").cast("string"), F.lit(".5"))
     return log.select(
         "query_id",
-        F.when(kind == "copy", kind).otherwise(at).alias("at"),
+        F.when(kind == "copy", kind).otherwise(stamp).alias("stamp"),
         F.when(kind == "bogus", "NaN").when(kind == "copy", kind).otherwise(amount).alias("amount"),
     )
 
@@ -43,17 +43,17 @@ def p2(log):
     return projections.project(log, ["query_id", "query_type", "was_cached"])
 
 
-@query("p3_to_ts_lenient", TEXT_LOG + "SELECT query_id, TRY_CAST(at AS TIMESTAMP) AS at FROM texts")
+@query("p3_to_ts_lenient", TEXT_LOG + "SELECT query_id, TRY_CAST(stamp AS TIMESTAMP) AS stamp FROM texts")
 def p3(log):
-    return text_log(log).select("query_id", casts.to_ts_lenient(F.col("at")).alias("at"))
+    return text_log(log).select("query_id", casts.to_ts_lenient(F.col("stamp")).alias("stamp"))
 
 
 @query("p4_to_ts_strict", """
-SELECT query_id, CAST(CAST(arrival_timestamp AS VARCHAR) AS TIMESTAMP) AS at FROM query_log
+SELECT query_id, CAST(CAST(arrival_timestamp AS VARCHAR) AS TIMESTAMP) AS stamp FROM query_log
 """)
 def p4(log):
     text = F.col("arrival_timestamp").cast("string")
-    return log.select("query_id", casts.to_ts_strict(text).alias("at"))
+    return log.select("query_id", casts.to_ts_strict(text).alias("stamp"))
 
 
 @query("p5_to_num_lenient", TEXT_LOG + """
@@ -96,10 +96,10 @@ def p8(log):
 
 
 @query("p9_clean_log", TEXT_LOG + """
-SELECT * FROM texts WHERE at IS NOT NULL AND TRY_CAST(at AS TIMESTAMP) IS NOT NULL
+SELECT * FROM texts WHERE stamp IS NOT NULL AND TRY_CAST(stamp AS TIMESTAMP) IS NOT NULL
 """)
 def p9(log):
-    return cleaning.clean_log(text_log(log), "at")
+    return cleaning.clean_log(text_log(log), "stamp")
 
 
 @query("p9_conform", """

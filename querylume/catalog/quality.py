@@ -67,20 +67,20 @@ def _one(rule):
   WHEN amount IS NOT NULL AND TRY_CAST(amount AS DOUBLE) IS NULL
    THEN 'amount expected int, found text'
   WHEN NOT isnan(TRY_CAST(amount AS DOUBLE)) THEN 'amount expected int, found float' END AS amount,
-  CASE WHEN at IS NOT NULL AND TRY_CAST(at AS TIMESTAMP) IS NULL
-   THEN 'at expected datetime64[ns], found text' END AS at
+  CASE WHEN stamp IS NOT NULL AND TRY_CAST(stamp AS TIMESTAMP) IS NULL
+   THEN 'stamp expected datetime64[ns], found text' END AS stamp
  FROM texts
 )
-SELECT query_id, concat_ws(' | ', amount, at) AS anomaly_description FROM wrong
-WHERE amount IS NOT NULL OR at IS NOT NULL
+SELECT query_id, concat_ws(' | ', amount, stamp) AS anomaly_description FROM wrong
+WHERE amount IS NOT NULL OR stamp IS NOT NULL
 """)
 def v1(log):
     texts = text_log(log)
     rules = [
         quality.rule_type(texts, "amount", "int"),
-        quality.rule_type(texts, "at", "datetime64[ns]"),
+        quality.rule_type(texts, "stamp", "datetime64[ns]"),
     ]
-    named = texts.withColumn("arrival_timestamp", F.col("at"))
+    named = texts.withColumn("arrival_timestamp", F.col("stamp"))
     return quality.anomalies(named, rules).select("query_id", "anomaly_description")
 
 

@@ -6,6 +6,7 @@ from querylume.catalog.core import query, rounded
 from querylume.catalog.summaries import M5
 from querylume.operators.joins import join_unique
 from querylume.plans import trend, views
+from querylume.sources.files import cached
 
 POINTS = M5 + """
 , points AS (SELECT CAST(x AS DOUBLE) AS x, y, ln(1 + y) AS z FROM m5 WHERE y IS NOT NULL)
@@ -42,6 +43,11 @@ PARABOLA = POINTS + """
 """
 
 
+def _points(log):
+    """One row per join count, computed from the log once and kept for the fit."""
+    return cached(views.compile_by_joins(log))
+
+
 @query("t1_ols", """
 SELECT round(regr_slope(compile_duration_ms, num_joins), 6) AS slope,
  round(regr_intercept(compile_duration_ms, num_joins), 6) AS intercept,
@@ -58,7 +64,7 @@ SELECT 'Linear' AS model, round(a, 6) AS a, round(b, 6) AS b, CAST(NULL AS DOUBL
 FROM line, scored
 """)
 def t2(log):
-    return rounded(trend.fit_linear(views.compile_by_joins(log)), "a", "b", "r2")
+    return rounded(trend.fit_linear(_points(log)), "a", "b", "r2")
 
 
 @query("t3_fit_quadratic", PARABOLA + """
@@ -67,12 +73,12 @@ SELECT 'Quadratic' AS model, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS
 FROM curve, scored
 """)
 def t3(log):
-    return rounded(trend.fit_quadratic(views.compile_by_joins(log)), "a", "b", "c", "r2")
+    return rounded(trend.fit_quadratic(_points(log)), "a", "b", "c", "r2")
 
 
 @query("t4_fit_exponential")
 def t4(log):
-    return rounded(trend.fit_exponential(views.compile_by_joins(log)), "a", "b", "r2")
+    return rounded(trend.fit_exponential(_points(log)), "a", "b", "r2")
 
 
 @query("t5_r2_of_means", """
@@ -92,4 +98,4 @@ def t5(log):
 
 @query("t6_best_fit")
 def t6(log):
-    return rounded(trend.best_fit(views.compile_by_joins(log)), "a", "b", "c", "r2")
+    return rounded(trend.best_fit(_points(log)), "a", "b", "c", "r2")

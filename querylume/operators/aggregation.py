@@ -52,14 +52,25 @@ def distinct_queries(df: DataFrame):
 # -- frequent items by sketch -------------------------------------------------
 
 
-def frequent_items_sketch(df: DataFrame, col: str, capacity: int, by=()) -> DataFrame:
-    """A mergeable frequent-items sketch of ``col`` (one row, or one per ``by``)."""
+def merge_sketches(sketches: DataFrame, capacity: int) -> DataFrame:
+    """All sketches as one; no row if there are none. Grouped by a constant, because
+    the combine function does not take the empty input of an ungrouped aggregate."""
+    merged = F.expr(f"approx_top_k_combine(sketch, {int(capacity)})").alias("sketch")
+    return sketches.groupBy(F.lit(0).alias("_all")).agg(merged).select("sketch")
+
+
+def frequent_items_sketch(df: DataFrame, col: str, capacity: int, slices=64) -> DataFrame:
+    """A mergeable frequent-items sketch of ``col``, as one row.
+
+    Built per slice of the input partitions first, so that on a big cluster the last
+    task merges ``slices`` sketches and not one from every task.
+    """
     made = F.expr(f"approx_top_k_accumulate({col}, {int(capacity)})").alias("sketch")
-    return df.groupBy(*by).agg(made)
+    sliced = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(slices)).alias("_slice")).agg(made)
+    return merge_sketches(sliced, capacity)
 
 
-def estimate_frequent(sketches: DataFrame, k: int, capacity: int, out="table_id") -> DataFrame:
-    """Merge sketches and list the ``k`` most frequent items with their counts."""
-    merged = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {int(capacity)})").alias("s"))
-    items = merged.select(F.explode(F.expr(f"approx_top_k_estimate(s, {int(k)})")).alias("i"))
+def estimate_frequent(sketch: DataFrame, k: int, out="table_id") -> DataFrame:
+    """The ``k`` most frequent items of a sketch with their counts."""
+    items = sketch.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {int(k)})")).alias("i"))
     return items.select(F.col("i.item").alias(out), F.col("i.count").alias("count"))

@@ -2,7 +2,9 @@
 
 ``ols`` runs on raw rows. The others take the summary with one row per join count
 (columns ``x``, ``y``), fit ``log1p(y)`` and score the fit on the original scale.
-Each returns one row: model, coefficients ``a``, ``b``, ``c`` and ``r2``.
+Each returns one row: model, coefficients ``a``, ``b``, ``c`` and ``r2``. A fit reads
+its points several times, so pass a stored summary or a persisted frame, not a lazy
+one over a whole log.
 """
 
 import math
@@ -102,15 +104,12 @@ def fit_quadratic(df: DataFrame) -> DataFrame:
 def fit_exponential(df: DataFrame, max_iter=100, tolerance=1e-12) -> DataFrame:
     """``log1p(y) = a*exp(b*x)`` by damped Gauss-Newton.
 
-    Every step is one aggregate over the cached summary, and only its few sums reach
-    the driver. A step that does not lower the error is retried with more damping.
+    Every step is one aggregate over the summary, and only its few sums reach the
+    driver. A step that does not lower the error is retried with more damping.
     Null coefficients if no start exists or the error is not finite.
     """
-    points = _points(df).persist()
-    try:
-        solved = _solve_exponential(points, max_iter, tolerance)
-    finally:
-        points.unpersist()
+    points = _points(df)
+    solved = _solve_exponential(points, max_iter, tolerance)
     a, b = solved if solved else (None, None)
     row = points.sparkSession.range(1).select(
         F.lit(a).cast("double").alias("a"),

@@ -49,18 +49,17 @@ def cached(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def write_balanced(df: DataFrame, path: str, partition_by, mode="overwrite") -> None:
+def write_balanced(df: DataFrame, path: str, partition_by) -> None:
     """Write partition folders with files of even size.
 
-    ``rebalance`` groups rows by folder, and AQE then splits folders that hold more
-    than their share and merges the small ones. Overwrite is per partition folder:
-    writing the same rows again replaces them.
+    ``rebalance`` groups rows by day where there is one, and AQE then splits days
+    that hold more than their share and merges the small ones. Overwrite is per
+    partition folder: writing the same rows again replaces them.
     """
-    partition_by = list(partition_by)
-    keys = [F.col(c) for c in partition_by]
+    by = [F.col("day")] if "day" in partition_by else []
     (
-        df.hint("rebalance", *keys)
-        .write.mode(mode)
+        df.hint("rebalance", *by)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
         .parquet(path)

@@ -89,10 +89,10 @@ def read_messages(spark, source: dict, max_rows=None) -> DataFrame:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Each message with its rows; ``rows`` is null when it cannot be read."""
-    return messages.select(
-        "value", F.from_json("value", T.ArrayType(TEXT_SCHEMA)).alias("rows")
-    )
+    """The rows of each message, or its text in ``value`` when it cannot be read
+    (``rows`` is null then)."""
+    decoded = messages.select("value", F.from_json("value", T.ArrayType(TEXT_SCHEMA)).alias("rows"))
+    return decoded.select(F.when(F.col("rows").isNull(), F.col("value")).alias("value"), "rows")
 
 
 def rows_of(decoded: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from querylume.schema import STREAM_COLUMNS
 from querylume.sources.messages import message_stream, parsed, rejected_of, rows_of
 from querylume.streaming.refresh import refresh_views
 from querylume.streaming.sinks import (
-    append_anomalies, append_ledger, append_log, append_rejected, append_sketch, archive_batch,
+    add_days, add_sketch, append_anomalies, append_log, append_rejected, archive_batch,
 )
 from querylume.streaming.store import LogStore
 
@@ -33,7 +33,7 @@ def ingest_batch(messages: DataFrame, batch_id: int, store: LogStore, *, dedupe=
     """Check and store one micro-batch.
 
     The decoded messages are kept for the duration of the batch, as every output
-    reads them. The ledger is written last: a batch on the ledger is complete.
+    reads them. Its days are added to the running counts once its rows are stored.
     ``refresh`` is ``"day_change"`` (when a day shows up for the first time),
     ``"batch"`` or ``"never"``.
     """
@@ -53,13 +53,10 @@ def ingest_batch(messages: DataFrame, batch_id: int, store: LogStore, *, dedupe=
         if archive:
             archive_batch(rows, batch_id, store)
         if sketch_capacity:
-            append_sketch(rows, batch_id, store, sketch_capacity)
-
-        known_days = store.read(spark, "ledger").filter(F.col("batch_id") < batch_id)
-        append_ledger(rows, batch_id, store)
-        if refresh == "batch" or (refresh == "day_change" and _has_new_day(
-                spark, store, batch_id, known_days)):
-            refresh_views(spark, store, batch_id=batch_id)
+            add_sketch(rows, batch_id, store, sketch_capacity)
+        add_days(rows, batch_id, store)
+        if refresh == "batch" or (refresh == "day_change" and _new_day(spark, store, batch_id)):
+            refresh_views(spark, store)
     finally:
         decoded.unpersist()
 
@@ -71,12 +68,11 @@ def _undated(texts):
     return texts.filter(bad).select(as_json.alias("value"))
 
 
-def _has_new_day(spark, store, batch_id, before):
-    mine = store.read(spark, "ledger").filter(
-        (F.col("batch_id") == batch_id) & F.col("day").isNotNull()
-    )
-    seen = before.select(F.col("day").alias("_day")).distinct()
-    return not mine.join(seen, F.col("day") == F.col("_day"), "left_anti").isEmpty()
+def _new_day(spark, store, batch_id):
+    """Whether the batch brought a day that no batch before it had."""
+    before = store.days(spark, before=batch_id).select(F.col("day").alias("_day"))
+    now = store.days(spark, before=batch_id + 1)
+    return not now.join(before, F.col("day") == F.col("_day"), "left_anti").isEmpty()
 
 
 def run_ingest(spark, source: dict, store: LogStore, checkpoint: str, *, max_rows=None,

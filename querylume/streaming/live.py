@@ -1,16 +1,17 @@
 """Live dashboard numbers: streaming aggregates kept in small snapshot tables.
 
 Each metric is a windowed aggregate with a watermark, so its state holds only recent
-windows. A micro-batch writes the windows it changed under its own ``batch_id``; a
-reader takes the newest version of each window.
+windows. A micro-batch merges the windows it changed into the snapshot the batch
+before it left (see ``slots``). Snapshots by query type and by table keep the days
+the watermark still covers; the reports over them are about the latest day.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from querylume.functions.numbers import count_if, count_rows, known, percent, safe_ratio
 from querylume.operators.explode import explode_read_write
 from querylume.operators.joins import join_day_totals
-from querylume.sources.files import write_balanced
+from querylume.streaming.slots import read_slot, write_slot
 from querylume.streaming.store import LogStore
 
 TS = "arrival_timestamp"
@@ -63,23 +64,45 @@ def live_tables(rows: DataFrame, lateness="4 days", include_one_sided=False) ->
     return _start(once.groupBy(_day_window(), "table_id").agg(count_rows().alias("count")))
 
 
+# name -> (stream of changed windows, its columns, its key, whether only recent days
+# are kept)
 METRICS = {
-    "headline": (live_headline, ["day"]),
-    "hit_rate": (live_hit_rate, ["bucket"]),
-    "types": (live_types, ["day", "query_type"]),
-    "tables": (live_tables, ["day", "table_id"]),
+    "headline": (
+        live_headline,
+        {"day": "date", "total_queries": "long", "hits": "long", "compile_sum": "double",
+         "compile_count": "long"},
+        ["day"], False,
+    ),
+    "hit_rate": (
+        live_hit_rate, {"bucket": "timestamp", "hits": "long", "queries": "long"},
+        ["bucket"], False,
+    ),
+    "types": (
+        live_types, {"day": "date", "query_type": "string", "count": "long"},
+        ["day", "query_type"], True,
+    ),
+    "tables": (
+        live_tables, {"day": "date", "table_id": "string", "count": "long"},
+        ["day", "table_id"], True,
+    ),
 }
 
 
+def _schema(name):
+    schema = T.StructType()
+    for column, kind in METRICS[name][1].items():
+        schema = schema.add(column, kind)
+    return schema
+
+
 def live_metrics(rows: DataFrame, store: LogStore, checkpoint: str, *, lateness="4 days",
                  trigger=None, metrics=None) -> list:
     """Start one streaming query per metric over a stream of typed rows."""
     started = []
     for name in metrics or METRICS:
-        build, _ = METRICS[name]
         query = (
-            build(rows, lateness).writeStream.outputMode("update")
-            .foreachBatch(_snapshot_writer(store.path(f"live/{name}")))
+            METRICS[name][0](rows, lateness).writeStream.outputMode("update")
+            .foreachBatch(_snapshot_writer(store, name, lateness))
             .option("checkpointLocation", f"{checkpoint}/{name}")
             .trigger(**(trigger or {"availableNow": True}))
             .start()
@@ -88,19 +111,30 @@ def live_metrics(rows: DataFrame, store: LogStore, checkpoint: str, *, lateness=
     return started
 
 
-def _snapshot_writer(path):
-    def write(df, batch_id):
-        write_balanced(df.withColumn("batch_id", F.lit(batch_id).cast("long")), path, ["batch_id"])
+def _snapshot_writer(store, name, lateness):
+    keys, recent_only = METRICS[name][2:]
+    schema = _schema(name)
+    path = store.path(f"live/{name}")
+
+    def write(changed, batch_id):
+        before = read_slot(changed.sparkSession, path, schema, before=batch_id)
+        versions = before.withColumn("_v", F.lit(0)).unionByName(changed.withColumn("_v", F.lit(1)))
+        values = [c for c in before.columns if c not in keys]
+        newest = F.max_by(F.struct(*values), "_v").alias("v")
+        merged = versions.groupBy(*keys).agg(newest).select(*keys, "v.*")
+        if recent_only:
+            bound = versions.agg(
+                F.to_date(F.max("day").cast("timestamp") - F.expr(f"INTERVAL {lateness}"))
+            ).scalar()
+            merged = merged.filter(F.col("day") >= bound)
+        write_slot(merged, path, batch_id)
+
     return write
 
 
 def live_snapshot(spark, store: LogStore, name: str) -> DataFrame:
-    """The newest version of each window of a metric."""
-    keys = METRICS[name][1]
-    versions = spark.read.parquet(store.path(f"live/{name}"))
-    values = [c for c in versions.columns if c not in (*keys, "batch_id")]
-    newest = F.max_by(F.struct(*values), "batch_id").alias("v")
-    return versions.groupBy(*keys).agg(newest).select(*keys, "v.*")
+    """The windows of a metric as of the newest batch."""
+    return read_slot(spark, store.path(f"live/{name}"), _schema(name))
 
 
 def headline_now(spark, store: LogStore) -> DataFrame:

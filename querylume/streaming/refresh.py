@@ -10,39 +10,32 @@ from querylume.streaming.store import LogStore
 def days_to_refresh(spark, store: LogStore) -> list:
     """Days that got rows since they were last refreshed, oldest first.
 
-    Both sides hold a row per batch and day, not log rows. The result is a list of
-    dates, bounded by the calendar.
+    Both sides hold one row per day, so the list is bounded by the calendar.
     """
-    written = (
-        store.read(spark, "ledger").filter(F.col("day").isNotNull())
-        .groupBy("day").agg(F.max("batch_id").alias("written"))
-    )
-    done = (
-        store.read(spark, "refreshed").groupBy(F.col("day").alias("_day"))
-        .agg(F.max("batch_id").alias("done"))
-    )
-    stale = written.join(done, F.col("day") == F.col("_day"), "left").filter(
-        F.col("done").isNull() | (F.col("done") < F.col("written"))
+    done = store.read(spark, "refreshed").withColumnRenamed("day", "_day")
+    days = store.days(spark)
+    stale = days.join(done, F.col("day") == F.col("_day"), "left").filter(
+        F.col("through").isNull() | (F.col("through") < F.col("last_batch"))
     )
     return sorted(r["day"] for r in stale.select("day").collect())
 
 
-def refresh_views(spark, store: LogStore, days=None, batch_id=None) -> list:
+def refresh_views(spark, store: LogStore, days=None) -> list:
     """Recompute the summaries of ``days`` (those that need it, for ``None``).
 
     Reads only those days' folders of the main table, and only the columns each
     summary uses; replaces those days' folders of the summaries. Running it again
-    changes nothing, so a failure between the writes only costs a repeat.
+    changes nothing, so a failure between the writes only costs a repeat. Not to be
+    run next to a stream that refreshes the same store itself.
     """
-    days = days_to_refresh(spark, store) if days is None else list(days)
+    days = days_to_refresh(spark, store) if days is None else sorted(days)
     if not days:
         return days
-    main = store.read(spark, "main").filter(F.col("day").isin(*days))
+    through = store.days(spark).filter(F.col("day").isin(*days)).select(
+        F.col("last_batch").alias("through"), "day"
+    )
+    main = store.read_days(spark, "main", days)
     for name, (counts, _) in SUMMARIES.items():
         write_balanced(counts(main), store.summary_path(name), ["day"])
-    through = batch_id
-    if through is None:
-        through = store.read(spark, "ledger").agg(F.max("batch_id")).first()[0]
-    done = spark.createDataFrame([(d, through) for d in days], "day date, batch_id long")
-    write_balanced(done, store.path("refreshed"), ["batch_id"])
+    write_balanced(through, store.path("refreshed"), ["day"])
     return days

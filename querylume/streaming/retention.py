@@ -12,7 +12,7 @@ def retained(df: DataFrame, days=DAYS_KEPT, newest: DataFrame = None) -> DataFra
     """Rows of the last ``days`` days up to the newest one.
 
     ``newest`` is a frame whose ``day`` names the days seen (the rows themselves by
-    default; the ledger is cheaper). The bound is a scalar subquery on the partition
+    default; a store's ``days`` is cheaper). The bound is a scalar subquery on the partition
     column, so expired folders are not read.
     """
     seen = df if newest is None else newest
@@ -21,7 +21,7 @@ def retained(df: DataFrame, days=DAYS_KEPT, newest: DataFrame = None) -> DataFra
 
 
 def retained_main(spark, store: LogStore, days=DAYS_KEPT) -> DataFrame:
-    return retained(store.read(spark, "main"), days, store.read(spark, "ledger"))
+    return retained(store.read(spark, "main"), days, store.days(spark))
 
 
 def expired_days(spark, table: str, days=DAYS_KEPT) -> list:

@@ -4,10 +4,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from querylume.functions.lists import ids_or_empty
 from querylume.functions.numbers import count_rows
-from querylume.operators.aggregation import estimate_frequent, frequent_items_sketch
+from querylume.operators.aggregation import (
+    estimate_frequent, frequent_items_sketch, merge_sketches,
+)
 from querylume.operators.explode import explode_accesses
 from querylume.operators.projections import with_day
 from querylume.sources.files import write_balanced
+from querylume.streaming.slots import read_slot, write_slot
 from querylume.streaming.store import LogStore
 
 
@@ -35,35 +38,40 @@ def append_rejected(rejected: DataFrame, batch_id: int, store: LogStore) -> None
     write_balanced(_tagged(rejected, batch_id), store.path("rejected"), ["batch_id"])
 
 
-def append_ledger(df: DataFrame, batch_id: int, store: LogStore) -> None:
-    """Rows and table accesses per day of this batch. The row without a day marks
-    the batch itself, so a batch without rows is on record too."""
+def add_days(df: DataFrame, batch_id: int, store: LogStore) -> None:
+    """Add this batch's rows and table accesses to the running counts per day."""
     accesses = F.size(ids_or_empty(F.col("read_table_ids"))) + F.size(
         ids_or_empty(F.col("write_table_ids"))
     )
-    per_day = with_day(df).groupBy("day").agg(
-        count_rows().alias("rows"), F.sum(accesses).cast("long").alias("table_accesses")
+    mine = with_day(df).groupBy("day").agg(
+        count_rows().alias("rows"), F.sum(accesses).cast("long").alias("table_accesses"),
+        F.lit(batch_id).cast("long").alias("last_batch"),
     )
-    mark = df.sparkSession.range(1).selectExpr(
-        "CAST(NULL AS DATE) AS day", "0L AS rows", "0L AS table_accesses"
+    known = store.days(df.sparkSession, before=batch_id)
+    total = known.unionByName(mine).groupBy("day").agg(
+        F.sum("rows").alias("rows"), F.sum("table_accesses").alias("table_accesses"),
+        F.max("last_batch").alias("last_batch"),
     )
-    entry = _tagged(per_day.unionByName(mark), batch_id)
-    write_balanced(entry, store.path("ledger"), ["batch_id"])
+    write_slot(total, store.path("days"), batch_id)
 
 
-def append_sketch(df: DataFrame, batch_id: int, store: LogStore, capacity: int) -> None:
-    """A frequent-tables sketch of this batch; sketches of all batches merge later."""
-    sketch = frequent_items_sketch(explode_accesses(df, []), "table_id", capacity)
-    write_balanced(_tagged(sketch, batch_id), store.path("sketches"), ["batch_id"])
+def add_sketch(df: DataFrame, batch_id: int, store: LogStore, capacity: int) -> None:
+    """Merge this batch's frequent tables into the running sketch."""
+    mine = frequent_items_sketch(explode_accesses(df, []), "table_id", capacity)
+    known = read_slot(df.sparkSession, store.path("sketch"), mine.schema, before=batch_id)
+    merged = merge_sketches(known.unionByName(mine), capacity)
+    write_slot(merged, store.path("sketch"), batch_id)
 
 
 def top_tables_approx(df: DataFrame, k=10, capacity=10_000) -> DataFrame:
     """Most accessed tables by sketch: one small state per task, no shuffle of ids.
     Exact while there are fewer tables than ``capacity`` can track."""
-    sketches = frequent_items_sketch(explode_accesses(df, []), "table_id", capacity)
-    return estimate_frequent(sketches, k, capacity)
+    sketch = frequent_items_sketch(explode_accesses(df, []), "table_id", capacity)
+    return estimate_frequent(sketch, k)
 
 
-def top_tables_seen(spark, store: LogStore, k=10, capacity=10_000) -> DataFrame:
-    """Most accessed tables over everything ingested, from the stored sketches."""
-    return estimate_frequent(spark.read.parquet(store.path("sketches")), k, capacity)
+def top_tables_seen(spark, store: LogStore, k=10) -> DataFrame:
+    """Most accessed tables over everything ingested, from the running sketch."""
+    versions = spark.read.option("ignoreMissingFiles", "true").parquet(store.path("sketch"))
+    newest = versions.agg(F.max("batch_id")).scalar()
+    return estimate_frequent(versions.filter(F.col("batch_id") == newest), k)

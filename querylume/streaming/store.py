@@ -1,8 +1,9 @@
 """Where the ingest keeps its tables, and how they are read back.
 
-All tables are Parquet folders below one root. Every table a micro-batch writes is
-partitioned by ``batch_id`` and written with per-partition overwrite, so a batch
-that is replayed after a failure replaces its own rows.
+All tables are Parquet folders below one root, which belongs to one streaming
+checkpoint. Every write of a micro-batch goes to folders of its own ``batch_id`` (or
+slot, see ``slots``) with per-partition overwrite, so a batch that is replayed after
+a failure replaces its own rows.
 """
 
 from dataclasses import dataclass
@@ -12,29 +13,24 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from querylume.plans.views import SUMMARIES
 from querylume.schema import ANOMALY_SCHEMA, LOG_SCHEMA
+from querylume.streaming.slots import read_slot
 
 _BATCH = [T.StructField("batch_id", T.LongType())]
 _DAY = [T.StructField("day", T.DateType())]
 
-MAIN_SCHEMA = T.StructType(LOG_SCHEMA.fields + _DAY + _BATCH)
-ANOMALIES_SCHEMA = T.StructType(ANOMALY_SCHEMA.fields + _DAY + _BATCH)
-REJECTED_SCHEMA = T.StructType(
-    [T.StructField("value", T.StringType()), T.StructField("reason", T.StringType())] + _BATCH
-)
-LEDGER_SCHEMA = T.StructType(
-    _DAY + [T.StructField("rows", T.LongType()), T.StructField("table_accesses", T.LongType())]
-    + _BATCH
-)
-REFRESH_SCHEMA = T.StructType(_DAY + _BATCH)
-
 _SCHEMAS = {
-    "main": MAIN_SCHEMA,
-    "archive": MAIN_SCHEMA,
-    "anomalies": ANOMALIES_SCHEMA,
-    "rejected": REJECTED_SCHEMA,
-    "ledger": LEDGER_SCHEMA,
-    "refreshed": REFRESH_SCHEMA,
+    "main": T.StructType(LOG_SCHEMA.fields + _DAY + _BATCH),
+    "archive": T.StructType(LOG_SCHEMA.fields + _DAY + _BATCH),
+    "anomalies": T.StructType(ANOMALY_SCHEMA.fields + _DAY + _BATCH),
+    "rejected": T.StructType(
+        [T.StructField("value", T.StringType()), T.StructField("reason", T.StringType())] + _BATCH
+    ),
+    "refreshed": T.StructType([T.StructField("through", T.LongType())] + _DAY),
 }
+# One row per day seen: its rows, its table accesses, the last batch that added some.
+DAYS_SCHEMA = T.StructType(
+    _DAY + [T.StructField(c, T.LongType()) for c in ("rows", "table_accesses", "last_batch")]
+)
 
 
 @dataclass(frozen=True)
@@ -57,6 +53,16 @@ class LogStore:
                 raise
             return spark.createDataFrame([], schema)
 
+    def read_days(self, spark, table: str, days) -> DataFrame:
+        """Some days of a table, listing no other day's folder."""
+        paths = [f"{self.path(table)}/day={d}" for d in days]
+        reader = spark.read.schema(_SCHEMAS[table]).option("basePath", self.path(table))
+        return reader.parquet(*paths)
+
+    def days(self, spark, before=None) -> DataFrame:
+        """What was ingested per day, as of the newest batch (before ``before``)."""
+        return read_slot(spark, self.path("days"), DAYS_SCHEMA, before)
+
     def stored_counts(self, spark, name: str) -> DataFrame:
         """The additive counts of a summary, as last refreshed."""
         return spark.read.parquet(self.summary_path(name))
@@ -67,10 +73,8 @@ class LogStore:
 
 
 def running_total(spark, store: LogStore) -> DataFrame:
-    """Elements seen so far, by key. Summed over the ledger, which holds one row per
-    batch and day; a replayed batch replaces its rows and is not counted twice."""
-    ledger = store.read(spark, "ledger").filter(F.col("day").isNotNull())
-    totals = ledger.agg(
+    """Elements seen so far, by key."""
+    totals = store.days(spark).agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"),
         F.coalesce(F.sum("table_accesses"), F.lit(0)).alias("total_tables"),
     )
