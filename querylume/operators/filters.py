@@ -49,17 +49,21 @@ def where_optional(df: DataFrame, query_type=None, user_id=None) -> DataFrame:
     return df
 
 
-def latest_day(df: DataFrame, ts=TS) -> DataFrame:
+def latest_day(df: DataFrame, ts=TS, days: DataFrame = None) -> DataFrame:
     """Rows of the last day that has any.
 
     The day comes from a scalar subquery. On a day-partitioned frame it prunes
     partitions; otherwise it is a range on the timestamp that the Parquet scan
-    checks against row-group statistics.
+    checks against row-group statistics. ``days`` may name a small frame whose
+    ``day`` lists the days there are (such as a store's ``days``), which saves the
+    pass over the log that finds the last one.
     """
     if "day" in df.columns:
-        return df.filter(F.col("day") == df.agg(F.max("day")).scalar())
+        newest = (df if days is None else days).agg(F.max("day")).scalar()
+        return df.filter(F.col("day") == newest)
     kind = df.schema[ts].dataType
-    last = df.agg(F.to_date(F.max(ts)).alias("d"))
+    found = F.to_date(F.max(ts)) if days is None else F.max("day")
+    last = (df if days is None else days).agg(found.alias("d"))
     first_instant = last.select(F.col("d").cast(kind)).scalar()
     next_instant = last.select(F.date_add("d", 1).cast(kind)).scalar()
     return df.filter((F.col(ts) >= first_instant) & (F.col(ts) < next_instant))

@@ -97,30 +97,31 @@ def headline_range(df: DataFrame, start=None, end=None) -> DataFrame:
 # -- latest day ---------------------------------------------------------------
 
 
-def fifth_minute_hit_rate(df: DataFrame) -> DataFrame:
-    """Hit rate of each minute divisible by five, on the latest day."""
-    rows = minute_multiple(latest_day(df), 5)
+def fifth_minute_hit_rate(df: DataFrame, days=None) -> DataFrame:
+    """Hit rate of each minute divisible by five, on the latest day. ``days`` as in
+    ``latest_day``, here and below."""
+    rows = minute_multiple(latest_day(df, days=days), 5)
     return rows.groupBy(floor_to(df, TS, "minute").alias("minute")).agg(
         percent(count_if(F.col("was_cached") == 1), count_rows())
         .alias("total_hit_rate_per_5_minutes")
     )
 
 
-def latest_type_share(df: DataFrame, k=8) -> DataFrame:
+def latest_type_share(df: DataFrame, k=8, days=None) -> DataFrame:
     """Distinct queries by type on the latest day, as a share of all its queries."""
-    today = latest_day(df)
+    today = latest_day(df, days=days)
     shares = distinct_query_counts(today, "query_type").withColumn(
         "overall_percentage", percent(F.col("count"), distinct_queries(today))
     )
     return top_k(shares, "count", k, tie_keys=["query_type"])
 
 
-def latest_table_share(df: DataFrame, k=None, include_one_sided=False) -> DataFrame:
+def latest_table_share(df: DataFrame, k=None, include_one_sided=False, days=None) -> DataFrame:
     """Tables used on the latest day by share of its distinct queries.
 
     By default a query counts only if it has both a read and a write list.
     """
-    today = latest_day(df)
+    today = latest_day(df, days=days)
     uses = explode_read_write(today, include_one_sided, once=True)
     shares = distinct_query_counts(uses, "table_id").withColumn(
         "overall_percentage", percent(F.col("count"), distinct_queries(today))

@@ -1,0 +1,79 @@
+import math
+
+import pytest
+
+from querylume.plans import trend
+
+
+def curve(spark, f, xs=range(10)):
+    return spark.createDataFrame(
+        [(x, math.expm1(f(x))) for x in xs], "x int, y double").cache()
+
+
+def test_a_line_is_found(spark):
+    fit = trend.fit_linear(curve(spark, lambda x: 0.3 * x + 1)).first()
+    assert (fit.a, fit.b, fit.r2) == (pytest.approx(0.3), pytest.approx(1.0), pytest.approx(1.0))
+
+
+def test_a_parabola_is_found(spark):
+    fit = trend.fit_quadratic(curve(spark, lambda x: 0.02 * x * x - 0.1 * x + 2)).first()
+    assert fit.a == pytest.approx(0.02) and fit.b == pytest.approx(-0.1)
+    assert fit.c == pytest.approx(2.0) and fit.r2 == pytest.approx(1.0)
+
+
+def test_an_exponential_is_found(spark):
+    fit = trend.fit_exponential(curve(spark, lambda x: 0.5 * math.exp(0.2 * x))).first()
+    assert fit.a == pytest.approx(0.5, abs=1e-6) and fit.b == pytest.approx(0.2, abs=1e-6)
+    assert fit.r2 == pytest.approx(1.0)
+
+
+def test_a_noisy_exponential_is_a_least_squares_point(spark):
+    """No small change of the coefficients lowers the error."""
+    noise = [0.05, -0.04, 0.02, 0.0, -0.03, 0.04, -0.01, 0.02, -0.05, 0.03]
+    zs = [0.8 * math.exp(0.1 * x) + n for x, n in enumerate(noise)]
+    df = spark.createDataFrame([(x, math.expm1(z)) for x, z in enumerate(zs)], "x int, y double")
+    fit = trend.fit_exponential(df.cache()).first()
+
+    def sse(a, b):
+        return sum((z - a * math.exp(b * x)) ** 2 for x, z in enumerate(zs))
+
+    best = sse(fit.a, fit.b)
+    for da in (-1e-4, 0, 1e-4):
+        for db in (-1e-4, 0, 1e-4):
+            assert best <= sse(fit.a + da, fit.b + db) + 1e-12
+
+
+@pytest.mark.parametrize("f, model", [
+    (lambda x: 0.02 * (x - 4) ** 2 + 1, "Quadratic"),
+    (lambda x: 0.3 * x + 1, "Linear"),
+    (lambda x: 0.2 * math.exp(0.35 * x), "Exponential"),
+])
+def test_the_best_model_wins(spark, f, model):
+    best = trend.best_fit(curve(spark, f)).first()
+    assert best.r2 == pytest.approx(1.0)
+    # A line is also a parabola with a = 0: equal up to rounding, either may win.
+    assert best.model == model or model == "Linear" and best.model == "Quadratic"
+
+
+def test_nothing_to_fit(spark):
+    none = spark.createDataFrame([], "x int, y double")
+    assert trend.best_fit(none).first().model is None
+    flat = spark.createDataFrame([(1, 2.0)], "x int, y double")
+    assert trend.best_fit(flat).first().model is None
+
+
+def test_unknown_means_are_left_out(spark):
+    df = spark.createDataFrame(
+        [(0, math.expm1(1.0)), (1, None), (2, math.expm1(3.0)), (3, float("nan"))],
+        "x int, y double")
+    fit = trend.fit_linear(df).first()
+    assert (fit.a, fit.b) == (pytest.approx(1.0), pytest.approx(1.0))
+
+
+def test_line_through_raw_rows(make_log):
+    log = make_log(*[{"num_joins": x, "compile_duration_ms": 2.0 * x + 1} for x in range(5)],
+                   {"query_type": "copy", "compile_duration_ms": 999.0},
+                   {"compile_duration_ms": None})
+    fit = trend.ols(log, query_type="SELECT").first()
+    assert (fit.slope, fit.intercept, fit.r2) == (
+        pytest.approx(2.0), pytest.approx(1.0), pytest.approx(1.0))
