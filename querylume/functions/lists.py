@@ -27,9 +27,9 @@ def concat_present_lists(a: Column, b: Column) -> Column:
 def common_ids(col: Column, ids) -> Column:
     """Ids of the list that are also in ``ids``, each once, sorted."""
     wanted = F.array(*[F.lit(i) for i in ids])
-    return F.array_sort(F.array_intersect(F.split(F.coalesce(col, F.lit("")), ","), wanted))
+    return F.sort_array(F.array_intersect(F.split(F.coalesce(col, F.lit("")), ","), wanted))
 
 
 def join_texts(parts, sep=" | ") -> Column:
     """The non-null texts joined by ``sep``."""
-    return F.array_join(F.array_compact(F.array(*parts)), sep)
+    return F.concat_ws(sep, *parts)

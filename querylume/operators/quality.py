@@ -108,14 +108,15 @@ def default_rules(df: DataFrame) -> list:
 def anomalies(df: DataFrame, rules=None) -> DataFrame:
     """One row per offending log row, its messages joined in rule order.
 
-    A projection and a filter: no shuffle, however many rules there are.
+    One pass without a shuffle, however many rules there are. Rows without a message
+    are left out by exploding an empty array rather than by a filter: a filter would
+    be pushed below the projection that derives the columns, and derive each column
+    again for every rule that reads it.
     """
     rules = default_rules(df) if rules is None else rules
-    typed = {c: _typed_key(df, c) for c in ("arrival_timestamp", "query_id")}
-    return df.select(
-        *[col.alias(name) for name, col in typed.items()],
-        join_texts(rules, SEPARATOR).alias("anomaly_description"),
-    ).filter(F.col("anomaly_description") != "")
+    keys = [_typed_key(df, c).alias(c) for c in ("arrival_timestamp", "query_id")]
+    found = F.array_remove(F.array(join_texts(rules, SEPARATOR)), "")
+    return df.select(*keys, F.explode(found).alias("anomaly_description"))
 
 
 def _typed_key(df, name):

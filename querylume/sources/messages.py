@@ -41,10 +41,9 @@ def to_batches(df: DataFrame, n=ROWS_PER_MESSAGE, ts="arrival_timestamp", slices
         F.struct(*rows.columns).alias("row"),
     )
     grouped = placed.groupBy("slice", F.floor(F.col("place") / n).alias("chunk")).agg(
-        F.array_sort(F.collect_list(F.struct("place", "row"))).alias("items")
+        F.sort_array(F.collect_list(F.struct("place", "row"))).alias("items")
     )
-    ordered = F.transform("items", lambda i: i["row"])
-    return grouped.select("slice", "chunk", F.to_json(ordered, JSON_OPTIONS).alias("value"))
+    return grouped.select("slice", "chunk", F.to_json("items.row", JSON_OPTIONS).alias("value"))
 
 
 def to_messages(df: DataFrame, n=PREVIEW_ROWS) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from querylume.functions.casts import to_ts_lenient
+from querylume.jobs import run_together
 from querylume.operators.cleaning import clean_log, conform
 from querylume.operators.quality import anomalies
 from querylume.schema import STREAM_COLUMNS
@@ -33,7 +34,8 @@ def ingest_batch(messages: DataFrame, batch_id: int, store: LogStore, *, dedupe=
     """Check and store one micro-batch.
 
     The decoded messages are kept for the duration of the batch, as every output
-    reads them. Its days are added to the running counts once its rows are stored.
+    reads them. The first write fills that cache, the others then run side by side.
+    The batch's days are added to the running counts once its rows are stored.
     ``refresh`` is ``"day_change"`` (when a day shows up for the first time),
     ``"batch"`` or ``"never"``.
     """
@@ -45,15 +47,17 @@ def ingest_batch(messages: DataFrame, batch_id: int, store: LogStore, *, dedupe=
 
         unreadable = rejected_of(decoded).withColumn("reason", F.lit(UNREADABLE))
         undated = _undated(texts).withColumn("reason", F.lit(UNDATED))
-        append_rejected(unreadable.unionByName(undated), batch_id, store)
-
         rows = clean_log(conform(texts))
         rows = drop_duplicates(rows) if dedupe else rows
-        append_log(rows, batch_id, store)
+        writes = [
+            lambda: append_rejected(unreadable.unionByName(undated), batch_id, store),
+            lambda: append_log(rows, batch_id, store),
+        ]
         if archive:
-            archive_batch(rows, batch_id, store)
+            writes.append(lambda: archive_batch(rows, batch_id, store))
         if sketch_capacity:
-            add_sketch(rows, batch_id, store, sketch_capacity)
+            writes.append(lambda: add_sketch(rows, batch_id, store, sketch_capacity))
+        run_together(spark, *writes)
         add_days(rows, batch_id, store)
         if refresh == "batch" or (refresh == "day_change" and _new_day(spark, store, batch_id)):
             refresh_views(spark, store)

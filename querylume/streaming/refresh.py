@@ -1,7 +1,10 @@
 """Refresh of the stored summaries."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
+from querylume.jobs import run_together
 from querylume.plans.views import SUMMARIES
 from querylume.sources.files import write_balanced
 from querylume.streaming.store import LogStore
@@ -35,7 +38,9 @@ def refresh_views(spark, store: LogStore, days=None) -> list:
         F.col("last_batch").alias("through"), "day"
     )
     main = store.read_days(spark, "main", days)
-    for name, (counts, _) in SUMMARIES.items():
-        write_balanced(counts(main), store.summary_path(name), ["day"])
+    run_together(spark, *[
+        partial(write_balanced, counts(main), store.summary_path(name), ["day"])
+        for name, (counts, _) in SUMMARIES.items()
+    ])
     write_balanced(through, store.path("refreshed"), ["day"])
     return days
