@@ -235,7 +235,9 @@ def f_texts(log):
         "query_id", F.size(lists.split_ids(reads)).cast("bigint").alias("ids"),
         lists.concat_lists(reads, writes).alias("joined"),
         lists.join_texts([F.col("query_type"), reads]).alias("messages"),
-        F.array_join(lists.common_ids(reads, ["00", "000", "0000"]), ",").alias("bad"),
+        F.coalesce(
+            F.array_join(lists.common_ids(reads, ["00", "000", "0000"]), ","), F.lit("")
+        ).alias("bad"),
     )
 
 

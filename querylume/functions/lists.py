@@ -1,5 +1,8 @@
 """Comma lists held as text."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 
@@ -25,9 +28,11 @@ def concat_present_lists(a: Column, b: Column) -> Column:
 
 
 def common_ids(col: Column, ids) -> Column:
-    """Ids of the list that are also in ``ids``, each once, sorted."""
+    """Ids of the list that are also in ``ids``, each once, sorted; null when the text
+    does not even contain one of them, which spares most rows the split."""
     wanted = F.array(*[F.lit(i) for i in ids])
-    return F.sort_array(F.array_intersect(F.split(F.coalesce(col, F.lit("")), ","), wanted))
+    mentioned = reduce(or_, [col.contains(i) for i in ids])
+    return F.when(mentioned, F.sort_array(F.array_intersect(F.split(col, ","), wanted)))
 
 
 def join_texts(parts, sep=" | ") -> Column:

@@ -5,13 +5,16 @@ per day, and ``*_shares`` turns counts into the percentages a reader sees. Only
 counts are stored (see ``refresh``), since every overall percentage changes
 whenever a day arrives.
 
-Day totals are computed from the already grouped counts and joined back as one row
-per date. A window over ``day`` would give the same numbers but pull all groups of
-a day into one task.
+Day totals are joined back as one row per date. A window over ``day`` would give the
+same numbers but pull all groups of a day into one task. From a log they come from a
+second, narrow scan that needs no shuffle of log rows: grouping the counts again
+would cost as much as grouping them the first time when most groups are small.
+From stored counts they are summed up.
 """
 
 from pyspark.sql import DataFrame, functions as F
 
+from querylume.functions.lists import ids_or_empty
 from querylume.functions.numbers import count_if, count_rows, known, percent, safe_ratio
 from querylume.operators.explode import explode_accesses, explode_ids
 from querylume.operators.filters import between_ts, of_type, present
@@ -19,14 +22,17 @@ from querylume.operators.joins import join_day_totals, join_unique
 from querylume.operators.projections import with_day
 
 
-def _with_shares(groups: DataFrame, day_share: str) -> DataFrame:
-    totals = groups.groupBy("day").agg(F.sum("count").alias("_day_total"))
-    overall = totals.agg(F.sum("_day_total")).scalar()
+def _day_totals(rows: DataFrame, amount) -> DataFrame:
+    return with_day(rows).groupBy("day").agg(F.sum(amount).alias("total"))
+
+
+def _with_shares(groups: DataFrame, totals: DataFrame, day_share: str) -> DataFrame:
+    overall = totals.agg(F.sum("total")).scalar()
     return (
         join_day_totals(groups, totals, "left")
-        .withColumn(day_share, percent(F.col("count"), F.col("_day_total")))
+        .withColumn(day_share, percent(F.col("count"), F.col("total")))
         .withColumn("overall_percentage", percent(F.col("count"), overall))
-        .drop("_day_total")
+        .drop("total")
     )
 
 
@@ -41,8 +47,14 @@ def table_access_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def table_access_shares(counts: DataFrame) -> DataFrame:
-    return _with_shares(counts, "percentage").select(
+def _access_totals(df):
+    reads, writes = ids_or_empty(F.col("read_table_ids")), ids_or_empty(F.col("write_table_ids"))
+    return _day_totals(df, F.size(reads) + F.size(writes))
+
+
+def table_access_shares(counts: DataFrame, totals: DataFrame = None) -> DataFrame:
+    totals = _day_totals(counts, F.col("count")) if totals is None else totals
+    return _with_shares(counts, totals, "percentage").select(
         "day", "table_id", "query_type", "user_id", "count", "percentage", "overall_percentage"
     )
 
@@ -50,7 +62,7 @@ def table_access_shares(counts: DataFrame) -> DataFrame:
 def table_access_daily(df: DataFrame) -> DataFrame:
     """Accesses per day, table, query type and user, with their share of the day's
     accesses and of all accesses."""
-    return table_access_shares(table_access_counts(df))
+    return table_access_shares(table_access_counts(df), _access_totals(df))
 
 
 def table_access_rows(df: DataFrame) -> DataFrame:
@@ -60,7 +72,7 @@ def table_access_rows(df: DataFrame) -> DataFrame:
     """
     accesses = explode_accesses(with_day(df), ["arrival_timestamp", "day"])
     counts = accesses.groupBy("day", "table_id").agg(count_rows().alias("count"))
-    shares = _with_shares(counts, "percentage")
+    shares = _with_shares(counts, _access_totals(df), "percentage")
     return join_unique(accesses, shares, ["day", "table_id"], "count").select(
         "arrival_timestamp", "day", "table_id", "count", "percentage", "overall_percentage"
     )
@@ -74,15 +86,17 @@ def query_type_counts(df: DataFrame) -> DataFrame:
     return each.groupBy("day", "query_type", "user_id").agg(count_rows().alias("count"))
 
 
-def query_type_shares(counts: DataFrame) -> DataFrame:
-    return _with_shares(counts, "daily_percentage").select(
+def query_type_shares(counts: DataFrame, totals: DataFrame = None) -> DataFrame:
+    totals = _day_totals(counts, F.col("count")) if totals is None else totals
+    return _with_shares(counts, totals, "daily_percentage").select(
         "day", "query_type", "user_id", "count", "daily_percentage", "overall_percentage"
     )
 
 
 def query_types_daily(df: DataFrame) -> DataFrame:
     """Queries per day, type and user, with their share of the day and of all."""
-    return query_type_shares(query_type_counts(df))
+    totals = _day_totals(df, F.size(ids_or_empty(F.col("query_type"))))
+    return query_type_shares(query_type_counts(df), totals)
 
 
 # -- cache hits ---------------------------------------------------------------
@@ -95,9 +109,10 @@ def hit_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def hit_rates(counts: DataFrame) -> DataFrame:
-    totals = counts.groupBy("day").agg(F.sum("total_count").alias("total_queries"))
-    return join_day_totals(counts, totals).select(
+def hit_rates(counts: DataFrame, totals: DataFrame = None) -> DataFrame:
+    totals = _day_totals(counts, F.col("total_count")) if totals is None else totals
+    named = totals.withColumnRenamed("total", "total_queries")
+    return join_day_totals(counts, named).select(
         "day", "query_type", "user_id", "was_cached_count", "total_queries",
         percent(F.col("was_cached_count"), F.col("total_queries")).alias("hit_rate_per_day"),
     )
@@ -109,7 +124,7 @@ def hit_rate_daily(df: DataFrame) -> DataFrame:
     The rates of a day add up to the day's hit rate; under a filter their sum is
     the filtered groups' contribution to it, not a rate of its own.
     """
-    return hit_rates(hit_counts(df))
+    return hit_rates(hit_counts(df), _day_totals(df, F.lit(1)))
 
 
 # -- compile time by number of joins ------------------------------------------

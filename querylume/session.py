@@ -18,6 +18,8 @@ def build_session(app="querylume", master=None, shuffle_partitions=None, **conf)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Shuffle joins whose measured build side is small per task need no sort.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .config("spark.ui.showConsoleProgress", "false")
     )
     if master:

@@ -54,3 +54,8 @@ def final_plan(df):
     """The physical plan as run, after adaptive changes."""
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def first_plan(df):
+    """The physical plan before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString()

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import final_plan
+from conftest import first_plan
 from querylume.fixture import query_log
 from querylume.operators.aggregation import share_of_total
 from querylume.operators.joins import HOT_FRACTION, join_unique
@@ -98,7 +98,28 @@ def test_shares_within_a_key(spark):
     assert got == {("a", 1): 25.0, ("a", 3): 75.0, (None, 5): 100.0}
 
 
-def test_the_access_summary_scans_and_groups_the_log_once(spark):
-    plan = final_plan(views.table_access_daily(query_log(spark, SF)))
-    assert "ReusedExchange" in plan
+def test_the_access_summary_shuffles_log_rows_once(spark):
+    """One shuffle by group; the other exchanges hold one row per day and task."""
+    plan = first_plan(views.table_access_daily(query_log(spark, SF)))
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line
+            and "table_id" in line]
+    assert len(wide) == 1
     assert "Window" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_shares_from_a_log_and_from_stored_counts_agree(spark):
+    log = query_log(spark, SF)
+    for daily, (counts, shares) in [
+        (views.table_access_daily, views.SUMMARIES["table_access"]),
+        (views.query_types_daily, views.SUMMARIES["query_types"]),
+        (views.hit_rate_daily, views.SUMMARIES["hit_rate"]),
+    ]:
+        assert sorted(map(str, daily(log).collect())) == sorted(map(str, shares(counts(log)).collect()))
+
+
+def test_rows_without_a_timestamp_have_no_share_of_a_day(make_log):
+    log = make_log({"arrival_timestamp": None}, {"read_table_ids": "3,4"})
+    got = {(r.day is None, r.table_id): (r.percentage, r.overall_percentage)
+           for r in views.table_access_daily(log).collect()}
+    assert got == {(True, "1"): (None, 25.0), (True, "2"): (None, 25.0),
+                   (False, "3"): (50.0, 25.0), (False, "4"): (50.0, 25.0)}
