@@ -111,9 +111,12 @@ def _per_day(log):
     return with_day(log).groupBy("day").agg(F.count("*").alias("n"))
 
 
-@query("w1_chunk_id")
+@query("w1_chunk_id", """
+SELECT count(*) AS rows, least(count(*), 10) AS chunks FROM query_log
+""")
 def w1(log):
-    return log.groupBy(windows.chunk_id(10).alias("chunk")).agg(F.count("*").alias("n"))
+    sizes = log.groupBy(windows.chunk_id(10).alias("chunk")).agg(F.count("*").alias("n"))
+    return sizes.agg(F.sum("n").alias("rows"), F.count("chunk").alias("chunks"))
 
 
 @query("w2_lag", PER_DAY + "SELECT day, n, lag(n) OVER (ORDER BY day) AS before FROM daily")

@@ -24,7 +24,12 @@ def s1(spark, sf_dir):
     return files.read_log(spark, f"{sf_dir}/events.parquet")
 
 
-@table_query("s2_describe_schema")
+@table_query("s2_describe_schema", """
+SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS name,
+ CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+  WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' END AS type
+FROM (DESCRIBE events)
+""")
 def s2(spark, sf_dir):
     return files.describe_schema(files.read_log(spark, f"{sf_dir}/events.parquet"))
 
@@ -71,7 +76,11 @@ def s6(spark, sf_dir):
     return spark.table(name)
 
 
-@table_query("s7_jdbc_column_types")
+@table_query("s7_jdbc_column_types", """
+SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'TEXT'
+ WHEN 'DOUBLE' THEN 'DOUBLE PRECISION' ELSE column_type END AS sql_type
+FROM (DESCRIBE events)
+""")
 def s7(spark, sf_dir):
     schema = files.read_log(spark, f"{sf_dir}/events.parquet").schema
     rows = [(f.name, jdbc.sql_type(f.dataType)) for f in schema]

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from querylume.catalog.core import query, rounded
+from querylume.catalog.core import log_sql, query, rounded, table_query
 from querylume.catalog.summaries import M5
+from querylume.fixture import query_log
 from querylume.operators.joins import join_unique
 from querylume.plans import trend, views
 from querylume.sources.files import cached
@@ -76,8 +77,39 @@ def t3(log):
     return rounded(trend.fit_quadratic(_points(log)), "a", "b", "c", "r2")
 
 
-@query("t4_fit_exponential")
-def t4(log):
+# Gauss-Newton from the log-linear start, a fixed number of steps.
+EXPONENTIAL_STEPS = 60
+EXPONENTIAL = POINTS + f"""
+, steps AS (
+ SELECT 0 AS i, exp(regr_intercept(ln(z), x)) AS a, regr_slope(ln(z), x) AS b
+ FROM points WHERE z > 0
+ UNION ALL
+ SELECT i + 1, a + (ga * bb - gb * ab) / (aa * bb - ab * ab),
+  b + (gb * aa - ga * ab) / (aa * bb - ab * ab)
+ FROM (
+  SELECT i, a, b, sum(e * e) AS aa, sum(e * a * x * e) AS ab, sum(a * x * e * a * x * e) AS bb,
+   sum(e * (z - a * e)) AS ga, sum(a * x * e * (z - a * e)) AS gb
+  FROM (SELECT i, a, b, x, z, exp(b * x) AS e FROM steps, points) GROUP BY i, a, b
+ ) WHERE i < {EXPONENTIAL_STEPS}
+)
+, grown AS (SELECT a, b FROM steps WHERE i = {EXPONENTIAL_STEPS})
+, scored AS (
+ SELECT 1 - sum(pow(y - (exp(a * exp(b * x)) - 1), 2)) / regr_syy(y, y) AS r2 FROM points, grown
+)
+"""
+
+
+def recursive(sql):
+    return sql.replace("WITH query_log", "WITH RECURSIVE query_log", 1)
+
+
+@table_query("t4_fit_exponential", recursive(log_sql(EXPONENTIAL + """
+SELECT 'Exponential' AS model, round(a, 6) AS a, round(b, 6) AS b, CAST(NULL AS DOUBLE) AS c,
+ round(r2, 6) AS r2
+FROM grown, scored
+""")))
+def t4(spark, sf_dir):
+    log = query_log(spark, sf_dir)
     return rounded(trend.fit_exponential(_points(log)), "a", "b", "r2")
 
 
@@ -96,6 +128,30 @@ def t5(log):
     return rounded(rows.agg(trend.r2(rows, "compile_duration_ms", "y_hat").alias("r2")), "r2")
 
 
-@query("t6_best_fit")
-def t6(log):
+def _named(sql, **names):
+    """The CTEs of another fit, renamed so that several fit into one statement."""
+    for old, new in names.items():
+        sql = sql.replace(f"{old} AS (", f"{new} AS (").replace(f"FROM {old}", f"FROM {new}")
+        sql = sql.replace(f", {old}\n", f", {new}\n")
+    return sql
+
+
+BEST = (
+    _named(LINE, scored="line_score")
+    + _named(PARABOLA.removeprefix(POINTS), scored="curve_score")
+    + _named(EXPONENTIAL.removeprefix(POINTS), scored="grown_score")
+)
+
+
+@table_query("t6_best_fit", recursive(log_sql(BEST + """
+, fits AS (
+ SELECT 1 AS o, 'Linear' AS model, a, b, CAST(NULL AS DOUBLE) AS c, r2 FROM line, line_score
+ UNION ALL SELECT 2, 'Quadratic', a, b, c, r2 FROM curve, curve_score
+ UNION ALL SELECT 3, 'Exponential', a, b, NULL, r2 FROM grown, grown_score
+)
+SELECT model, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(r2, 6) AS r2
+FROM fits ORDER BY fits.r2 DESC, o LIMIT 1
+""")))
+def t6(spark, sf_dir):
+    log = query_log(spark, sf_dir)
     return rounded(trend.best_fit(_points(log)), "a", "b", "c", "r2")

@@ -17,9 +17,9 @@ def join_day_totals(df: DataFrame, totals: DataFrame, how="inner") -> DataFrame:
     return df.join(F.broadcast(keyed), F.col("day") == F.col("_day"), how).drop("_day")
 
 
-def join_unique(rows: DataFrame, lookup: DataFrame, keys, weight: str) -> DataFrame:
+def join_unique(rows: DataFrame, lookup: DataFrame, keys, weight: str, total=None) -> DataFrame:
     """``rows`` inner-joined with ``lookup``, which is unique on ``keys`` and says in
-    ``weight`` how many rows each key has.
+    ``weight`` how many rows each key has (``total`` of them altogether, if known).
 
     A plain shuffle join would send every row of a hot key to one task. Here the
     rows of hot keys are dealt over several salted copies of their lookup row. The
@@ -28,7 +28,8 @@ def join_unique(rows: DataFrame, lookup: DataFrame, keys, weight: str) -> DataFr
     AQE measures the lookup to be small.
     """
     keys = list(keys)
-    per_task = F.greatest(F.floor(lookup.agg(F.sum(weight)).scalar() / HOT_FRACTION), F.lit(1))
+    total = lookup.agg(F.sum(weight)).scalar() if total is None else total
+    per_task = F.greatest(F.floor(total / HOT_FRACTION), F.lit(1))
     copies = F.greatest(F.floor(F.col(weight) / per_task), F.lit(1)).cast("int")
     sized = lookup.withColumn("_copies", copies)
     hot = sized.filter(F.col("_copies") > 1).select(*keys, "_copies")

@@ -72,8 +72,10 @@ def table_access_rows(df: DataFrame) -> DataFrame:
     """
     accesses = explode_accesses(with_day(df), ["arrival_timestamp", "day"])
     counts = accesses.groupBy("day", "table_id").agg(count_rows().alias("count"))
-    shares = _with_shares(counts, _access_totals(df), "percentage")
-    return join_unique(accesses, shares, ["day", "table_id"], "count").select(
+    totals = _access_totals(df)
+    shares = _with_shares(counts, totals, "percentage")
+    overall = totals.agg(F.sum("total")).scalar()
+    return join_unique(accesses, shares, ["day", "table_id"], "count", overall).select(
         "arrival_timestamp", "day", "table_id", "count", "percentage", "overall_percentage"
     )
 
