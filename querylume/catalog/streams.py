@@ -13,7 +13,7 @@ from querylume.sources import messages
 from querylume.streaming import live
 from querylume.streaming.ingest import run_ingest
 from querylume.streaming.refresh import refresh_views
-from querylume.streaming.retention import retained, retained_main
+from querylume.streaming.retention import retained, retained_main, retained_summary
 from querylume.streaming.sinks import top_tables_seen
 from querylume.streaming.store import LogStore, running_total
 
@@ -132,6 +132,34 @@ def x6_anomalies(spark, sf_dir):
     return retained(found).select("query_id", "anomaly_description")
 
 
+LAST_DAYS = """
+, log_days AS (SELECT max(CAST(arrival_timestamp AS DATE)) AS last FROM query_log)
+, kept AS (
+ SELECT * FROM query_log, log_days
+ WHERE CAST(arrival_timestamp AS DATE) > CAST(last - 4 AS DATE)
+)
+"""
+
+
+@table_query("x6_retained_summary", log_sql(
+    LAST_DAYS + M4.replace("FROM query_log", "FROM kept") + "SELECT * FROM m4"))
+def x6_summary(spark, sf_dir):
+    return retained_summary(spark, refreshed(spark, sf_dir), "hit_rate")
+
+
+@table_query("s9_sql_fetch", log_sql(M4 + """
+SELECT day, query_type, round(sum(hit_rate_per_day), 6) AS cache_hit_rate FROM m4
+WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY day, query_type
+"""))
+def s9(spark, sf_dir):
+    """A report as SQL text over the store's views."""
+    refreshed(spark, sf_dir).register(spark)
+    return spark.sql("""
+        SELECT day, query_type, round(sum(hit_rate_per_day), 6) AS cache_hit_rate FROM hit_rate
+        WHERE day BETWEEN '2024-01-05' AND '2024-01-20' GROUP BY day, query_type
+    """)
+
+
 @table_query("s18_archive", log_sql(DATED_ROWS))
 def s18(spark, sf_dir):
     return ingested(spark, sf_dir).read(spark, "archive").drop("batch_id")
@@ -214,8 +242,9 @@ LIVE_LATEST = """
 
 
 @table_query("x10_live_type_share", log_sql(LIVE_LATEST + """
-SELECT query_type, count(*) AS count,
- CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM latest) * 100 AS overall_percentage
+SELECT query_type, count(DISTINCT query_id) AS count,
+ CAST(count(DISTINCT query_id) AS DOUBLE) / (SELECT count(DISTINCT query_id) FROM latest) * 100
+  AS overall_percentage
 FROM latest GROUP BY query_type
 """))
 def x10_types(spark, sf_dir):
@@ -228,7 +257,7 @@ def x10_types(spark, sf_dir):
  FROM latest
 )
 SELECT table_id, count(DISTINCT query_id) AS count,
- CAST(count(DISTINCT query_id) AS DOUBLE) / (SELECT count(*) FROM latest) * 100
+ CAST(count(DISTINCT query_id) AS DOUBLE) / (SELECT count(DISTINCT query_id) FROM latest) * 100
   AS overall_percentage
 FROM uses GROUP BY table_id
 """))

@@ -5,6 +5,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def build_session(app="querylume", master=None, shuffle_partitions=None, **conf):
     """A session with the settings the library is tuned for.
@@ -20,6 +22,8 @@ def build_session(app="querylume", master=None, shuffle_partitions=None, **conf)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Shuffle joins whose measured build side is small per task need no sort.
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
+        # Streaming state on the executors' disks instead of their heaps.
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.ui.showConsoleProgress", "false")
     )
     if master:

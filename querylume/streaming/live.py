@@ -4,6 +4,10 @@ Each metric is a windowed aggregate with a watermark, so its state holds only re
 windows. A micro-batch merges the windows it changed into the snapshot the batch
 before it left (see ``slots``). Snapshots by query type and by table keep the days
 the watermark still covers; the reports over them are about the latest day.
+
+Shares count distinct queries per day. That takes one state entry per query and
+type (or table) until the watermark passes, so use the RocksDB state store for a big
+stream, or ``distinct=False`` where ids do not repeat.
 """
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -31,8 +35,15 @@ def _start(window_frame, name="day"):
     return window_frame.select(start.alias(name), *[c for c in window_frame.columns if c != "w"])
 
 
-def live_headline(rows: DataFrame, lateness="4 days") -> DataFrame:
-    """Queries, hits and compile time per day."""
+def _once_a_day(rows, cols, distinct):
+    """One row per day for each combination of ``cols``."""
+    if not distinct:
+        return rows
+    return rows.withColumn("_day", F.to_date(TS)).dropDuplicatesWithinWatermark([*cols, "_day"])
+
+
+def live_headline(rows: DataFrame, lateness="4 days", distinct=True) -> DataFrame:
+    """Rows, hits and compile time per day."""
     rows = _zoned(rows, lateness)
     spent = known(rows, "compile_duration_ms")
     return _start(rows.groupBy(_day_window()).agg(
@@ -43,7 +54,8 @@ def live_headline(rows: DataFrame, lateness="4 days") -> DataFrame:
     ))
 
 
-def live_hit_rate(rows: DataFrame, lateness="4 days", every="5 minutes") -> DataFrame:
+def live_hit_rate(rows: DataFrame, lateness="4 days", distinct=True,
+                  every="5 minutes") -> DataFrame:
     """Hits and queries per five-minute bucket."""
     rows = _zoned(rows, lateness)
     return _start(rows.groupBy(F.window(TS, every).alias("w")).agg(
@@ -51,17 +63,32 @@ def live_hit_rate(rows: DataFrame, lateness="4 days", every="5 minutes") -> Data
     ), "bucket")
 
 
-def live_types(rows: DataFrame, lateness="4 days") -> DataFrame:
+def live_queries(rows: DataFrame, lateness="4 days", distinct=True) -> DataFrame:
+    """Queries per day."""
+    rows = _zoned(rows, lateness).filter(F.col("query_id").isNotNull()).select("query_id", TS)
+    once = _once_a_day(rows, ["query_id"], distinct)
+    return _start(once.groupBy(_day_window()).agg(count_rows().alias("count")))
+
+
+def live_types(rows: DataFrame, lateness="4 days", distinct=True) -> DataFrame:
     """Queries per day and type."""
-    rows = _zoned(rows, lateness)
-    return _start(rows.groupBy(_day_window(), "query_type").agg(count_rows().alias("count")))
+    rows = _zoned(rows, lateness).select("query_id", "query_type", TS)
+    once = _once_a_day(rows, ["query_id", "query_type"], distinct)
+    return _start(once.groupBy(_day_window(), "query_type").agg(
+        F.count("query_id").alias("count")
+    ))
 
 
-def live_tables(rows: DataFrame, lateness="4 days", include_one_sided=False) -> DataFrame:
-    """Queries per day and table; a table listed twice by one query counts once."""
-    rows = _zoned(rows, lateness)
-    once = explode_read_write(rows, include_one_sided, keep=[TS], once=True)
-    return _start(once.groupBy(_day_window(), "table_id").agg(count_rows().alias("count")))
+def live_tables(rows: DataFrame, lateness="4 days", distinct=True,
+                include_one_sided=False) -> DataFrame:
+    """Queries per day and table."""
+    uses = explode_read_write(
+        _zoned(rows, lateness), include_one_sided, keep=["query_id", TS], once=True
+    )
+    once = _once_a_day(uses, ["query_id", "table_id"], distinct)
+    return _start(once.groupBy(_day_window(), "table_id").agg(
+        F.count("query_id").alias("count")
+    ))
 
 
 # name -> (stream of changed windows, its columns, its key, whether only recent days
@@ -77,6 +104,7 @@ METRICS = {
         live_hit_rate, {"bucket": "timestamp", "hits": "long", "queries": "long"},
         ["bucket"], False,
     ),
+    "queries": (live_queries, {"day": "date", "count": "long"}, ["day"], False),
     "types": (
         live_types, {"day": "date", "query_type": "string", "count": "long"},
         ["day", "query_type"], True,
@@ -96,12 +124,12 @@ def _schema(name):
 
 
 def live_metrics(rows: DataFrame, store: LogStore, checkpoint: str, *, lateness="4 days",
-                 trigger=None, metrics=None) -> list:
+                 distinct=True, trigger=None, metrics=None) -> list:
     """Start one streaming query per metric over a stream of typed rows."""
     started = []
     for name in metrics or METRICS:
         query = (
-            METRICS[name][0](rows, lateness).writeStream.outputMode("update")
+            METRICS[name][0](rows, lateness, distinct).writeStream.outputMode("update")
             .foreachBatch(_snapshot_writer(store, name, lateness))
             .option("checkpointLocation", f"{checkpoint}/{name}")
             .trigger(**(trigger or {"availableNow": True}))
@@ -155,7 +183,7 @@ def hit_rate_now(spark, store: LogStore) -> DataFrame:
 
 
 def _shares_now(spark, store, name):
-    queries = live_snapshot(spark, store, "headline").select("day", "total_queries")
+    queries = live_snapshot(spark, store, "queries").withColumnRenamed("count", "total_queries")
     today = queries.filter(F.col("day") == queries.agg(F.max("day")).scalar())
     return join_day_totals(live_snapshot(spark, store, name), today)
 

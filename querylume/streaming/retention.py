@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
+from querylume.plans.views import SUMMARIES
 from querylume.schema import DAYS_KEPT
 from querylume.streaming.store import LogStore
 
@@ -24,6 +25,12 @@ def retained_main(spark, store: LogStore, days=DAYS_KEPT) -> DataFrame:
     return retained(store.read(spark, "main"), days, store.days(spark))
 
 
+def retained_summary(spark, store: LogStore, name: str, days=DAYS_KEPT) -> DataFrame:
+    """A summary over the retained days only, its shares included."""
+    counts = retained(store.stored_counts(spark, name), days, store.days(spark))
+    return SUMMARIES[name][1](counts)
+
+
 def expired_days(spark, table: str, days=DAYS_KEPT) -> list:
     """Days of a partitioned table that lie ``days`` or more before its newest one.
     Reads the partition list only."""

@@ -71,6 +71,14 @@ class LogStore:
         """A summary as a reader sees it, percentages computed over what is stored."""
         return SUMMARIES[name][1](self.stored_counts(spark, name))
 
+    def register(self, spark) -> None:
+        """Temp views over the store, for reports written as SQL text: ``query_log``,
+        ``anomalies`` and one view per summary."""
+        self.read(spark, "main").drop("batch_id").createOrReplaceTempView("query_log")
+        self.read(spark, "anomalies").drop("batch_id").createOrReplaceTempView("anomalies")
+        for name in SUMMARIES:
+            self.summary(spark, name).createOrReplaceTempView(name)
+
 
 def running_total(spark, store: LogStore) -> DataFrame:
     """Elements seen so far, by key."""

@@ -13,7 +13,9 @@ from querylume.sources import files
 from querylume.streaming import live
 from querylume.streaming.ingest import ingest_batch, run_ingest
 from querylume.streaming.refresh import days_to_refresh, refresh_views
-from querylume.streaming.retention import apply_retention, expired_days, retained_main
+from querylume.streaming.retention import (
+    apply_retention, expired_days, retained_main, retained_summary,
+)
 from querylume.streaming.slots import SLOTS, read_slot, write_slot
 from querylume.streaming.sinks import top_tables_seen
 from querylume.streaming.store import DAYS_SCHEMA, LogStore, running_total
@@ -141,6 +143,22 @@ def test_retention_by_filter(spark, store, feed):
     assert store.read(spark, "archive").count() == 5
 
 
+def test_a_retained_summary_has_its_own_shares(spark, store, feed):
+    feed(0, message(on(1, 1), on(7, 2, read_table_ids="5"), on(7, 3, read_table_ids="6")))
+    got = retained_summary(spark, store, "table_access")
+    assert sorted((r.table_id, r.overall_percentage) for r in got.collect()) == [
+        ("5", 50.0), ("6", 50.0)]
+
+
+def test_reports_as_sql_text(spark, store, feed):
+    feed(0, message(on(1, 1, was_cached=1), on(2, 2, execution_duration_ms=-1)))
+    store.register(spark)
+    rows = spark.sql("SELECT day, hit_rate_per_day FROM hit_rate ORDER BY day").collect()
+    assert [tuple(r) for r in rows] == [(DAY[0], 100.0), (DAY[1], 0.0)]
+    assert spark.sql("SELECT count(*) FROM query_log").first()[0] == 2
+    assert spark.sql("SELECT query_id FROM anomalies").first()[0] == 2
+
+
 def test_retention_of_a_table(spark, make_log):
     log = make_log(*[on(d, d) for d in range(1, 8)])
     files.save_table(log.withColumn("day", F.to_date("arrival_timestamp")), "kept_log", ["day"])
@@ -190,8 +208,9 @@ def test_stream_equals_batch_and_resumes(spark, store, tmp_path):
 def test_live_numbers_follow_the_stream(spark, store, make_log, tmp_path):
     folder, checkpoint = str(tmp_path / "rows"), scratch_path(spark, "checkpoint")
     one = make_log(on(1, 1, was_cached=1, write_table_ids="1"), on(2, 2))
-    two = make_log(on(2, 3, was_cached=1, write_table_ids="7"),
-                   on(2, 4, query_type="copy", write_table_ids="1,9"))
+    # Query 2 again: the same day counts once, another day on its own.
+    two = make_log(on(2, 3, was_cached=1, write_table_ids="7"), on(2, 2),
+                   on(2, 4, query_type="copy", write_table_ids="1,9"), on(2, 1))
     for part in (one, two):
         conform(part).coalesce(1).write.mode("append").parquet(folder)
         rows = spark.readStream.schema(part.schema).parquet(folder)
@@ -205,4 +224,4 @@ def test_live_numbers_follow_the_stream(spark, store, make_log, tmp_path):
     assert sorted(map(tuple, live.table_share_now(spark, store).collect())) == sorted(
         map(tuple, reports.latest_table_share(everything).collect()))
     rates = {r.bucket.day: r.hit_rate for r in live.hit_rate_now(spark, store).collect()}
-    assert rates == {1: 100.0, 2: pytest.approx(100 / 3)}
+    assert rates == {1: 100.0, 2: 20.0}
