@@ -37,12 +37,14 @@ def fill_days(daily: DataFrame, zeros, day="day") -> DataFrame:
 
 
 def fill_hours(hourly: DataFrame, zeros, hour="hour") -> DataFrame:
-    """``hourly`` with a row for every hour in its span."""
+    """``hourly`` with a row for every hour in its span. Days first and then the hours
+    of each day, so no array grows with the span's hours."""
     kind = hourly.schema[hour].dataType
     span = hourly.agg(F.min(hour).alias("lo"), F.max(hour).alias("hi")).filter("lo IS NOT NULL")
     days = span.select("lo", "hi", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).alias("d"))
-    hours = days.select("lo", "hi", F.explode(F.sequence(
-        F.col("d").cast(kind), F.col("d").cast(kind) + F.expr("INTERVAL 23 HOURS"),
-        F.expr("INTERVAL 1 HOUR"))).alias(hour))
-    wanted = hours.filter((F.col(hour) >= F.col("lo")) & (F.col(hour) <= F.col("hi"))).select(hour)
-    return wanted.join(hourly, hour, "left").fillna(0, list(zeros))
+    midnight = F.col("d").cast(kind)
+    each = F.sequence(midnight, midnight + F.expr("INTERVAL 25 HOURS"), F.expr("INTERVAL 1 HOUR"))
+    hours = days.select("lo", "hi", "d", F.explode(each).alias(hour))
+    # A day has 23 to 25 hours where clocks change.
+    own = (F.to_date(hour) == F.col("d")) & F.col(hour).between(F.col("lo"), F.col("hi"))
+    return hours.filter(own).select(hour).join(hourly, hour, "left").fillna(0, list(zeros))

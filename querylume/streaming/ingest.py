@@ -34,8 +34,8 @@ def ingest_batch(messages: DataFrame, batch_id: int, store: LogStore, *, dedupe=
     """Check and store one micro-batch.
 
     The decoded messages are kept for the duration of the batch, as every output
-    reads them. The first write fills that cache, the others then run side by side.
-    The batch's days are added to the running counts once its rows are stored.
+    reads them. The first write fills that cache, the others then run side by side:
+    none reads what another writes, and a replay repeats them all.
     ``refresh`` is ``"day_change"`` (when a day shows up for the first time),
     ``"batch"`` or ``"never"``.
     """
@@ -52,13 +52,13 @@ def ingest_batch(messages: DataFrame, batch_id: int, store: LogStore, *, dedupe=
         writes = [
             lambda: append_rejected(unreadable.unionByName(undated), batch_id, store),
             lambda: append_log(rows, batch_id, store),
+            lambda: add_days(rows, batch_id, store),
         ]
         if archive:
             writes.append(lambda: archive_batch(rows, batch_id, store))
         if sketch_capacity:
             writes.append(lambda: add_sketch(rows, batch_id, store, sketch_capacity))
         run_together(spark, *writes)
-        add_days(rows, batch_id, store)
         if refresh == "batch" or (refresh == "day_change" and _new_day(spark, store, batch_id)):
             refresh_views(spark, store)
     finally:
