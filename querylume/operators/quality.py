@@ -1,4 +1,11 @@
-"""Data-quality rules: each is one expression, null when the row is fine."""
+"""Data-quality rules: each is one expression, null when the row is fine.
+
+The rules look at two things: a column as it came, and the number or time it reads
+as. The readings are columns of their own (``_num_<name>``, ``_ts_<name>``) that
+``anomalies`` derives once, in a projection below the rules. Casting inside every
+rule instead costs several times as much, in repeated work and in generated code too
+long to be compiled.
+"""
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -13,33 +20,52 @@ from querylume.schema import (
 SEPARATOR = " | "
 
 
+def _number(name):
+    return F.col(f"_num_{name}")
+
+
+def _time(name):
+    return F.col(f"_ts_{name}")
+
+
+def with_readings(df: DataFrame) -> DataFrame:
+    """With the number and time each column reads as, null where it does not. The
+    readings no rule asks for are pruned."""
+    readings = []
+    for f in df.schema:
+        col, kind = F.col(f.name), f.dataType
+        if isinstance(kind, T.StringType):
+            readings.append(casts.to_num_lenient(casts.unquote(col)).alias(f"_num_{f.name}"))
+            readings.append(casts.to_ts_lenient(col).alias(f"_ts_{f.name}"))
+        elif isinstance(kind, T.NumericType):
+            readings.append(col.cast("double").alias(f"_num_{f.name}"))
+        else:
+            readings.append(col.alias(f"_ts_{f.name}"))
+    return df.select("*", *readings)
+
+
 def rule_type(df: DataFrame, name: str, expected: str) -> Column:
     """A value that is present but does not fit its declared type.
 
-    Works on text values as decoded from a message and on typed columns, where
-    only a fraction in a whole-number column is left to find.
+    Text is judged by what it reads as. Of a typed column only a fraction where a
+    whole number is declared is left to find.
     """
-    kind, raw = df.schema[name].dataType, F.col(name)
-    fine = F.lit(None).cast("string")
-
     def found(what):
         return F.lit(f"{name} expected {expected}, found {what}")
 
-    if expected == "str":
-        return fine
-    if isinstance(kind, T.StringType):
-        if expected == "datetime64[ns]":
-            return F.when(raw.isNotNull() & casts.to_ts_lenient(raw).isNull(), found("text"))
-        num = casts.to_num_lenient(casts.unquote(raw))
-        bad = F.when(raw.isNotNull() & num.isNull(), found("text"))
-    elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        num, bad = raw, fine
-    else:
-        return fine
-    if expected == "int":
-        fraction = ~F.isnan(num) & ~casts.is_whole(num)
-        bad = F.coalesce(bad, F.when(fraction, found("float")))
-    return bad
+    kind = df.schema[name].dataType
+    is_text = isinstance(kind, T.StringType)
+    if expected == "datetime64[ns]" and is_text:
+        return F.when(F.col(name).isNotNull() & _time(name).isNull(), found("text"))
+    if expected not in ("int", "float"):
+        return F.lit(None).cast("string")
+    unread = F.when(F.col(name).isNotNull() & _number(name).isNull(), found("text"))
+    if expected == "float" or not isinstance(kind, (T.StringType, T.DoubleType, T.FloatType)):
+        return unread if is_text else F.lit(None).cast("string")
+    fraction = F.when(
+        ~F.isnan(_number(name)) & ~casts.is_whole(_number(name)), found("float")
+    )
+    return F.coalesce(unread, fraction) if is_text else fraction
 
 
 def rule_query_type() -> Column:
@@ -73,10 +99,6 @@ def rule_invalid_ids(name: str) -> Column:
     )
 
 
-def _number(name):
-    return casts.to_num_lenient(F.col(name))
-
-
 def rule_negative_exec() -> Column:
     took = _number("execution_duration_ms")
     return F.when(
@@ -110,22 +132,17 @@ def anomalies(df: DataFrame, rules=None) -> DataFrame:
 
     One pass without a shuffle, however many rules there are. Rows without a message
     are left out by exploding an empty array rather than by a filter: a filter would
-    be pushed below the projection that derives the columns, and derive each column
+    be pushed below the projections that derive the columns, and derive each column
     again for every rule that reads it.
     """
     rules = default_rules(df) if rules is None else rules
-    keys = [_typed_key(df, c).alias(c) for c in ("arrival_timestamp", "query_id")]
+    id_is_text = isinstance(df.schema["query_id"].dataType, T.StringType)
+    query_id = casts.to_int_lenient(F.col("query_id")) if id_is_text else F.col("query_id")
     found = F.array_remove(F.array(join_texts(rules, SEPARATOR)), "")
-    return df.select(*keys, F.explode(found).alias("anomaly_description"))
-
-
-def _typed_key(df, name):
-    kind = df.schema[name].dataType
-    if not isinstance(kind, T.StringType):
-        return F.col(name)
-    if name == "query_id":
-        return casts.to_int_lenient(F.col(name))
-    return casts.to_ts_lenient(F.col(name))
+    return with_readings(df).select(
+        _time("arrival_timestamp").alias("arrival_timestamp"), query_id.alias("query_id"),
+        F.explode(found).alias("anomaly_description"),
+    )
 
 
 def latest_anomalies(found: DataFrame, cursor, n=10) -> DataFrame:

@@ -120,3 +120,19 @@ def test_sample_when_the_threshold_finds_too_few(spark):
     df = spark.range(5000).select(F.lit(7).alias("query_id"), "id")
     drawn = sample_n(df, 100, 42).collect()
     assert len({r.id for r in drawn}) == 100
+
+
+@pytest.mark.parametrize("first, last, hours", [
+    ("2024-11-02T23:30:00", "2024-11-04T00:30:00", 27),
+    ("2024-03-09T23:30:00", "2024-03-11T00:30:00", 25),
+])
+def test_hours_where_clocks_change(spark, first, last, hours):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        log = spark.createDataFrame([(1, first), (2, last)], "query_id long, t string").select(
+            "query_id", F.col("t").cast("timestamp").alias("arrival_timestamp"))
+        counts = [r.query_id for r in reports.hourly_counts(log).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert len(counts) == hours and sum(counts) == 2
