@@ -26,6 +26,9 @@ def join_unique(rows: DataFrame, lookup: DataFrame, keys, weight: str, total=Non
     hot keys are at most ``HOT_FRACTION`` by arithmetic, so telling the rows which
     keys are hot is a bounded broadcast; the join itself stays a shuffle join unless
     AQE measures the lookup to be small.
+
+    Rows are dealt in the order they come, so as with ``time_slices`` they should come
+    from a scan or a checkpoint, which a repeated task reads in the same order.
     """
     keys = list(keys)
     total = lookup.agg(F.sum(weight)).scalar() if total is None else total

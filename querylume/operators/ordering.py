@@ -35,6 +35,10 @@ def time_slices(df: DataFrame, ts=TS, n=None) -> DataFrame:
     value, so a burst of rows with one timestamp, or of copies of one row, is cut
     over several partitions. Partitions stay in time order. With ``n`` unset AQE
     sizes them by bytes.
+
+    The spread follows the order of the input, so a task that is repeated must see
+    its rows in the same order again. A scan does that; checkpoint a frame that comes
+    out of a shuffle first.
     """
     keys = [F.col(ts), *([F.col("query_id")] if "query_id" in df.columns else [])]
     by = [*keys, F.rand(SPREAD_SEED)]

@@ -41,16 +41,21 @@ def build_session(app="querylume", master=None, shuffle_partitions=None, **conf)
     return builder.getOrCreate()
 
 
+_LOCAL_DIRS = {}
+
+
 def shared_dir(spark):
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``."""
+    """The folder every executor can reach, named by ``spark.checkpoint.dir``. Only in
+    local mode may it be unset; a temporary folder stands in then."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="querylume-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="querylume-")
+    return _LOCAL_DIRS[app]
 
 
 def scratch_path(spark, label):

@@ -12,11 +12,9 @@ from querylume.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    work = tmp_path_factory.mktemp("work")
     session = build_session(
         "tests", "local[8]", 8,
-        spark__checkpoint__dir=str(work / "checkpoint"),
-        spark__sql__warehouse__dir=str(work / "warehouse"),
+        spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
     )
     session.sparkContext.setLogLevel("OFF")
     yield session

@@ -126,7 +126,19 @@ def test_database_options_leave_out_what_is_unset():
     assert got == {"url": "jdbc:x", "user": "u", "dbtable": "t", "batchsize": "5"}
 
 
+class FakeSession:
+    """Just the settings a session is asked for."""
+
+    def __init__(self, master, named=None):
+        self.conf = {"spark.checkpoint.dir": named} if named else {}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1"})
+
+
 def test_shared_folder_comes_from_the_session(spark):
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(FakeSession("yarn", "hdfs:///work/")) == "hdfs:///work"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(FakeSession("yarn"))
+    local = FakeSession("local[2]")
+    assert shared_dir(local) == shared_dir(local)
     assert scratch_path(spark, "x").startswith(shared_dir(spark))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
