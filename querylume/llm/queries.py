@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from querylume.llm import separators, token_files
+from querylume.llm import separators, token_files, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -25,6 +25,21 @@ def table(spark, sf_dir, name):
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("""
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+       sha256(body) AS payload_digest,
+       CASE WHEN octet_length(encode(body)) >= 100 AND page_id > first
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(encode(body)) >= 100 AND page_id > first
+            THEN first END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS body,
+             min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages) p
+""")
+def op1_warc(spark, sf_dir):
+    packages = warc.write_packages(table(spark, sf_dir, "pages"))
+    return warc.read_packages(packages).drop("url", "payload")
+
+
 @query()
 def op2_token_files(spark, sf_dir):
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), WORDS, end_id=2)
