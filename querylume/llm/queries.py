@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from querylume.llm import separators, token_files, warc
+from querylume.llm import separators, simhash, token_files, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -54,3 +54,8 @@ def op3_token_counts(spark, sf_dir):
     names = files.select("path", F.posexplode("doc_ids").alias("ordinal", "doc_id"))
     found = separators.count_tokens(files, end)
     return found.join(names, ["path", "ordinal"]).select("doc_id", "n_tokens", "ended")
+
+
+@query()
+def op5_simhash(spark, sf_dir):
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
