@@ -15,6 +15,7 @@ def spark(tmp_path_factory):
     session = build_session(
         "tests", "local[8]", 8,
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
+        spark__checkpoint__dir=f"file://{tmp_path_factory.mktemp('shared')}",
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
