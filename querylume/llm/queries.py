@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from querylume.llm import separators, simhash, token_files, warc
+from querylume.llm import kd_shards, separators, simhash, token_files, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -59,3 +59,8 @@ def op3_token_counts(spark, sf_dir):
 @query()
 def op5_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_kd_shards(spark, sf_dir):
+    return kd_shards.kd_shards(table(spark, sf_dir, "documents"))

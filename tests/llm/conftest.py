@@ -6,13 +6,6 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = ("n", "fp", "u", "v", "root", "path", "part", "size", "shard", "first", "start", "words")
 
 
-@pytest.fixture(scope="session", autouse=True)
-def shared(spark, tmp_path_factory):
-    """Operators keep written tables in the shared folder the session names."""
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
-
-
 @pytest.fixture
 def make_docs(spark):
     """Documents from texts, or (doc_id, text) pairs, with clashing extra columns."""
