@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from querylume.llm import kd_shards, separators, simhash, token_files, warc
+from querylume.llm import kd_shards, maxscore, separators, simhash, token_files, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -64,3 +64,23 @@ def op5_simhash(spark, sf_dir):
 @query()
 def op8_kd_shards(spark, sf_dir):
     return kd_shards.kd_shards(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) IS NOT FALSE
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+      FROM scored) s
+WHERE rank <= 5
+""")
+def op10_maxscore(spark, sf_dir):
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
