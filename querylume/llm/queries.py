@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from querylume.llm import kd_shards, maxscore, separators, simhash, token_files, warc
+from querylume.llm import fm_index, kd_shards, maxscore, separators, simhash, token_files, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -66,6 +66,42 @@ def op8_kd_shards(spark, sf_dir):
     return kd_shards.kd_shards(table(spark, sf_dir, "documents"))
 
 
+@query(r"""
+WITH item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT item, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i
+        FROM (SELECT *, least(len(ws), 10) AS n FROM item_words WHERE len(ws) > 0) x) y
+), doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents
+), places AS (
+  SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i
+        FROM doc_words, (SELECT DISTINCT n FROM windows) l WHERE len(ws) >= n) x
+), found AS (
+  SELECT doc_id, item, i, n FROM places JOIN windows USING (n, phrase)
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM found) x GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM found) x GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+""")
+def op9_fm_index(spark, sf_dir):
+    return fm_index.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("""
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w

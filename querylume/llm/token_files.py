@@ -166,6 +166,6 @@ def read_digests(manifest: DataFrame) -> DataFrame:
     # One row per file: the running sum goes over counts, not over documents.
     before = F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")
     bases = manifest.select("part", before.alias("base"))
-    files = manifest.join(bases, "part").repartition("path")
+    files = manifest.join(bases, "part").repartition(max(1, manifest.count()), "path")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     return files.select("path", "base", "doc_ids", "lengths").mapInArrow(_digests, schema)
