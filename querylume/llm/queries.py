@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from querylume.llm import fm_index, kd_shards, maxscore, separators, simhash, token_files, warc
+from querylume.llm import fm_index, kd_shards, maxscore, separators, simhash, token_files, toxicity, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -61,6 +61,13 @@ def op5_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 @query()
 def op8_kd_shards(spark, sf_dir):
     return kd_shards.kd_shards(table(spark, sf_dir, "documents"))
