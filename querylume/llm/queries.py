@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from querylume.llm import fm_index, kd_shards, maxscore, separators, simhash, token_files, toxicity, warc
+from querylume.llm import (
+    fm_index, kd_shards, maxscore, pieces, separators, simhash, token_files, toxicity, warc,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -22,6 +24,7 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -56,6 +59,13 @@ def op3_token_counts(spark, sf_dir):
     return found.join(names, ["path", "ordinal"]).select("doc_id", "n_tokens", "ended")
 
 
+@query()
+def op4_sentencepiece(spark, sf_dir):
+    """Per document: its pieces counted, their crc32, and a digest of the text that the
+    pieces decode to."""
+    return pieces.round_trip(table(spark, sf_dir, "documents"), PIECES)
+
+
 @query()
 def op5_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
