@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from querylume.llm import (
-    fm_index, kd_shards, maxscore, pieces, separators, simhash, token_files, toxicity, warc,
+    fm_index, kd_shards, maxscore, pieces, separators, simhash, suffix_dedup, token_files,
+    toxicity, warc,
 )
 
 QUERIES = {}
@@ -71,6 +72,11 @@ def op5_simhash(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept")
+
+
 @query()
 def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
