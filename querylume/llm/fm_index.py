@@ -11,6 +11,8 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from querylume.llm.common import chunks_of
 
@@ -230,36 +232,30 @@ def _scanning(phrases, schema):
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window=WINDOW,
-                  phrase_bytes=PHRASE_BYTES) -> DataFrame:
+                  phrase_bytes=PHRASE_BYTES, carried=()) -> DataFrame:
     """doc_id and text of ``docs`` with n_words, hits (runs of words that lie in an
     occurrence of a window, as [start, end) word numbers, merged) and items (the
     item_ids whose windows occur, sorted as strings).
 
     A window is ``window`` consecutive words of an item of ``benchmark`` (item_id,
     text), or the whole of a shorter one. Texts that are null or hold no words have no
-    windows and no hits; a null item_id is called ``null``; more columns are ignored.
+    windows and no hits; a null item_id is called ``null``; more columns are ignored but
+    for the ``carried`` ones.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n_blocks = max(1, -(-size // phrase_bytes))
-    found, arrow = docs.select("doc_id", "text"), None
+    found = docs.select("doc_id", "text", *carried)
+    given = found.schema.fields
     for block in range(n_blocks):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
         phrases = spark.sparkContext.broadcast(Phrases([tuple(r) for r in some.collect()], window))
-        schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, {ADDED}"
-        arrow = _arrow(schema)
-        found = found.mapInArrow(_scanning(phrases, arrow), schema)
+        schema = StructType(given + StructType.fromDDL(ADDED).fields)
+        found = found.mapInArrow(_scanning(phrases, to_arrow_schema(schema)), schema)
     return found
 
 
-def _arrow(schema):
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
-
-
 def without(text, hits):
     """``text`` without the hit words and what stands between words of one run."""
     data = text.encode()
@@ -281,3 +277,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs``; from the text the hit words are cut, with what
+    stands between words of one run. Other texts stay as they are."""
+    row = F.struct(*(c for c in docs.columns if c != "text")).alias("row")
+    found = find_passages(docs.select("doc_id", "text", row), benchmark, carried=["row"])
+    found = found.select("text", "hits", "row")
+    schema = found.select("text", "row").schema
+    arrow = to_arrow_schema(schema)
+
+    def cut(batches):
+        for batch in batches:
+            texts = [
+                without(t.as_py(), [(h["start"], h["end"]) for h in hits.as_py()]) if len(hits) else t.as_py()
+                for t, hits in zip(batch.column("text"), batch.column("hits"))
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("row")], schema=arrow)
+
+    cleaned = found.mapInArrow(cut, schema)
+    return cleaned.select(*("text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

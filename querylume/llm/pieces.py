@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 from sentencepiece import sentencepiece_model_pb2
 
 from querylume.llm.common import chunks_of
@@ -150,21 +152,31 @@ def encoder(path):
 
 
 def encoded(docs: DataFrame, path) -> DataFrame:
-    """doc_id and text of ``docs`` (more columns are ignored) with pieces, the ids of the
-    whole text. A null text stays null and has no pieces."""
+    """The rows of ``docs`` with all their columns, pieces (the ids of the whole text) and
+    restored (whether the ids decode to the text), in the place of columns of these names
+    if there are any. A null text has no pieces."""
+    given = docs.drop("pieces", "restored")
+    schema = StructType(given.schema.fields + [
+        StructField("pieces", ArrayType(IntegerType())), StructField("restored", BooleanType())])
+    arrow, text = to_arrow_schema(schema), given.columns.index("text")
+
     def encode(batches):
         model = encoder(path)
-        for piece in chunks_of(batches, PIECE_BYTES):
-            data = model.encode(piece.column("text").to_pylist())
-            ids = np.frombuffer(b"".join(data), model.dtype).astype(np.int32)
-            ends = np.cumsum([0, *(len(x) // model.dtype.itemsize for x in data)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), piece.column("text"), lists], ["doc_id", "text", "pieces"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        encode, f"doc_id {kind}, text string, pieces array<int>")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for piece in chunks_of([batch], PIECE_BYTES):
+                texts = piece.column(text).to_pylist()
+                data = model.encode(texts)
+                ids = np.frombuffer(b"".join(data), model.dtype).astype(np.int32)
+                ends = np.cumsum([0, *(len(x) // model.dtype.itemsize for x in data)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                restored = [
+                    model.decode(x) == (t or "").replace(SPACE, " ") for x, t in zip(data, texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [*piece.columns, lists, pa.array(restored, pa.bool_())], schema=arrow)
+
+    return given.mapInArrow(encode, schema)
 
 
 def decoded(coded: DataFrame, path) -> DataFrame:
@@ -191,5 +203,6 @@ def round_trip(docs: DataFrame, path) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 and decoded_sha256 (of the text the ids decode to) of
     every row of ``docs``. A text comes back as it was, but for the sign that stands for
     spaces, which becomes one; a null comes back empty."""
-    return decoded(encoded(docs, path), path).select(
+    coded = encoded(docs.select("doc_id", "text"), path).select("doc_id", "pieces")
+    return decoded(coded, path).select(
         "doc_id", "n_pieces", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -74,7 +74,7 @@ def op5_simhash(spark, sf_dir):
 
 @query()
 def op6_suffix_dedup(spark, sf_dir):
-    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept")
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
 @query()

@@ -44,17 +44,18 @@ def fingerprint(hashes):
 
 
 def fingerprints(docs: DataFrame, shingle=SHINGLE) -> DataFrame:
-    """doc_id and its signed 64-bit fingerprint ``fp``. Null and wordless texts have 0."""
+    """doc_id, a hash ``th`` of the text that tells rows of one id apart, and the signed
+    64-bit fingerprint ``fp``. Null and wordless texts have 0."""
     def compute(batches):
         for batch in batches:
-            texts = batch.column("text")
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"),
-                pa.array([fingerprint(shingle_hashes(t.as_py(), shingle)) for t in texts], pa.int64()),
-            ], names=["doc_id", "fp"])
+            doc_id, text, th = batch.columns
+            fp = [fingerprint(shingle_hashes(t.as_py(), shingle)) for t in text]
+            yield pa.RecordBatch.from_arrays(
+                [doc_id, th, pa.array(fp, pa.int64())], names=["doc_id", "th", "fp"])
 
-    spark_id = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(compute, f"doc_id {spark_id}, fp long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", F.hash("text").alias("th")).mapInArrow(
+        compute, f"doc_id {kind}, th int, fp long")
 
 
 def _tiles(distinct: DataFrame, tile: int):
@@ -165,24 +166,46 @@ def links(distinct: DataFrame, radius=RADIUS, tile=TILE) -> DataFrame:
         compare, "u long, v long")
 
 
+def _rooted(held: DataFrame, radius, tile):
+    """Each distinct ``fp`` of ``held`` with the least of its group, its ``root``."""
+    classes = held.select("fp").distinct()
+    found = written(links(classes, radius, tile), "simhash-links")
+    roots = components(found, "simhash-stars")
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(fps: DataFrame, radius=RADIUS, tile=TILE) -> DataFrame:
-    """``fps`` (doc_id, fp) with component_id: the smallest doc_id among the documents
-    that links of at most ``radius`` bits reach. Rows repeat as given; a null doc_id is
-    carried along and never the smallest unless the group has no other."""
+    """``fps`` (doc_id, fp; more columns stay) with component_id: the smallest doc_id among
+    the documents that links of at most ``radius`` bits reach. Rows repeat as given; a
+    null doc_id is carried along and never the smallest unless the group has no other."""
     held = written(fps, "fingerprints")
-    classes = held.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = written(links(classes.select("fp"), radius, tile), "simhash-links")
-    roots = components(found, "simhash-stars")
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = written(_rooted(held, radius, tile), "simhash-roots")
+    first = held.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    least = rooted.join(first, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return held.join(named, "fp")
 
 
+def one_of_each(docs: DataFrame, shingle=SHINGLE, radius=RADIUS) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one of each group: that with the
+    smallest doc_id (a null is largest), of equal ones that whose text hashes least."""
+    held = written(fingerprints(docs, shingle), "fingerprints")
+    rooted = written(_rooted(held, radius, TILE), "simhash-roots")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    firsts = held.groupBy("fp").agg(F.min(order).alias("one"))
+    kept = rooted.join(firsts, "fp").groupBy("root").agg(F.min("one").alias("one"))
+    kept = kept.select("one.doc_id", "one.th")
+    # The columns travel in one struct, so their names cannot clash.
+    keyed = docs.select("doc_id", F.hash("text").alias("th"), F.struct("*").alias("row"))
+    same = keyed["doc_id"].eqNullSafe(kept["doc_id"]) & (keyed["th"] == kept["th"])
+    found = keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "th"])
+    return found.select("row.*")
+
+
 def simhash_groups(docs: DataFrame, shingle=SHINGLE, radius=RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``
     (doc_id, text; more columns are ignored). No rows, no rows."""
-    grouped = near_groups(fingerprints(docs, shingle), radius)
+    grouped = near_groups(fingerprints(docs, shingle).drop("th"), radius)
     return grouped.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

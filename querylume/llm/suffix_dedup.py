@@ -200,9 +200,9 @@ def _settled_blocks(blocks: DataFrame) -> DataFrame:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Documents by id and a hash of the text: rows that repeat an id stay apart."""
-    return docs.withColumns({
-        "dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "th": F.hash("text"),
-    })
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("dk"),
+        F.hash("text").alias("th"), "*")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     of each text of ``docs`` (doc_id, text) that has strings of LENGTH bytes occurring
     more than once."""
     spark = docs.sparkSession
-    keyed = _keyed(docs.select("doc_id", "text")).select("dk", "th", "text")
+    keyed = _keyed(docs.select("doc_id", "text")).drop("doc_id")
     long_enough = keyed.filter(F.octet_length("text") >= LENGTH)
     samples = written(long_enough.mapInArrow(_sampling, SAMPLES), "suffix-samples")
     names = samples.groupBy("name").agg(
@@ -260,10 +260,10 @@ def _merged(spans):
     return list(zip(starts[new].tolist(), ends[last].tolist()))
 
 
-REMOVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+REMOVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
-def _removing(schema, keep):
+def _removing(schema):
     def remove(batches):
         for batch in batches:
             rows = []
@@ -276,27 +276,41 @@ def _removing(schema, keep):
                     at = end
                 kept = b"".join([*parts, data[at:]])
                 rows.append((len(data), len(data) - len(kept), len(runs),
-                             hashlib.sha256(kept).hexdigest(), kept if keep else None))
-            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("text", "spans")}
-            names = schema.names[-5:]
-            columns |= dict(zip(names, zip(*rows) if rows else [[]] * 5))
-            yield pa.RecordBatch.from_pydict(columns, schema=schema)
+                             hashlib.sha256(kept).hexdigest(),
+                             kept.decode(errors="ignore") if text.is_valid else None))
+            columns = [batch.column(n) for n in batch.schema.names if n not in ("text", "spans")]
+            more = [pa.array(x, schema.field(k - 5).type) for k, x in
+                    enumerate(zip(*rows) if rows else [[]] * 5, len(schema))]
+            yield pa.RecordBatch.from_arrays([*columns, *more], schema=schema)
     return remove
 
 
-def without_repeats(docs: DataFrame, columns=("doc_id",), keep=True) -> DataFrame:
-    """The given columns of every row of ``docs`` (doc_id, text) with n_bytes, n_removed,
-    n_spans (maximal removed runs), kept_sha256 and kept, the bytes that are left (null
-    unless ``keep``).
+def _judged(docs: DataFrame) -> DataFrame:
+    """``row``, a struct of all columns but the text, with what is removed and kept."""
+    spans = repeated_spans(docs)
+    row = F.struct(*(c for c in docs.columns if c != "text"))
+    given = _keyed(docs).select("dk", "th", "text", row.alias("row"))
+    joined = given.join(spans, ["dk", "th"], "left").select("row", "text", "spans")
+    schema = StructType(joined.select("row").schema.fields + StructType.fromDDL(REMOVED).fields)
+    return joined.mapInArrow(_removing(to_arrow_schema(schema)), schema)
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """doc_id of every row of ``docs`` (doc_id, text; more columns are ignored) with n_bytes,
+    n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes that are left) and
+    kept, the text that is left, without the parts of characters that were cut.
 
     Every byte is removed that is covered by a string of LENGTH bytes starting at another
     place too, in the same text or another; all occurrences go, and strings are judged on
-    the input. Null texts are empty, texts shorter than LENGTH stay as they are. Rows that
-    repeat an id and a text repeat all its strings. No rows, no rows.
+    the input. Null texts are empty and stay null, texts shorter than LENGTH stay as they
+    are. Rows that repeat an id and a text repeat all its strings. No rows, no rows.
     """
-    spans = repeated_spans(docs)
-    given = docs.select(*columns, "text").withColumns({
-        "dk": F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)), "th": F.hash(docs["text"])})
-    joined = given.join(spans, ["dk", "th"], "left").select(*columns, "text", "spans")
-    schema = StructType(docs.select(*columns).schema.fields + StructType.fromDDL(REMOVED).fields)
-    return joined.mapInArrow(_removing(to_arrow_schema(schema), keep), schema)
+    judged = _judged(docs.select("doc_id", "text"))
+    return judged.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs``, the text being what ``repeats`` leaves of it."""
+    judged = _judged(docs)
+    return judged.select(*(F.col("kept").alias(c) if c == "text" else F.col(f"row.`{c}`")
+                           for c in docs.columns))

@@ -301,3 +301,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     scored = docs.select("doc_id", "text").mapInArrow(
         _mapping(sent, model.beta, schema), f"doc_id {kind.simpleString()}, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model.lexicon)
+    beta, text = model.beta, docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            x = np.array([features(t, sent.value) for t in batch.column(text).to_pylist()])
+            p = 1 / (1 + np.exp(-x.reshape(batch.num_rows, 4) @ beta))
+            yield batch.filter(pa.array(p < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)

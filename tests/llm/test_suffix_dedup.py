@@ -4,7 +4,7 @@ import random
 import pytest
 
 from querylume.llm import suffix_dedup
-from querylume.llm.suffix_dedup import without_repeats
+from querylume.llm.suffix_dedup import repeats, without_repeats
 
 
 def slow(texts, n=200):
@@ -23,16 +23,20 @@ def slow(texts, n=200):
     for d, m in zip(data, marked):
         kept = bytes(b for b, x in zip(d, m) if not x)
         runs = sum(x and not y for x, y in zip(m, b"\x00" + m))
-        out.append((len(d), sum(m), runs, hashlib.sha256(kept).hexdigest(), kept))
+        out.append((len(d), sum(m), runs, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
     return out
 
 
 def check(make_docs, texts, ids=None):
     rows = list(zip(ids or range(len(texts)), texts))
-    got = without_repeats(make_docs(*rows)).collect()
-    want = [(i, *w) for (i, _), w in zip(rows, slow(texts))]
-    key = lambda r: (r[0] is None, r[0] or 0, r[4])
-    assert sorted(((r[0], r[1], r[2], r[3], r[4], bytes(r[5])) for r in got), key=key) == sorted(want, key=key)
+    docs = make_docs(*rows)
+    want = [(i, *w[:4], None if t is None else w[4]) for (i, t), w in zip(rows, slow(texts))]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, repeats(docs).collect()), key=key) == sorted(want, key=key)
+    cleaned = without_repeats(docs)
+    assert cleaned.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in cleaned.collect()]
+    assert sorted(got, key=key) == sorted(((w[0], w[5]) for w in want), key=key)
 
 
 def words(rng, n):
