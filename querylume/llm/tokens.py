@@ -1,19 +1,21 @@
 """Token ids of whole texts, with every distinct chunk between white space encoded once.
 
-The vocabulary drops white space and never joins text across it, so the ids of a text
-are those of its chunks in order. It also lower-cases and cuts letters from the stops
-after them, so such chunks need only their lower-case word to be encoded. A worker
-remembers the chunks it has met, up to ``MEMO`` of them, and starts afresh beyond that.
+The vocabulary drops white space and never joins text across it, nor letters with the
+stop or comma after them, so the ids of a text are those of its chunks in order. It
+also lower-cases, so a word of letters needs only its lower-case form to be encoded. A
+worker remembers the chunks it has met, up to ``MEMO`` of them, and starts afresh
+beyond that.
 """
 
+import json
 import os
 import re
 
 import numpy as np
 
 MEMO = 1_000_000
-CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
-STOPS = ".,"
+CHUNK = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[ \n.,]|\Z)|[^ \t\n\r\f\v]+")
+JOINED = 500
 _ENCODERS = {}
 
 
@@ -31,6 +33,11 @@ class ChunkEncoder:
         if self.model.get_vocab_size() > np.iinfo(self.dtype).max + 1:
             raise ValueError(f"ids of {path} do not fit {dtype}")
         self.memo = {}
+        # Which ids end a word, if the vocabulary marks them.
+        mark = json.loads(self.model.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        for piece, i in self.model.get_vocab().items():
+            self.ends[i] = bool(mark) and piece.endswith(mark)
 
     def encode(self, texts):
         """The ids of each text as little-endian bytes; null is an empty text."""
@@ -45,27 +52,34 @@ class ChunkEncoder:
         return [b"".join(map(find, words)) for words in split]
 
     def _learn(self, chunks):
-        words, ends, plain = {}, {}, set()
+        memo, words, other = self.memo, {}, []
         for chunk in chunks:
-            word = chunk.rstrip(STOPS)
-            if word.isalpha():
-                words[chunk] = word = word.lower() if word.isascii() else word
-                plain.add(word)
-                if len(word) < len(chunk):
-                    ends[chunk] = tail = chunk[len(word):]
-                    plain.add(tail)
+            if chunk.isalpha():
+                words[chunk] = chunk.lower() if chunk.isascii() else chunk
             else:
-                plain.add(chunk)
-        self._ask([chunk for chunk in plain if chunk not in self.memo])
-        memo = self.memo
-        for chunk, word in words.items():
-            memo[chunk] = memo[word] + memo[ends[chunk]] if chunk in ends else memo[word]
+                other.append(chunk)
+        self._ask(other)
+        self._ask_words([w for w in set(words.values()) if w not in memo])
+        memo.update((chunk, memo[word]) for chunk, word in words.items())
 
     def _ask(self, chunks):
         found = self.model.encode_batch_fast(chunks, add_special_tokens=False)
         for chunk, got in zip(chunks, found):
             self.memo[chunk] = np.array(got.ids, dtype=self.dtype).tobytes()
 
+    def _ask_words(self, words):
+        """Words of letters only: many in one text, cut where a word ends."""
+        for at in range(0, len(words), JOINED):
+            some = words[at:at + JOINED]
+            got = self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
+            ids = np.array(got.ids, dtype=self.dtype)
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+            if len(stops) != len(some):
+                self._ask(some)
+                continue
+            data = ids.tobytes()
+            self.memo.update(zip(some, map(data.__getitem__, map(slice, [0, *stops], stops))))
+
 
 def encoder(path, dtype="<u2", special_as_text=False):
     """One encoder per worker and vocabulary."""
