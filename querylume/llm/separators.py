@@ -98,7 +98,7 @@ def count_tokens(files: DataFrame, separator, dtype="<u2", block=BLOCK_TOKENS) -
     before = earlier.rowsBetween(Window.unboundedPreceding, -1)
     marks = found.select(
         "path", "block", "n_ids", F.size("ends").alias("n_ends"),
-        F.element_at("ends", -1).alias("last"),
+        F.try_element_at("ends", F.lit(-1)).alias("last"),
     )
     scanned = marks.select(
         "path", "block",

@@ -27,7 +27,8 @@ CLEAN_CONTEXTS = 2
 # Edits allowed in a term, by its length.
 EDITS = ((9, 2), (5, 1))
 EDIT_FACTOR = 0.8
-CONTEXT = 6
+# The context of a term: so many words on either side, and the marks that touch them.
+CONTEXT, MARKS = 6, 3
 MEMO = 500_000
 # Weights without evidence: abuse counts fully, quotation a quarter.
 PRIOR = np.array([-4.0, 2.0, 0.5, 1.0])
@@ -149,8 +150,8 @@ def _quoted(text, words, i):
     near = words[max(0, i - CONTEXT):i + CONTEXT + 1]
     if any(m[0] in REPORTING for m in near):
         return True
-    before = text[near[0].start():words[i].start()]
-    after = text[words[i].end():near[-1].end() + 1]
+    before = text[max(0, near[0].start() - MARKS):words[i].start()]
+    after = text[words[i].end():near[-1].end() + MARKS]
     opens = max((before.rfind(c) for c in OPENING), default=-1)
     closes = max((before.rfind(c) for c in CLOSING if c not in OPENING), default=-1)
     straight = before.count('"') % 2 == 1 if opens >= 0 and before[opens] == '"' else opens >= 0

@@ -53,6 +53,9 @@ class StoredZip:
         n = min(self.size, END_SIZE + LONGEST_COMMENT)
         tail = self.read(self.size - n, n)
         at = tail.rfind(END_OF_DIRECTORY)
+        # The signature may stand in the comment too: the record's own comment ends the file.
+        while at >= 0 and (n - at < END_SIZE or at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] != n):
+            at = tail.rfind(END_OF_DIRECTORY, 0, at)
         if at < 0:
             raise ValueError("not a ZIP archive: it has no end-of-directory record")
         count, length, start = struct.unpack_from("<HII", tail, at + 10)
