@@ -198,11 +198,10 @@ def _settled_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *columns) -> DataFrame:
     """Documents by id and a hash of the text: rows that repeat an id stay apart."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("dk"),
-        F.hash("text").alias("th"), "*")
+    dk = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("dk")
+    return docs.select(dk, F.hash("text").alias("th"), "text", *columns)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -210,7 +209,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     of each text of ``docs`` (doc_id, text) that has strings of LENGTH bytes occurring
     more than once."""
     spark = docs.sparkSession
-    keyed = _keyed(docs.select("doc_id", "text")).drop("doc_id")
+    keyed = _keyed(docs)
     long_enough = keyed.filter(F.octet_length("text") >= LENGTH)
     samples = written(long_enough.mapInArrow(_sampling, SAMPLES), "suffix-samples")
     names = samples.groupBy("name").agg(
@@ -289,7 +288,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     """``row``, a struct of all columns but the text, with what is removed and kept."""
     spans = repeated_spans(docs)
     row = F.struct(*(c for c in docs.columns if c != "text"))
-    given = _keyed(docs).select("dk", "th", "text", row.alias("row"))
+    given = _keyed(docs, row.alias("row"))
     joined = given.join(spans, ["dk", "th"], "left").select("row", "text", "spans")
     schema = StructType(joined.select("row").schema.fields + StructType.fromDDL(REMOVED).fields)
     return joined.mapInArrow(_removing(to_arrow_schema(schema)), schema)

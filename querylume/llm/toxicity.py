@@ -213,8 +213,8 @@ def _word_counts(sample):
     surroundings count once: neither a long text nor copies lend a word weight."""
     words = F.array_remove(F.split(F.lower("text"), SQL_WORD), "")
     places = sample.select("place", "toxic", words.alias("w")).select("place", "toxic", F.expr("""
-        explode(transform(sequence(0, size(w) - 1), i -> struct(
-            w[i] AS word, xxhash64(get(w, i - 1), get(w, i + 1)) AS context)))"""
+        explode(transform(w, (word, i) -> struct(
+            word, xxhash64(get(w, i - 1), get(w, i + 1)) AS context)))"""
     ).alias("x")).select("place", "toxic", "x.*").filter(F.length("word") >= 3)
     once = places.groupBy("place", "word").agg(
         F.min("context").alias("context"), F.max("toxic").alias("toxic"))
