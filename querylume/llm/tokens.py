@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-MEMO = 1_000_000
+MEMO = 1_500_000
 CHUNK = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[ \n.,]|\Z)|[^ \t\n\r\f\v]+")
 JOINED = 500
 _ENCODERS = {}
@@ -42,14 +42,18 @@ class ChunkEncoder:
     def encode(self, texts):
         """The ids of each text as little-endian bytes; null is an empty text."""
         split = [CHUNK.findall(t) if t else () for t in texts]
-        new = set().union(*split)
-        new.difference_update(self.memo)
+        get = self.memo.get
+        found = [list(map(get, words)) for words in split]
+        gaps = [
+            [i for i, ids in enumerate(row) if ids is None] if None in row else () for row in found]
+        new = {words[i] for words, row in zip(split, gaps) for i in row}
         if len(self.memo) + len(new) > MEMO:
             self.memo = {}
-            new = set().union(*split)
         self._learn(new)
-        find = self.memo.__getitem__
-        return [b"".join(map(find, words)) for words in split]
+        for words, row, ids in zip(split, gaps, found):
+            for i in row:
+                ids[i] = self.memo[words[i]]
+        return list(map(b"".join, found))
 
     def _learn(self, chunks):
         memo, words, other = self.memo, {}, []
