@@ -1,8 +1,10 @@
 """Basic aggregates, windows, sorts and functions."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from querylume.catalog.core import log_sql, query, rounded, table_query
+from querylume.catalog.core import (
+    ONLY_LOG_ROWS, log_sql, only_log_rows, query, rounded, table_query, written_table,
+)
 from querylume.catalog.summaries import ACCESSES
 from querylume.fixture import query_log
 from querylume.functions import casts, lists, numbers, times
@@ -78,7 +80,7 @@ SELECT query_type, num_scans FROM counted
 QUALIFY row_number() OVER (PARTITION BY query_type ORDER BY n DESC, num_scans) = 1
 """)
 def a9(log):
-    return log.groupBy("query_type").agg(numbers.mode_smallest("num_scans").alias("num_scans"))
+    return aggregation.mode_smallest(log, "query_type", "num_scans")
 
 
 @query("a10_safe_ratio", """
@@ -151,9 +153,20 @@ def w4_within(log):
     return aggregation.share_of_total(counted, "n", by=["query_type"])
 
 
-@query("o1_order", PER_DAY + "SELECT day, n FROM daily ORDER BY n DESC, day")
+@query("o1_order", PER_DAY + """
+SELECT day, n, row_number() OVER (ORDER BY n DESC, day) AS position FROM daily
+""")
 def o1(log):
-    return ordering.order(_per_day(log), F.desc("n"), "day")
+    """Every row with its place in the output: in its partition, after those before."""
+    ordered = ordering.order(_per_day(log), F.desc("n"), "day").select(
+        "day", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
+    ordered = written_table(ordered)
+    before = F.sum("rows").over(Window.orderBy("part")) - F.col("rows")
+    parts = ordered.groupBy("part").agg(F.count("*").alias("rows")).select(
+        "part", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    return ordered.withColumn("place", place).join(parts, "part").select(
+        "day", "n", (F.col("before") + F.col("place")).alias("position"))
 
 
 @query("o2_top_k", """
@@ -169,12 +182,14 @@ def o3(log):
     return ordering.sort_log(log)
 
 
-@query("o4_limit", "SELECT least(count(*), 100000) AS n FROM query_log")
+@query("o4_limit", ONLY_LOG_ROWS.format(n=500))
 def o4(log):
-    return ordering.limit(log, 100_000).agg(F.count("*").alias("n"))
+    return only_log_rows(ordering.limit(log, 500), log)
 
 
-@table_query("s17_sample_n")
+@table_query("s17_sample_n", log_sql("""
+SELECT * FROM query_log ORDER BY md5(concat(query_id, ':', 42)), query_id LIMIT 10000
+"""))
 def s17(spark, sf_dir):
     return ordering.sample_n(query_log(spark, sf_dir), 10_000, 42)
 

@@ -8,6 +8,7 @@ differs between engines; ratios of counts are not.
 from pyspark.sql import DataFrame, functions as F
 
 from querylume.fixture import query_log, query_log_sql
+from querylume.session import scratch_path
 
 QUERIES = {}
 ORACLES = {}
@@ -51,3 +52,27 @@ def rounded(df: DataFrame, *cols, places=PLACES) -> DataFrame:
     for c in cols:
         df = df.withColumn(c, F.round(c, places))
     return df
+
+
+# Some rows of the log, any of them: how many, how many ids, and how many are not its rows.
+ONLY_LOG_ROWS = """
+SELECT least(count(*), {n}) AS n, least(count(DISTINCT query_id), {n}) AS ids,
+ CAST(0 AS BIGINT) AS strangers
+FROM query_log
+"""
+
+
+def only_log_rows(some: DataFrame, log: DataFrame) -> DataFrame:
+    known = log.distinct().withColumn("known", F.lit(1))
+    same = [some[c].eqNullSafe(known[c]) for c in log.columns]
+    return some.join(known, same, "left").agg(
+        F.count("*").alias("n"), F.count_distinct(some["query_id"]).alias("ids"),
+        F.count_if(F.col("known").isNull()).alias("strangers"),
+    )
+
+
+def written_table(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read again."""
+    path = scratch_path(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

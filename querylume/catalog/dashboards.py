@@ -1,7 +1,9 @@
 """The dashboard queries."""
 
-from querylume.catalog.core import query, rounded, table_query
+from querylume.catalog.core import ORACLES, log_sql, query, rounded, table_query
+from querylume.catalog.streams import refreshed
 from querylume.catalog.summaries import M1, M3, M4
+from querylume.fixture import query_log, query_log_sql
 from querylume.operators.ordering import recent
 from querylume.plans import reports, views
 from querylume.plans.checks import sort_check
@@ -144,44 +146,45 @@ FROM picked ORDER BY count DESC, {key} LIMIT {k}
 RANGE = "day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"
 
 
-@query("q10_top_tables", _top_of("m1", M1, "table_id", "percentage", RANGE, 10))
-def q10(log):
-    m1 = views.table_access_daily(log)
+@table_query("q10_top_tables", log_sql(
+    _top_of("m1", M1, "table_id", "percentage", RANGE, 10)))
+def q10(spark, sf_dir):
+    m1 = refreshed(spark, sf_dir).summary(spark, "table_access")
     return rounded(reports.top_tables(m1, "2024-01-05", "2024-01-20"), "percentage")
 
 
-@query("q10_top_tables_of_type_and_user", _top_of(
+@table_query("q10_top_tables_of_type_and_user", log_sql(_top_of(
     "m1", M1, "table_id", "percentage",
-    RANGE + " AND query_type = 'select' AND user_id = 7", 10))
-def q10_filtered(log):
-    top = reports.top_tables(
-        views.table_access_daily(log), "2024-01-05", "2024-01-20", "select", 7
-    )
+    RANGE + " AND query_type = 'select' AND user_id = 7", 10)))
+def q10_filtered(spark, sf_dir):
+    m1 = refreshed(spark, sf_dir).summary(spark, "table_access")
+    top = reports.top_tables(m1, "2024-01-05", "2024-01-20", "select", 7)
     return rounded(top, "percentage")
 
 
-@query("q11_top_types", _top_of("m3", M3, "query_type", "daily_percentage", RANGE, 5))
-def q11(log):
-    m3 = views.query_types_daily(log)
+@table_query("q11_top_types", log_sql(
+    _top_of("m3", M3, "query_type", "daily_percentage", RANGE, 5)))
+def q11(spark, sf_dir):
+    m3 = refreshed(spark, sf_dir).summary(spark, "query_types")
     return rounded(reports.top_types(m3, "2024-01-05", "2024-01-20"), "daily_percentage")
 
 
-@query("q12_hit_rate_range", M4 + f"""
-SELECT day, round(sum(hit_rate_per_day), 6) AS cache_hit_rate FROM m4 WHERE {RANGE} GROUP BY day
-""")
-def q12(log):
-    m4 = views.hit_rate_daily(log)
+HITS_OF_RANGE = M4 + f"""
+SELECT day, round(sum(hit_rate_per_day), 6) AS cache_hit_rate FROM m4 WHERE {RANGE}
+"""
+
+
+@table_query("q12_hit_rate_range", log_sql(HITS_OF_RANGE + "GROUP BY day"))
+def q12(spark, sf_dir):
+    m4 = refreshed(spark, sf_dir).summary(spark, "hit_rate")
     return rounded(reports.hit_rate_range(m4, "2024-01-05", "2024-01-20"), "cache_hit_rate")
 
 
-@query("q12_hit_rate_range_of_type", M4 + f"""
-SELECT day, round(sum(hit_rate_per_day), 6) AS cache_hit_rate FROM m4
-WHERE {RANGE} AND query_type = 'select' GROUP BY day
-""")
-def q12_filtered(log):
-    rates = reports.hit_rate_range(
-        views.hit_rate_daily(log), "2024-01-05", "2024-01-20", "select"
-    )
+@table_query("q12_hit_rate_range_of_type", log_sql(
+    HITS_OF_RANGE + "AND query_type = 'select' GROUP BY day"))
+def q12_filtered(spark, sf_dir):
+    m4 = refreshed(spark, sf_dir).summary(spark, "hit_rate")
+    rates = reports.hit_rate_range(m4, "2024-01-05", "2024-01-20", "select")
     return rounded(rates, "cache_hit_rate")
 
 
@@ -307,3 +310,29 @@ FROM (SELECT o_orderdate, lag(o_orderdate) OVER (ORDER BY o_orderkey) AS before
 def q21_unsorted(spark, sf_dir):
     """The orders file holds its rows by key, so its dates are not in order."""
     return sort_check(spark, f"{sf_dir}/orders.parquet", "o_orderdate")
+
+
+# -- logs with repeated ids and with gaps -------------------------------------------
+
+
+def _variant(name, base, change, sql):
+    """Query ``base`` over a changed log; ``sql`` is the same change of ``source``."""
+    body = ORACLES[base].replace(
+        f"WITH query_log AS (\n{query_log_sql()}\n)",
+        f"WITH source AS (\n{query_log_sql()}\n), query_log AS ({sql})")
+    run = {"q8": q8, "q9": q9, "q14": q14, "q15": q15, "q17": q17, "q19": q19}[base.split("_")[0]]
+    table_query(name, body)(lambda spark, sf_dir: run(change(query_log(spark, sf_dir))))
+
+
+def _repeated(log):
+    return log.unionByName(log.filter("query_id % 3 = 0"))
+
+
+for _base in ("q8_latest_type_share", "q9_latest_table_share", "q14_top_tables_by_queries"):
+    _variant(f"{_base}_repeated_ids", _base, _repeated,
+             "SELECT * FROM source UNION ALL SELECT * FROM source WHERE query_id % 3 = 0")
+
+GAPS = "(extract(day FROM arrival_timestamp) BETWEEN 8 AND 12 OR extract(hour FROM arrival_timestamp) = 5)"
+for _base in ("q15_hourly_counts", "q17_rolling_scan_spill", "q19_daily_hit_rate"):
+    _variant(f"{_base}_with_gaps", _base, lambda log: log.filter(f"NOT {GAPS}"),
+             f"SELECT * FROM source WHERE NOT {GAPS}")

@@ -4,7 +4,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from querylume.catalog.core import log_sql, query, table_query
+from querylume.catalog.core import (
+    ONLY_LOG_ROWS, log_sql, only_log_rows, query, table_query, written_table,
+)
 from querylume.fixture import query_log
 from querylume.operators.cleaning import conform
 from querylume.operators.projections import drop_raw_only
@@ -34,9 +36,9 @@ def s2(spark, sf_dir):
     return files.describe_schema(files.read_log(spark, f"{sf_dir}/events.parquet"))
 
 
-@query("s2_preview", "SELECT least(count(*), 20) AS n FROM query_log")
+@query("s2_preview", ONLY_LOG_ROWS.format(n=20))
 def s2_preview(log):
-    return files.preview(log).agg(F.count("*").alias("n"))
+    return only_log_rows(files.preview(log), log)
 
 
 @table_query("s3_row_count", "SELECT count(*) AS n FROM events")
@@ -65,7 +67,7 @@ FROM orders
 def s5_check(spark, sf_dir):
     """Sort a file that is out of order, then check the files written."""
     path = scratch_path(spark, "sorted")
-    files.write_sorted(files.read_log(spark, f"{sf_dir}/orders.parquet"), path, "o_orderdate", 8)
+    files.write_sorted(files.read_log(spark, f"{sf_dir}/orders.parquet"), path, "o_orderdate")
     return sort_check(spark, path, "o_orderdate")
 
 
@@ -76,15 +78,14 @@ def s6(spark, sf_dir):
     return spark.table(name)
 
 
-@table_query("s7_jdbc_column_types", """
-SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'TEXT'
- WHEN 'DOUBLE' THEN 'DOUBLE PRECISION' ELSE column_type END AS sql_type
-FROM (DESCRIBE events)
-""")
+@table_query("s7_jdbc_column_types", "SELECT * FROM events")
 def s7(spark, sf_dir):
-    schema = files.read_log(spark, f"{sf_dir}/events.parquet").schema
-    rows = [(f.name, jdbc.sql_type(f.dataType)) for f in schema]
-    return spark.createDataFrame(rows, "name string, sql_type string")
+    """The rows as read with the column types a database table would be made with: a
+    table created from that text holds them all."""
+    rows = files.read_log(spark, f"{sf_dir}/events.parquet")
+    path = scratch_path(spark, "typed")
+    rows.write.parquet(path)
+    return spark.read.schema(jdbc.jdbc_column_types(rows.schema)).parquet(path)
 
 
 @query("s12_message_round_trip", TYPED_ROWS)
@@ -117,8 +118,13 @@ def s13(log):
 
 @query("s16_cached", "SELECT was_cached, count(*) AS count FROM query_log GROUP BY was_cached")
 def s16(log):
+    """Both readings come from the kept frame, which is let go afterwards."""
     kept = files.cached(log.select("was_cached"))
-    return kept.groupBy("was_cached").agg(F.count("*").alias("count"))
+    try:
+        counts = kept.groupBy("was_cached").agg(F.count("*").alias("count"))
+        return written_table(counts)
+    finally:
+        kept.unpersist()
 
 
 @query("f_json", """

@@ -6,7 +6,7 @@ from querylume.catalog.core import log_sql, rounded, table_query
 from querylume.catalog.files import TYPED_ROWS
 from querylume.catalog.quality import ALL_FOUND, FOUND_ROWS
 from querylume.catalog.summaries import ACCESSES, M1, M3, M4, M5_ROWS
-from querylume.fixture import query_log, query_log_of
+from querylume.fixture import query_log
 from querylume.operators.quality import latest_anomalies
 from querylume.session import scratch_path
 from querylume.sources import messages
@@ -14,60 +14,77 @@ from querylume.streaming import live
 from querylume.streaming.ingest import run_ingest
 from querylume.streaming.refresh import refresh_views
 from querylume.streaming.retention import retained, retained_main, retained_summary
-from querylume.streaming.sinks import top_tables_seen
+from querylume.streaming.sinks import compact, top_tables_seen
 from querylume.streaming.store import LogStore, running_total
 
+FILES = 4
 _RUNS = {}
 
 
+def _sent(log):
+    """The log as JSON-array messages."""
+    return messages.to_batches(log).select("value")
+
+
 def _write_messages(spark, sf_dir, folder):
     """The log as JSON-array messages, and every conversation text as a message that
     cannot be read."""
-    sent = messages.to_batches(query_log(spark, sf_dir)).select("value")
     noise = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
         F.col("text").alias("value")
     )
-    messages.write_messages(sent.repartition(4), {"format": "parquet", "path": folder})
+    messages.write_messages(_sent(query_log(spark, sf_dir)), {"format": "parquet", "path": folder})
     messages.write_messages(noise, {"format": "parquet", "path": folder})
 
 
-def ingested(spark, sf_dir, **options):
-    """The store after the whole log went through the ingest, in several batches.
-    Runs with the same options are shared within a session."""
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(options.items())))
+def _run(spark, base, store, **options):
+    source = {"format": "parquet", "path": f"{base}/messages"}
+    run_ingest(spark, source, store, f"{base}/checkpoint", **options).awaitTermination()
+
+
+def _kept(spark, sf_dir, name, make):
+    """The store that ``make`` fills, once per session and tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _RUNS:
-        base = scratch_path(spark, "ingest")
-        _write_messages(spark, sf_dir, f"{base}/messages")
+        base = scratch_path(spark, name)
         store = LogStore(f"{base}/store")
-        source = {"format": "parquet", "path": f"{base}/messages"}
-        run_ingest(
-            spark, source, store, f"{base}/checkpoint", max_rows=2,
-            sketch_capacity=10_000, **options,
-        ).awaitTermination()
+        make(base, store)
         _RUNS[key] = store
     return _RUNS[key]
 
 
+def ingested(spark, sf_dir):
+    """The store after the whole log went through the ingest, in several batches."""
+    def make(base, store):
+        _write_messages(spark, sf_dir, f"{base}/messages")
+        _run(spark, base, store, max_files=2, sketch_capacity=10_000, refresh="never")
+    return _kept(spark, sf_dir, "ingest", make)
+
+
 def refreshed(spark, sf_dir):
-    """The same store with its summaries brought up to date."""
-    store = ingested(spark, sf_dir)
-    refresh_views(spark, store)
-    return store
+    """A store of its own with its summaries brought up to date."""
+    def make(base, store):
+        _write_messages(spark, sf_dir, f"{base}/messages")
+        _run(spark, base, store, archive=False, refresh="never")
+        refresh_views(spark, store)
+    return _kept(spark, sf_dir, "refreshed", make)
 
 
-def watched(spark, sf_dir):
-    """The store after the live metrics saw the whole log as a stream of files."""
-    key = (spark.sparkContext.applicationId, sf_dir, "live")
-    if key not in _RUNS:
-        base = scratch_path(spark, "live")
-        schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-        events = spark.readStream.schema(schema).option(
-            "pathGlobFilter", "events.parquet").parquet(sf_dir)
-        store = LogStore(f"{base}/store")
-        for q in live.live_metrics(query_log_of(events), store, f"{base}/checkpoint"):
-            q.awaitTermination()
-        _RUNS[key] = store
-    return _RUNS[key]
+def _in_parts(spark, log, base, n=FILES):
+    """The log in ``n`` files of messages, dealt by query id: every file has rows of all
+    days, so all but the first bring late ones."""
+    for i in range(n):
+        part = log.filter(F.pmod(F.col("query_id"), F.lit(n)) == i)
+        sink = {"format": "parquet", "path": f"{base}/messages"}
+        messages.write_messages(_sent(part).coalesce(1), sink)
+
+
+def out_of_order(spark, sf_dir):
+    """The store after an ingest of the log out of time order, a file per batch, with the
+    live numbers."""
+    def make(base, store):
+        _in_parts(spark, query_log(spark, sf_dir), base)
+        _run(spark, base, store, max_files=1, live=True, archive=False, refresh="never")
+    return _kept(spark, sf_dir, "late", make)
 
 
 DATED_ROWS = TYPED_ROWS.replace(
@@ -121,15 +138,16 @@ def x6(spark, sf_dir):
 
 
 @table_query("x6_retained_anomalies", log_sql(ALL_FOUND + """
-, days AS (
- SELECT max(CAST(arrival_timestamp AS DATE)) AS last FROM found WHERE anomaly_description <> ''
-)
+, days AS (SELECT max(CAST(arrival_timestamp AS DATE)) AS last FROM query_log)
 SELECT query_id, anomaly_description FROM found, days
 WHERE anomaly_description <> '' AND CAST(arrival_timestamp AS DATE) > CAST(last - 4 AS DATE)
 """))
 def x6_anomalies(spark, sf_dir):
-    found = ingested(spark, sf_dir).read(spark, "anomalies")
-    return retained(found).select("query_id", "anomaly_description")
+    store = ingested(spark, sf_dir)
+    found = store.read(spark, "anomalies")
+    # The newest day comes from the store's list of days: no data file is opened for it.
+    kept = retained(found, newest=store.days(spark))
+    return kept.select("query_id", "anomaly_description")
 
 
 LAST_DAYS = """
@@ -190,10 +208,109 @@ def m6_compile(spark, sf_dir):
 SELECT query_id, count(*) AS n FROM query_log GROUP BY 1
 """))
 def x9(spark, sf_dir):
-    main = ingested(spark, sf_dir, dedupe=True, refresh="never").read(spark, "main")
+    """Every message comes twice, in different batches."""
+    def make(base, store):
+        for _ in range(2):
+            _in_parts(spark, query_log(spark, sf_dir), base, 2)
+        _run(spark, base, store, max_files=1, dedupe=True, archive=False, refresh="never")
+    main = _kept(spark, sf_dir, "deduplicated", make).read(spark, "main")
     return main.groupBy("query_id").agg(F.count("*").alias("n"))
 
 
+@table_query("x2_resumed_main", log_sql("SELECT query_id FROM query_log"))
+def x2(spark, sf_dir):
+    """The ingest stops, more messages come, and it goes on where it was."""
+    def make(base, store):
+        log = query_log(spark, sf_dir)
+        for half in (0, 1):
+            part = log.filter(F.col("query_id") % 2 == half)
+            messages.write_messages(_sent(part), {"format": "parquet", "path": f"{base}/messages"})
+            _run(spark, base, store, archive=False, refresh="never")
+    return _kept(spark, sf_dir, "resumed", make).read(spark, "main").select("query_id")
+
+
+@table_query("x7_late_rows", log_sql("""
+SELECT CAST(arrival_timestamp AS DATE) AS day, count(*) AS n FROM query_log GROUP BY 1
+"""))
+def x7(spark, sf_dir):
+    """Late rows land in their own day."""
+    main = out_of_order(spark, sf_dir).read(spark, "main")
+    return main.groupBy("day").agg(F.count("*").alias("n"))
+
+
+@table_query("x11_limited_batches", log_sql(f"""
+SELECT query_id % {FILES} AS part, count(*) AS n, CAST(1 AS BIGINT) AS batches
+FROM query_log GROUP BY 1
+"""))
+def x11(spark, sf_dir):
+    """One file per batch: the rows of each of the files have a batch of their own."""
+    main = out_of_order(spark, sf_dir).read(spark, "main")
+    return main.groupBy((F.col("query_id") % FILES).alias("part")).agg(
+        F.count("*").alias("n"), F.count_distinct("batch_id").alias("batches"))
+
+
+@table_query("s11_read_messages", "SELECT text AS value FROM conversations")
+def s11(spark, sf_dir):
+    """Raw messages, written and read back."""
+    sink = {"format": "parquet", "path": scratch_path(spark, "raw")}
+    texts = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    messages.write_messages(texts.select(F.col("text").alias("value")), sink)
+    return messages.read_messages(spark, sink)
+
+
+@table_query("x6_applied", log_sql(RETAINED))
+def x6_applied(spark, sf_dir):
+    """Retention as part of the ingest."""
+    def make(base, store):
+        _write_messages(spark, sf_dir, f"{base}/messages")
+        _run(spark, base, store, max_files=2, archive=False, retention_days=4)
+    return _kept(spark, sf_dir, "expired", make).read(spark, "main").select("query_id")
+
+
+@table_query("x6_wrong_clock", log_sql(RETAINED + "UNION ALL SELECT -1"))
+def x6_wrong_clock(spark, sf_dir):
+    """A row dated 2099 stays and makes nothing expire."""
+    def make(base, store):
+        log = query_log(spark, sf_dir)
+        odd = log.orderBy("query_id").limit(1).withColumns({
+            "query_id": F.lit(-1).cast("long"),
+            "arrival_timestamp": F.lit("2099-01-01 00:00:00").cast(log.schema["arrival_timestamp"].dataType),
+        })
+        for part in (odd, log):
+            messages.write_messages(_sent(part), {"format": "parquet", "path": f"{base}/messages"})
+        _run(spark, base, store, archive=False, retention_days=4)
+    return _kept(spark, sf_dir, "clock", make).read(spark, "main").select("query_id")
+
+
+@table_query("x8_refresh_on_day_change", log_sql(M4 + """
+SELECT * FROM m4 WHERE day < (SELECT max(day) FROM m4)
+"""))
+def x8(spark, sf_dir):
+    """Summaries refreshed by the ingest itself when a day shows up; fed day by day."""
+    def make(base, store):
+        log = query_log(spark, sf_dir)
+        halves = [F.col("arrival_timestamp") < F.lit("2024-01-16").cast("timestamp_ntz"),
+                  F.col("arrival_timestamp") >= F.lit("2024-01-16").cast("timestamp_ntz")]
+        for half in halves:
+            sent = _sent(log.filter(half))
+            messages.write_messages(sent, {"format": "parquet", "path": f"{base}/messages"})
+            _run(spark, base, store, archive=False)
+    store = _kept(spark, sf_dir, "refreshing", make)
+    shown = store.summary(spark, "hit_rate")
+    return shown.filter(F.col("day") < shown.agg(F.max("day")).scalar())
+
+
+@table_query("s14_compacted", log_sql(DATED_ROWS))
+def s14(spark, sf_dir):
+    """The main table after its batch folders were merged."""
+    def make(base, store):
+        _in_parts(spark, query_log(spark, sf_dir), base)
+        _run(spark, base, store, max_files=1, archive=False, refresh="never")
+        compact(spark, store, FILES, tables=["main"])
+    main = _kept(spark, sf_dir, "compacted", make).read(spark, "main")
+    return main.drop("batch_id")
+
+
 @table_query("a11_top_tables_seen", log_sql(ACCESSES + """
 SELECT table_id, count(*) AS count FROM accesses GROUP BY table_id
 """))
@@ -221,7 +338,7 @@ SELECT count(*) AS total_queries,
 FROM query_log
 """))
 def x10_headline(spark, sf_dir):
-    return rounded(live.headline_now(spark, watched(spark, sf_dir)), "avg_compile_time")
+    return rounded(live.headline_now(spark, out_of_order(spark, sf_dir)), "avg_compile_time")
 
 
 @table_query("x10_live_hit_rate", log_sql("""
@@ -230,7 +347,7 @@ SELECT time_bucket(INTERVAL 5 MINUTE, arrival_timestamp) AS bucket,
 FROM query_log GROUP BY 1
 """))
 def x10_hit_rate(spark, sf_dir):
-    return live.hit_rate_now(spark, watched(spark, sf_dir))
+    return live.hit_rate_now(spark, out_of_order(spark, sf_dir))
 
 
 LIVE_LATEST = """
@@ -248,7 +365,7 @@ SELECT query_type, count(DISTINCT query_id) AS count,
 FROM latest GROUP BY query_type
 """))
 def x10_types(spark, sf_dir):
-    return live.type_share_now(spark, watched(spark, sf_dir))
+    return live.type_share_now(spark, out_of_order(spark, sf_dir))
 
 
 @table_query("x10_live_table_share", log_sql(LIVE_LATEST + """
@@ -262,4 +379,4 @@ SELECT table_id, count(DISTINCT query_id) AS count,
 FROM uses GROUP BY table_id
 """))
 def x10_tables(spark, sf_dir):
-    return live.table_share_now(spark, watched(spark, sf_dir))
+    return live.table_share_now(spark, out_of_order(spark, sf_dir))

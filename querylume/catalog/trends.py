@@ -2,12 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from querylume.catalog.core import log_sql, query, rounded, table_query
+from querylume.catalog.core import log_sql, query, rounded, table_query, written_table
 from querylume.catalog.summaries import M5
 from querylume.fixture import query_log
 from querylume.operators.joins import join_unique
 from querylume.plans import trend, views
-from querylume.sources.files import cached
 
 POINTS = M5 + """
 , points AS (SELECT CAST(x AS DOUBLE) AS x, y, ln(1 + y) AS z FROM m5 WHERE y IS NOT NULL)
@@ -46,7 +45,7 @@ PARABOLA = POINTS + """
 
 def _points(log):
     """One row per join count, computed from the log once and kept for the fit."""
-    return cached(views.compile_by_joins(log))
+    return written_table(views.compile_by_joins(log))
 
 
 @query("t1_ols", """

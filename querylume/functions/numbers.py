@@ -37,12 +37,6 @@ def sum_of(df: DataFrame, name: str) -> Column:
     return F.sum(known(df, name))
 
 
-def mode_smallest(name: str) -> Column:
-    """Most frequent value, the smallest on ties. Keeps one counter per distinct
-    value in each task: for columns with a small domain."""
-    return F.mode(F.col(name), True)
-
-
 def log_scale(col: Column) -> Column:
     return F.log1p(col)
 

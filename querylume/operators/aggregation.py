@@ -32,6 +32,16 @@ def share_of_total(df: DataFrame, col: str, by=(), out="share") -> DataFrame:
     )
 
 
+def mode_smallest(df: DataFrame, by, col: str) -> DataFrame:
+    """Most frequent value of ``col`` for each value of ``by``, the smallest on ties; null
+    only where there is no other. Grouped by both first, so no task keeps a counter per
+    value."""
+    by = [by] if isinstance(by, str) else list(by)
+    counted = df.groupBy(*by, col).agg(count_rows().alias("_n"))
+    best = F.struct(F.col(col).isNull(), -F.col("_n"), F.col(col))
+    return counted.groupBy(*by).agg(F.min_by(col, best).alias(col))
+
+
 def distinct_query_counts(df: DataFrame, col: str) -> DataFrame:
     """Distinct queries per value of ``col``.
 

@@ -84,8 +84,10 @@ def present(df: DataFrame, *cols) -> DataFrame:
 
 
 def of_type(df: DataFrame, query_type: str) -> DataFrame:
-    """Rows of one query type, whatever the case it was asked for or logged in."""
-    return df.filter(F.lower("query_type") == query_type.lower())
+    """Rows of one query type, asked for in any case and logged in lower case, upper case
+    or with a capital. The bare column is compared, so the scan sees the filter."""
+    spellings = {query_type.lower(), query_type.upper(), query_type.capitalize()}
+    return df.filter(F.col("query_type").isin(*sorted(spellings)))
 
 
 def col_in(col: Column, values) -> Column:

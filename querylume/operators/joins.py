@@ -31,6 +31,9 @@ def join_unique(rows: DataFrame, lookup: DataFrame, keys, weight: str, total=Non
     from a scan or a checkpoint, which a repeated task reads in the same order.
     """
     keys = list(keys)
+    # Null keys join nothing; without them the lookup's branches below are one plan, so
+    # that it is computed once.
+    lookup, rows = lookup.dropna(subset=keys), rows.dropna(subset=keys)
     total = lookup.agg(F.sum(weight)).scalar() if total is None else total
     per_task = F.greatest(F.floor(total / HOT_FRACTION), F.lit(1))
     copies = F.greatest(F.floor(F.col(weight) / per_task), F.lit(1)).cast("int")

@@ -56,21 +56,29 @@ def sort_log(df: DataFrame, ts=TS, n=None) -> DataFrame:
     return time_slices(df, ts, n)
 
 
+DRAW_BITS = 60
+
+
 def sample_n(df: DataFrame, n: int, seed: int, key="query_id") -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer), the same for the same seed.
 
-    Takes the rows with the ``n`` smallest hashes. A threshold set a little above
-    the expected ``n``-th hash is tried first, so that on a big log only some
-    ``n`` rows go on to the final sort, instead of ``n`` from every task. If fewer
-    than ``n`` lie below it, the sort runs over all rows; the result is the same.
+    Takes the rows with the ``n`` smallest draws: the MD5 of key and seed, equal ones by
+    the columns in their order. Only rows below a threshold a little above the expected
+    ``n``-th draw are sorted, some ``n`` of them on a big log. The threshold comes from
+    the row count as a scalar subquery, so building the plan runs nothing. All other rows
+    take part only if those below it are fewer than ``n``, which the plan settles by
+    another scalar subquery; the result is the same.
     """
-    total = df.count()
-    drawn = df.withColumn("_draw", F.xxhash64(F.col(key), F.lit(seed)))
-    chosen = drawn
+    text = F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))
+    draw = F.md5(text.cast("binary"))
+    high = F.conv(F.substring(draw, 1, DRAW_BITS // 4), 16, 10).cast("long")
+    drawn = df.withColumns({"_draw": draw, "_high": high})
     wanted = n + 10 * n**0.5 + 100
-    if wanted < total:
-        ceiling = -(2**63) + int(2**64 * (wanted / total))
-        below = drawn.filter(F.col("_draw") < F.lit(ceiling))
-        if below.count() >= n:
-            chosen = below
-    return chosen.orderBy("_draw", _row_hash(df)).limit(n).drop("_draw")
+    total = df.agg(F.count("*").alias("total"))
+    ceiling = total.select(F.when(
+        F.col("total") > wanted, F.lit(2.0**DRAW_BITS) * wanted / F.col("total")
+    ).otherwise(2.0**DRAW_BITS)).scalar()
+    below = drawn.filter(F.col("_high") < ceiling)
+    short = below.agg(F.count("*") < n).scalar()
+    rest = drawn.filter((F.col("_high") >= ceiling) & short)
+    return below.unionByName(rest).orderBy("_draw", *df.columns).limit(n).drop("_draw", "_high")

@@ -106,7 +106,8 @@ def fit_exponential(df: DataFrame, max_iter=100, tolerance=1e-12) -> DataFrame:
 
     Every step is one aggregate over the summary, and only its few sums reach the
     driver. A step that does not lower the error is retried with more damping.
-    Null coefficients if no start exists or the error is not finite.
+    Null coefficients if no start exists, the error is not finite, or ``max_iter`` steps
+    do not settle it: a point on the way is no fit.
     """
     points = _points(df)
     solved = _solve_exponential(points, max_iter, tolerance)
@@ -133,18 +134,18 @@ def _solve_exponential(points, max_iter, tolerance):
             return None
         step = _newton_step(now, damping)
         if step is None:
-            break
+            return (a, b) if now["ga"] == now["gb"] == 0 else None
         tried = _newton_sums(points, a + step[0], b + step[1])
         if tried is None or tried["sse"] > now["sse"]:
             damping *= 10
-            if damping > 1e12:
-                break
+            if damping > 1e12:  # no step, however small, lowers the error
+                return a, b
             continue
         gained = now["sse"] - tried["sse"]
         a, b, now, damping = a + step[0], b + step[1], tried, damping / 10
-        if gained <= tolerance * max(now["sse"], tolerance):
-            break
-    return a, b
+        if gained <= tolerance * max(now["sse"], tolerance * now["scale"]):
+            return a, b
+    return None
 
 
 def _newton_sums(points, a, b):
@@ -153,7 +154,7 @@ def _newton_sums(points, a, b):
     da, db = grow, F.lit(a) * F.col("x") * grow
     miss = F.col("z") - F.lit(a) * grow
     sums = points.agg(
-        F.sum(miss * miss).alias("sse"),
+        F.sum(miss * miss).alias("sse"), F.sum(F.col("z") * F.col("z")).alias("scale"),
         F.sum(da * da).alias("aa"), F.sum(da * db).alias("ab"), F.sum(db * db).alias("bb"),
         F.sum(da * miss).alias("ga"), F.sum(db * miss).alias("gb"),
     ).first()

@@ -12,7 +12,7 @@ would cost as much as grouping them the first time when most groups are small.
 From stored counts they are summed up.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from querylume.functions.lists import ids_or_empty
 from querylume.functions.numbers import count_if, count_rows, known, percent, safe_ratio
@@ -27,12 +27,14 @@ def _day_totals(rows: DataFrame, amount) -> DataFrame:
 
 
 def _with_shares(groups: DataFrame, totals: DataFrame, day_share: str) -> DataFrame:
-    overall = totals.agg(F.sum("total")).scalar()
+    # One row per calendar date, so the window over all of them is small; the totals and
+    # their sum reach the groups in one broadcast.
+    overall = F.sum("total").over(Window.partitionBy(F.lit(0)))
     return (
-        join_day_totals(groups, totals, "left")
+        join_day_totals(groups, totals.withColumn("overall", overall), "left")
         .withColumn(day_share, percent(F.col("count"), F.col("total")))
-        .withColumn("overall_percentage", percent(F.col("count"), overall))
-        .drop("total")
+        .withColumn("overall_percentage", percent(F.col("count"), F.col("overall")))
+        .drop("total", "overall")
     )
 
 
@@ -72,10 +74,9 @@ def table_access_rows(df: DataFrame) -> DataFrame:
     """
     accesses = explode_accesses(with_day(df), ["arrival_timestamp", "day"])
     counts = accesses.groupBy("day", "table_id").agg(count_rows().alias("count"))
-    totals = _access_totals(df)
-    shares = _with_shares(counts, totals, "percentage")
-    overall = totals.agg(F.sum("total")).scalar()
-    return join_unique(accesses, shares, ["day", "table_id"], "count", overall).select(
+    # The totals come from the counts: they are grouped once and reused.
+    shares = _with_shares(counts, _day_totals(counts, F.col("count")), "percentage")
+    return join_unique(accesses, shares, ["day", "table_id"], "count").select(
         "arrival_timestamp", "day", "table_id", "count", "percentage", "overall_percentage"
     )
 
@@ -84,8 +85,10 @@ def table_access_rows(df: DataFrame) -> DataFrame:
 
 
 def query_type_counts(df: DataFrame) -> DataFrame:
-    each = explode_ids(with_day(df), "query_type", "query_type", keep=["day", "user_id"])
-    return each.groupBy("day", "query_type", "user_id").agg(count_rows().alias("count"))
+    """Counted by the text of the type first; only the few texts are split into types."""
+    texts = with_day(df).groupBy("day", "query_type", "user_id").agg(count_rows().alias("n"))
+    each = explode_ids(texts, "query_type", "query_type", keep=["day", "user_id", "n"])
+    return each.groupBy("day", "query_type", "user_id").agg(F.sum("n").alias("count"))
 
 
 def query_type_shares(counts: DataFrame, totals: DataFrame = None) -> DataFrame:

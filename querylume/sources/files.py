@@ -49,18 +49,32 @@ def cached(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def write_balanced(df: DataFrame, path: str, partition_by) -> None:
-    """Write partition folders with files of even size.
+def delete_folder(spark, path: str) -> None:
+    """Delete a folder of any store Spark reaches; one that is not there is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
-    ``rebalance`` groups rows by day where there is one, and AQE then splits days
-    that hold more than their share and merges the small ones. Overwrite is per
-    partition folder: writing the same rows again replaces them.
-    """
-    by = [F.col("day")] if "day" in partition_by else []
+
+def balanced(df: DataFrame, by_day=True) -> DataFrame:
+    """Rows spread evenly, by day where there is one."""
+    return df.hint("rebalance", *([F.col("day")] if by_day else []))
+
+
+def write_folders(df: DataFrame, path: str, partition_by) -> None:
+    """Write partition folders as the rows lie. Overwrite is per partition folder:
+    writing the same rows again replaces them."""
     (
-        df.hint("rebalance", *by)
-        .write.mode("overwrite")
+        df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
         .parquet(path)
     )
+
+
+def write_balanced(df: DataFrame, path: str, partition_by) -> None:
+    """Write partition folders with files of even size.
+
+    ``rebalance`` groups rows by day where there is one, and AQE then splits days
+    that hold more than their share and merges the small ones.
+    """
+    write_folders(balanced(df, "day" in partition_by), path, partition_by)

@@ -29,13 +29,26 @@ def sql_type(kind: T.DataType) -> str:
     return SQL_TYPES.get(kind.simpleString(), "TEXT")
 
 
+# Types Spark's writer can create a column for; anything else goes out as text.
+WRITABLE = (
+    T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType,
+    T.BooleanType, T.StringType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BinaryType,
+)
+
+
 def jdbc_column_types(schema: T.StructType) -> str:
-    """Column definitions of a table that can hold ``schema``."""
-    return ", ".join(f'"{f.name}" {sql_type(f.dataType)}' for f in schema)
+    """The ``createTableColumnTypes`` of a table that can hold ``schema``: names in
+    backticks with Spark's own types, as its writer parses them."""
+    def kind(t):
+        return t.simpleString().upper() if isinstance(t, WRITABLE) else "STRING"
+
+    return ", ".join(f"`{f.name.replace('`', '``')}` {kind(f.dataType)}" for f in schema)
 
 
 def create_table_sql(schema: T.StructType, table: str) -> str:
-    return f"CREATE TABLE IF NOT EXISTS {table} ({jdbc_column_types(schema)})"
+    """The statement a database takes for a table that can hold ``schema``."""
+    columns = ", ".join(f'"{f.name}" {sql_type(f.dataType)}' for f in schema)
+    return f"CREATE TABLE IF NOT EXISTS {table} ({columns})"
 
 
 def jdbc_options(url: str, user=None, password=None, driver=None, **more) -> dict:

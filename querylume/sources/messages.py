@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from querylume.functions.times import ISO_FORMAT
 from querylume.operators.ordering import time_slices
 from querylume.operators.projections import drop_raw_only
-from querylume.schema import PREVIEW_ROWS, ROWS_PER_MESSAGE, TEXT_SCHEMA
+from querylume.schema import ROWS_PER_MESSAGE, TEXT_SCHEMA
 
 VALUE_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
 JSON_OPTIONS = {
@@ -46,8 +46,8 @@ def to_batches(df: DataFrame, n=ROWS_PER_MESSAGE, ts="arrival_timestamp", slices
     return grouped.select("slice", "chunk", F.to_json("items.row", JSON_OPTIONS).alias("value"))
 
 
-def to_messages(df: DataFrame, n=PREVIEW_ROWS) -> DataFrame:
-    """One JSON object per row, for the first ``n`` rows (all for ``None``)."""
+def to_messages(df: DataFrame, n=None) -> DataFrame:
+    """One JSON object per row, for all rows or the first ``n``."""
     rows = df if n is None else df.limit(n)
     return rows.select(F.to_json(F.struct(*df.columns), JSON_OPTIONS).alias("value"))
 
@@ -64,27 +64,37 @@ def write_messages(messages: DataFrame, sink: dict) -> None:
 # -- decoding -------------------------------------------------------------------
 
 
-def message_stream(spark, source: dict, max_rows=None) -> DataFrame:
+def message_stream(spark, source: dict, max_messages=None, max_files=None) -> DataFrame:
     """Messages as text, from the earliest one on.
 
-    ``max_rows`` limits the input of one micro-batch: offsets for Kafka, files for a
-    file source. Where the query resumes is up to its checkpoint.
+    One micro-batch takes at most ``max_messages`` messages of Kafka (each of up to 800
+    rows), or ``max_files`` files of a file source. Where the query resumes is up to its
+    checkpoint.
     """
     options = {k: v for k, v in source.items() if k != "format"}
     reader = spark.readStream.format(source["format"])
     if source["format"] == "kafka":
+        if max_files:
+            raise ValueError("Kafka is limited by messages, not by files")
         options = {"startingOffsets": "earliest", **options}
-        if max_rows:
-            options["maxOffsetsPerTrigger"] = str(max_rows)
+        if max_messages:
+            options["maxOffsetsPerTrigger"] = str(max_messages)
         return reader.options(**options).load().select(F.col("value").cast("string"))
-    if max_rows:
-        options["maxFilesPerTrigger"] = str(max_rows)
+    if max_messages:
+        raise ValueError("a file source is limited by files, not by messages")
+    if max_files:
+        options["maxFilesPerTrigger"] = str(max_files)
     return reader.schema(VALUE_SCHEMA).options(**options).load()
 
 
-def read_messages(spark, source: dict, max_rows=None) -> DataFrame:
-    """The raw text of each message."""
-    return message_stream(spark, source, max_rows)
+def read_messages(spark, source: dict) -> DataFrame:
+    """The raw text of all messages there are now, as a batch."""
+    options = {k: v for k, v in source.items() if k != "format"}
+    reader = spark.read.format(source["format"])
+    if source["format"] == "kafka":
+        options = {"startingOffsets": "earliest", "endingOffsets": "latest", **options}
+        return reader.options(**options).load().select(F.col("value").cast("string"))
+    return reader.schema(VALUE_SCHEMA).options(**options).load()
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -110,6 +120,6 @@ def split_rejected(messages: DataFrame):
     return rows_of(decoded), rejected_of(decoded)
 
 
-def read_batches(spark, source: dict, max_rows=None) -> DataFrame:
+def read_batches(spark, source: dict, **limits) -> DataFrame:
     """A stream of log rows from JSON-array messages, values still text."""
-    return rows_of(parsed(message_stream(spark, source, max_rows)))
+    return rows_of(parsed(message_stream(spark, source, **limits)))

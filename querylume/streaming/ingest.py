@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 from querylume.functions.casts import to_ts_lenient
 from querylume.jobs import run_together
 from querylume.operators.cleaning import clean_log, conform
+from querylume.operators.projections import with_day
 from querylume.operators.quality import anomalies
 from querylume.schema import STREAM_COLUMNS
+from querylume.sources.files import balanced
 from querylume.sources.messages import message_stream, parsed, rejected_of, rows_of
+from querylume.streaming.live import add_live
 from querylume.streaming.refresh import refresh_views
+from querylume.streaming.retention import expire, expired_in_store
 from querylume.streaming.sinks import (
     add_days, add_sketch, append_anomalies, append_log, append_rejected, archive_batch,
 )
@@ -29,18 +33,44 @@ def drop_duplicates(rows: DataFrame) -> DataFrame:
     return known.select("r.*").unionByName(unknown)
 
 
+def _unseen(rows, batch_id, store, days):
+    """Without the rows whose id an earlier batch has stored for the same day. Batches
+    from this one on do not count, so a replay decides as the first run did."""
+    spark = rows.sparkSession
+    known = {r["day"] for r in store.days(spark, before=batch_id).select("day").collect()}
+    stored = sorted(known.intersection(days))
+    if not stored:
+        return rows
+    ids = (
+        store.read_days(spark, "main", stored).filter(F.col("batch_id") < batch_id)
+        .select(F.col("query_id").alias("_id"), F.col("day").alias("_day"))
+    )
+    same = (F.col("query_id") == F.col("_id")) & (F.col("day") == F.col("_day"))
+    return rows.join(ids, same, "left_anti")
+
+
+def _days_of(rows):
+    """The days of some rows; bounded by the calendar."""
+    return [r["day"] for r in rows.select("day").distinct().collect()]
+
+
 def ingest_batch(messages: DataFrame, batch_id: int, store: LogStore, *, dedupe=False,
-                 archive=True, sketch_capacity=None, refresh="day_change") -> None:
+                 archive=True, live=False, sketch_capacity=None, refresh="day_change",
+                 retention_days=None) -> None:
     """Check and store one micro-batch.
 
-    The decoded messages are kept for the duration of the batch, as every output
-    reads them. The first write fills that cache, the others then run side by side:
-    none reads what another writes, and a replay repeats them all.
-    ``refresh`` is ``"day_change"`` (when a day shows up for the first time),
-    ``"batch"`` or ``"never"``.
+    The decoded messages, and the typed rows spread as they are written, are kept for the
+    duration of the batch: every output reads them. The writes run side by side: none
+    reads what another writes, and a replay repeats them all.
+
+    ``dedupe`` stores one row per query id and day, also over batches. ``live`` keeps the
+    live numbers. ``refresh`` is ``"day_change"`` (when a day shows up for the first
+    time), ``"batch"`` or ``"never"``. ``retention_days`` removes older days from the main
+    table and the summaries, never from the archive (default: keep all).
     """
     spark = messages.sparkSession
     decoded = parsed(messages).persist(StorageLevel.MEMORY_AND_DISK)
+    typed = None
     try:
         texts = rows_of(decoded)
         append_anomalies(anomalies(texts), batch_id, store)
@@ -48,21 +78,33 @@ def ingest_batch(messages: DataFrame, batch_id: int, store: LogStore, *, dedupe=
         unreadable = rejected_of(decoded).withColumn("reason", F.lit(UNREADABLE))
         undated = _undated(texts).withColumn("reason", F.lit(UNDATED))
         rows = clean_log(conform(texts))
-        rows = drop_duplicates(rows) if dedupe else rows
+        if dedupe:
+            rows = with_day(drop_duplicates(rows))
+            rows = _unseen(rows, batch_id, store, _days_of(rows))
+        typed = balanced(with_day(rows)).persist(StorageLevel.MEMORY_AND_DISK)
+        days = _days_of(typed)
         writes = [
             lambda: append_rejected(unreadable.unionByName(undated), batch_id, store),
-            lambda: append_log(rows, batch_id, store),
-            lambda: add_days(rows, batch_id, store),
+            lambda: append_log(typed, batch_id, store),
+            lambda: add_days(typed, batch_id, store),
         ]
         if archive:
-            writes.append(lambda: archive_batch(rows, batch_id, store))
+            writes.append(lambda: archive_batch(typed, batch_id, store))
+        if live:
+            writes.append(lambda: add_live(typed, batch_id, store))
         if sketch_capacity:
-            writes.append(lambda: add_sketch(rows, batch_id, store, sketch_capacity))
+            writes.append(lambda: add_sketch(typed, batch_id, store, sketch_capacity))
         run_together(spark, *writes)
-        if refresh == "batch" or (refresh == "day_change" and _new_day(spark, store, batch_id)):
-            refresh_views(spark, store)
+        new_day = _new_day(spark, store, batch_id)
+        gone = expired_in_store(spark, store, retention_days) if retention_days else []
+        if refresh == "batch" or (refresh == "day_change" and new_day):
+            refresh_views(spark, store, expired=gone)
+        if gone and (new_day or set(gone).intersection(days)):
+            expire(spark, store, retention_days)
     finally:
         decoded.unpersist()
+        if typed is not None:
+            typed.unpersist()
 
 
 def _undated(texts):
@@ -79,14 +121,14 @@ def _new_day(spark, store, batch_id):
     return not now.join(before, F.col("day") == F.col("_day"), "left_anti").isEmpty()
 
 
-def run_ingest(spark, source: dict, store: LogStore, checkpoint: str, *, max_rows=None,
-               trigger=None, **options):
+def run_ingest(spark, source: dict, store: LogStore, checkpoint: str, *, max_messages=None,
+               max_files=None, trigger=None, **options):
     """Start the ingest of a message source; returns the streaming query.
 
     Resumes from ``checkpoint`` (a shared folder). Without a ``trigger`` it takes
     what is there and stops; pass ``{"processingTime": "5 seconds"}`` to keep going.
     """
-    messages = message_stream(spark, source, max_rows)
+    messages = message_stream(spark, source, max_messages, max_files)
     return (
         messages.writeStream
         .foreachBatch(lambda df, batch_id: ingest_batch(df, batch_id, store, **options))

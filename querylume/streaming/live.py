@@ -1,204 +1,105 @@
-"""Live dashboard numbers: streaming aggregates kept in small snapshot tables.
+"""Live dashboard numbers, kept by the ingest beside its tables.
 
-Each metric is a windowed aggregate with a watermark, so its state holds only recent
-windows. A micro-batch merges the windows it changed into the snapshot the batch
-before it left (see ``slots``). Snapshots by query type and by table keep the days
-the watermark still covers; the reports over them are about the latest day.
+Numbers that add up are kept as sums: those of the headline one row per day, rewritten
+per batch (see ``slots``); those of the hit rate one row per five-minute bucket and
+batch, in folders by day, so a batch writes the buckets it has rows for and no others.
+Late rows count whenever they come. Shares of distinct queries do not add up; they are
+counted from the stored rows of the latest day alone, whose folder is all that is read.
 
-Shares count distinct queries per day. That takes one state entry per query and
-type (or table) until the watermark passes, so use the RocksDB state store for a big
-stream, or ``distinct=False`` where ids do not repeat.
+The latest day is the newest one the store trusts (see ``store.DAYS_AHEAD``).
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from querylume.functions.numbers import count_if, count_rows, known, percent, safe_ratio
+from querylume.operators.aggregation import distinct_queries, distinct_query_counts
 from querylume.operators.explode import explode_read_write
-from querylume.operators.joins import join_day_totals
+from querylume.sources.files import write_balanced
 from querylume.streaming.slots import read_slot, write_slot
-from querylume.streaming.store import LogStore
+from querylume.streaming.store import LogStore, trusted
 
 TS = "arrival_timestamp"
-
-
-def _zoned(rows, lateness):
-    """With a zoned timestamp and a watermark on it."""
-    return rows.withColumn(TS, F.col(TS).cast("timestamp")).withWatermark(TS, lateness)
-
-
-def _day_window():
-    return F.window(TS, "1 day").alias("w")
-
-
-def _start(window_frame, name="day"):
-    start = F.to_date("w.start") if name == "day" else F.col("w.start")
-    return window_frame.select(start.alias(name), *[c for c in window_frame.columns if c != "w"])
-
-
-def _once_a_day(rows, cols, distinct):
-    """One row per day for each combination of ``cols``."""
-    if not distinct:
-        return rows
-    return rows.withColumn("_day", F.to_date(TS)).dropDuplicatesWithinWatermark([*cols, "_day"])
-
-
-def live_headline(rows: DataFrame, lateness="4 days", distinct=True) -> DataFrame:
-    """Rows, hits and compile time per day."""
-    rows = _zoned(rows, lateness)
+EVERY = "5 minutes"
+HEADLINE = (
+    T.StructType().add("day", "date").add("total_queries", "long").add("hits", "long")
+    .add("compile_sum", "double").add("compile_count", "long")
+)
+BUCKETS = (
+    T.StructType().add("bucket", "timestamp").add("hits", "long").add("queries", "long")
+    .add("day", "date").add("batch_id", "long")
+)
+
+
+def add_live(rows: DataFrame, batch_id: int, store: LogStore) -> None:
+    """Add a batch of typed rows (with their ``day``) to the live numbers. A replay
+    starts from the same predecessor and replaces what the batch wrote."""
+    spark = rows.sparkSession
     spent = known(rows, "compile_duration_ms")
-    return _start(rows.groupBy(_day_window()).agg(
+    mine = rows.groupBy("day").agg(
         count_rows().alias("total_queries"),
         F.coalesce(F.sum("was_cached"), F.lit(0)).alias("hits"),
         F.coalesce(F.sum(spent), F.lit(0.0)).alias("compile_sum"),
         F.count(spent).alias("compile_count"),
-    ))
-
+    )
+    path = store.path("live/headline")
+    before = read_slot(spark, path, HEADLINE, before=batch_id)
+    sums = [F.sum(c).alias(c) for c in HEADLINE.names[1:]]
+    write_slot(before.unionByName(mine).groupBy("day").agg(*sums), path, batch_id)
 
-def live_hit_rate(rows: DataFrame, lateness="4 days", distinct=True,
-                  every="5 minutes") -> DataFrame:
-    """Hits and queries per five-minute bucket."""
-    rows = _zoned(rows, lateness)
-    return _start(rows.groupBy(F.window(TS, every).alias("w")).agg(
+    window = F.window(F.col(TS).cast("timestamp"), EVERY)["start"]
+    buckets = rows.groupBy("day", window.alias("bucket")).agg(
         count_if(F.col("was_cached") == 1).alias("hits"), count_rows().alias("queries")
-    ), "bucket")
-
-
-def live_queries(rows: DataFrame, lateness="4 days", distinct=True) -> DataFrame:
-    """Queries per day."""
-    rows = _zoned(rows, lateness).filter(F.col("query_id").isNotNull()).select("query_id", TS)
-    once = _once_a_day(rows, ["query_id"], distinct)
-    return _start(once.groupBy(_day_window()).agg(count_rows().alias("count")))
-
-
-def live_types(rows: DataFrame, lateness="4 days", distinct=True) -> DataFrame:
-    """Queries per day and type."""
-    rows = _zoned(rows, lateness).select("query_id", "query_type", TS)
-    once = _once_a_day(rows, ["query_id", "query_type"], distinct)
-    return _start(once.groupBy(_day_window(), "query_type").agg(
-        F.count("query_id").alias("count")
-    ))
-
-
-def live_tables(rows: DataFrame, lateness="4 days", distinct=True,
-                include_one_sided=False) -> DataFrame:
-    """Queries per day and table."""
-    uses = explode_read_write(
-        _zoned(rows, lateness), include_one_sided, keep=["query_id", TS], once=True
     )
-    once = _once_a_day(uses, ["query_id", "table_id"], distinct)
-    return _start(once.groupBy(_day_window(), "table_id").agg(
-        F.count("query_id").alias("count")
-    ))
-
-
-# name -> (stream of changed windows, its columns, its key, whether only recent days
-# are kept)
-METRICS = {
-    "headline": (
-        live_headline,
-        {"day": "date", "total_queries": "long", "hits": "long", "compile_sum": "double",
-         "compile_count": "long"},
-        ["day"], False,
-    ),
-    "hit_rate": (
-        live_hit_rate, {"bucket": "timestamp", "hits": "long", "queries": "long"},
-        ["bucket"], False,
-    ),
-    "queries": (live_queries, {"day": "date", "count": "long"}, ["day"], False),
-    "types": (
-        live_types, {"day": "date", "query_type": "string", "count": "long"},
-        ["day", "query_type"], True,
-    ),
-    "tables": (
-        live_tables, {"day": "date", "table_id": "string", "count": "long"},
-        ["day", "table_id"], True,
-    ),
-}
-
-
-def _schema(name):
-    schema = T.StructType()
-    for column, kind in METRICS[name][1].items():
-        schema = schema.add(column, kind)
-    return schema
-
-
-def live_metrics(rows: DataFrame, store: LogStore, checkpoint: str, *, lateness="4 days",
-                 distinct=True, trigger=None, metrics=None) -> list:
-    """Start one streaming query per metric over a stream of typed rows."""
-    started = []
-    for name in metrics or METRICS:
-        query = (
-            METRICS[name][0](rows, lateness, distinct).writeStream.outputMode("update")
-            .foreachBatch(_snapshot_writer(store, name, lateness))
-            .option("checkpointLocation", f"{checkpoint}/{name}")
-            .trigger(**(trigger or {"availableNow": True}))
-            .start()
-        )
-        started.append(query)
-    return started
-
-
-def _snapshot_writer(store, name, lateness):
-    keys, recent_only = METRICS[name][2:]
-    schema = _schema(name)
-    path = store.path(f"live/{name}")
-
-    def write(changed, batch_id):
-        before = read_slot(changed.sparkSession, path, schema, before=batch_id)
-        versions = before.withColumn("_v", F.lit(0)).unionByName(changed.withColumn("_v", F.lit(1)))
-        values = [c for c in before.columns if c not in keys]
-        newest = F.max_by(F.struct(*values), "_v").alias("v")
-        merged = versions.groupBy(*keys).agg(newest).select(*keys, "v.*")
-        if recent_only:
-            bound = versions.agg(
-                F.to_date(F.max("day").cast("timestamp") - F.expr(f"INTERVAL {lateness}"))
-            ).scalar()
-            merged = merged.filter(F.col("day") >= bound)
-        write_slot(merged, path, batch_id)
-
-    return write
-
-
-def live_snapshot(spark, store: LogStore, name: str) -> DataFrame:
-    """The windows of a metric as of the newest batch."""
-    return read_slot(spark, store.path(f"live/{name}"), _schema(name))
+    tagged = buckets.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    write_balanced(tagged, store.path("live/hit_rate"), ["day", "batch_id"])
 
 
 def headline_now(spark, store: LogStore) -> DataFrame:
     """The headline numbers over all days so far."""
-    days = live_snapshot(spark, store, "headline")
+    days = read_slot(spark, store.path("live/headline"), HEADLINE)
     return days.agg(
         F.coalesce(F.sum("total_queries"), F.lit(0)).alias("total_queries"),
         percent(F.sum("hits"), F.sum("total_queries")).alias("cache_hit_rate"),
         safe_ratio(F.sum("compile_sum"), F.sum("compile_count")).alias("avg_compile_time"),
-        F.max("day").alias("latest_query_date"),
+        F.max(F.when(trusted("day"), F.col("day"))).alias("latest_query_date"),
     )
 
 
-def hit_rate_now(spark, store: LogStore) -> DataFrame:
-    """Hit rate per bucket."""
-    buckets = live_snapshot(spark, store, "hit_rate")
-    return buckets.select("bucket", percent(F.col("hits"), F.col("queries")).alias("hit_rate"))
+def hit_rate_now(spark, store: LogStore, days=None) -> DataFrame:
+    """Hit rate per bucket, of some days or all."""
+    try:
+        buckets = spark.read.schema(BUCKETS).parquet(store.path("live/hit_rate"))
+    except AnalysisException as err:
+        if "PATH_NOT_FOUND" not in str(err):
+            raise
+        buckets = spark.createDataFrame([], BUCKETS)
+    if days is not None:
+        buckets = buckets.filter(F.col("day").isin(*days))
+    return buckets.groupBy("bucket").agg(
+        percent(F.sum("hits"), F.sum("queries")).alias("hit_rate"))
+
+
+def _latest_rows(spark, store):
+    day = store.newest_day(spark)
+    if day is None:
+        return store.read(spark, "main")
+    return store.read_days(spark, "main", [day])
 
 
-def _shares_now(spark, store, name):
-    queries = live_snapshot(spark, store, "queries").withColumnRenamed("count", "total_queries")
-    today = queries.filter(F.col("day") == queries.agg(F.max("day")).scalar())
-    return join_day_totals(live_snapshot(spark, store, name), today)
+def _shares(counts, rows):
+    return counts.withColumn(
+        "overall_percentage", percent(F.col("count"), distinct_queries(rows)))
 
 
 def type_share_now(spark, store: LogStore) -> DataFrame:
     """Query types of the latest day, as a share of its queries."""
-    return _shares_now(spark, store, "types").select(
-        "query_type", "count",
-        percent(F.col("count"), F.col("total_queries")).alias("overall_percentage"),
-    )
+    rows = _latest_rows(spark, store)
+    return _shares(distinct_query_counts(rows, "query_type"), rows)
 
 
 def table_share_now(spark, store: LogStore) -> DataFrame:
     """Tables of the latest day, as a share of its queries."""
-    return _shares_now(spark, store, "tables").select(
-        "table_id", "count",
-        percent(F.col("count"), F.col("total_queries")).alias("overall_percentage"),
-    )
+    rows = _latest_rows(spark, store)
+    uses = explode_read_write(rows, once=True)
+    return _shares(distinct_query_counts(uses, "table_id"), rows)

@@ -23,8 +23,9 @@ def days_to_refresh(spark, store: LogStore) -> list:
     return sorted(r["day"] for r in stale.select("day").collect())
 
 
-def refresh_views(spark, store: LogStore, days=None) -> list:
-    """Recompute the summaries of ``days`` (those that need it, for ``None``).
+def refresh_views(spark, store: LogStore, days=None, expired=()) -> list:
+    """Recompute the summaries of ``days`` (those that need it, for ``None``), but not of
+    ``expired`` ones: what is left of such a day is not the day.
 
     Reads only those days' folders of the main table, and only the columns each
     summary uses; replaces those days' folders of the summaries. Running it again
@@ -32,6 +33,7 @@ def refresh_views(spark, store: LogStore, days=None) -> list:
     run next to a stream that refreshes the same store itself.
     """
     days = days_to_refresh(spark, store) if days is None else sorted(days)
+    days = [d for d in days if d not in set(expired)]
     if not days:
         return days
     through = store.days(spark).filter(F.col("day").isin(*days)).select(

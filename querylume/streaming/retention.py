@@ -1,4 +1,8 @@
-"""Retention: only the last days of the main table and its summaries count."""
+"""Retention: only the last days of the main table and its summaries count.
+
+The newest day is the last one that a clock at most ``DAYS_AHEAD`` days ahead can have
+given. Rows dated later are kept and never make others expire.
+"""
 
 import datetime
 
@@ -6,19 +10,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from querylume.plans.views import SUMMARIES
 from querylume.schema import DAYS_KEPT
-from querylume.streaming.store import LogStore
+from querylume.sources.files import delete_folder
+from querylume.streaming.store import DAYS_AHEAD, LogStore, trusted
 
 
-def retained(df: DataFrame, days=DAYS_KEPT, newest: DataFrame = None) -> DataFrame:
-    """Rows of the last ``days`` days up to the newest one.
+def retained(df: DataFrame, days=DAYS_KEPT, newest: DataFrame = None,
+             ahead=DAYS_AHEAD) -> DataFrame:
+    """Rows of the last ``days`` days up to the newest one, and of days in the future.
 
     ``newest`` is a frame whose ``day`` names the days seen (the rows themselves by
-    default; a store's ``days`` is cheaper). The bound is a scalar subquery on the partition
-    column, so expired folders are not read.
+    default; a store's ``days`` is cheaper, since it opens no data file). The bound is a
+    scalar subquery on the partition column, so expired folders are not read.
     """
     seen = df if newest is None else newest
-    bound = seen.agg(F.date_sub(F.max("day"), days)).scalar()
-    return df.filter(F.col("day") > bound)
+    bound = seen.filter(trusted("day", ahead)).agg(F.date_sub(F.max("day"), days)).scalar()
+    # Without a trusted day nothing is expired.
+    return df.filter(F.col("day") > F.coalesce(bound, F.lit("0001-01-01").cast("date")))
 
 
 def retained_main(spark, store: LogStore, days=DAYS_KEPT) -> DataFrame:
@@ -31,6 +38,15 @@ def retained_summary(spark, store: LogStore, name: str, days=DAYS_KEPT) -> DataF
     return SUMMARIES[name][1](counts)
 
 
+def _expired(have, days, ahead=DAYS_AHEAD):
+    """Of some dates those that lie ``days`` or more before the newest trusted one."""
+    limit = datetime.date.today() + datetime.timedelta(days=ahead)
+    newest = max((d for d in have if d <= limit), default=None)
+    if newest is None:
+        return []
+    return sorted(d for d in have if d <= newest - datetime.timedelta(days=days))
+
+
 def expired_days(spark, table: str, days=DAYS_KEPT) -> list:
     """Days of a partitioned table that lie ``days`` or more before its newest one.
     Reads the partition list only."""
@@ -38,11 +54,7 @@ def expired_days(spark, table: str, days=DAYS_KEPT) -> list:
     found = listed.select(
         F.regexp_extract("partition", r"(?:^|/)day=(\d{4}-\d{2}-\d{2})(?:/|$)", 1).alias("day")
     ).filter("day <> ''").distinct()
-    have = sorted(datetime.date.fromisoformat(r["day"]) for r in found.collect())
-    if not have:
-        return []
-    bound = have[-1] - datetime.timedelta(days=days)
-    return [d for d in have if d <= bound]
+    return _expired([datetime.date.fromisoformat(r["day"]) for r in found.collect()], days)
 
 
 def apply_retention(spark, table: str, days=DAYS_KEPT) -> list:
@@ -51,3 +63,18 @@ def apply_retention(spark, table: str, days=DAYS_KEPT) -> list:
     for day in gone:
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (day = DATE'{day}')")
     return gone
+
+
+def expired_in_store(spark, store: LogStore, days=DAYS_KEPT) -> list:
+    """The expired days among all days ever stored (one row per calendar day)."""
+    return _expired([r["day"] for r in store.days(spark).select("day").collect()], days)
+
+
+def expire(spark, store: LogStore, days=DAYS_KEPT) -> list:
+    """Remove the expired days from the main table and the summaries, never from the
+    archive; returns them. Removing a day again is no error, so a batch may be replayed."""
+    gone = expired_in_store(spark, store, days)
+    for day in gone:
+        for folder in (store.path("main"), *map(store.summary_path, SUMMARIES)):
+            delete_folder(spark, f"{folder}/day={day}")
+    return gone

@@ -1,5 +1,6 @@
 """The writes of one micro-batch. Each replaces what the same batch wrote before."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from querylume.functions.lists import ids_or_empty
@@ -9,7 +10,9 @@ from querylume.operators.aggregation import (
 )
 from querylume.operators.explode import explode_accesses
 from querylume.operators.projections import with_day
-from querylume.sources.files import write_balanced
+from querylume.sources.files import (
+    balanced, delete_folder, write_balanced, write_folders,
+)
 from querylume.streaming.slots import read_slot, write_slot
 from querylume.streaming.store import LogStore
 
@@ -19,9 +22,9 @@ def _tagged(df, batch_id):
 
 
 def append_log(df: DataFrame, batch_id: int, store: LogStore, table="main") -> None:
-    """Rows into their day's folder, made on demand. Late rows land in their own day."""
-    rows = _tagged(with_day(df), batch_id)
-    write_balanced(rows, store.path(table), ["day", "batch_id"])
+    """Rows (balanced already, with their ``day``) into their day's folder, made on
+    demand. Late rows land in their own day."""
+    write_folders(_tagged(df, batch_id), store.path(table), ["day", "batch_id"])
 
 
 def archive_batch(df: DataFrame, batch_id: int, store: LogStore) -> None:
@@ -72,6 +75,56 @@ def top_tables_approx(df: DataFrame, k=10, capacity=10_000) -> DataFrame:
 
 def top_tables_seen(spark, store: LogStore, k=10) -> DataFrame:
     """Most accessed tables over everything ingested, from the running sketch."""
-    versions = spark.read.option("ignoreMissingFiles", "true").parquet(store.path("sketch"))
+    try:
+        versions = spark.read.option("ignoreMissingFiles", "true").parquet(store.path("sketch"))
+    except AnalysisException as err:
+        if "PATH_NOT_FOUND" not in str(err):
+            raise
+        return spark.createDataFrame([], "table_id string, count long")
     newest = versions.agg(F.max("batch_id")).scalar()
     return estimate_frequent(versions.filter(F.col("batch_id") == newest), k)
+
+
+# -- merging of batch folders -----------------------------------------------------
+
+
+def compact(spark, store: LogStore, through: int, tables=("main", "archive"), days=None) -> None:
+    """Merge the folders of all batches up to ``through`` into one per day.
+
+    For batches that are done for good: the checkpoint no longer replays them. Rows do
+    not change, only their ``batch_id``, which becomes ``through``. Merged rows are
+    written aside first; then the old folders go and the merged one takes their place.
+    Run again after a failure, it goes on where it stopped. Not to be run next to a
+    stream into the same store.
+    """
+    for table in tables:
+        _finish(spark, store, table)
+        rows = store.read(spark, table).filter(F.col("batch_id") <= through)
+        if days is not None:
+            rows = rows.filter(F.col("day").isin(*days))
+        aside = f"{store.path(table)}_merged"
+        merged = balanced(rows.withColumn("batch_id", F.lit(through)))
+        merged.write.partitionBy("day", "batch_id").parquet(aside)
+        _finish(spark, store, table)
+
+
+def _finish(spark, store, table):
+    """Put completely written merged folders in place of what they hold."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    aside = f"{store.path(table)}_merged"
+    fs = path(aside).getFileSystem(conf)
+    if fs.exists(path(f"{aside}/_SUCCESS")):
+        for day in fs.listStatus(path(aside)):
+            name = day.getPath().getName()
+            if not name.startswith("day="):
+                continue
+            merged = fs.listStatus(day.getPath())[0].getPath()
+            through = int(merged.getName().removeprefix("batch_id="))
+            target = f"{store.path(table)}/{name}"
+            for old in fs.listStatus(path(target)):
+                if int(old.getPath().getName().removeprefix("batch_id=")) <= through:
+                    fs.delete(old.getPath(), True)
+            fs.rename(merged, path(f"{target}/{merged.getName()}"))
+            fs.delete(day.getPath(), True)
+    delete_folder(spark, aside)

@@ -31,6 +31,14 @@ _SCHEMAS = {
 DAYS_SCHEMA = T.StructType(
     _DAY + [T.StructField(c, T.LongType()) for c in ("rows", "table_accesses", "last_batch")]
 )
+# A clock may be ahead by this many days. A day further in the future is stored like any
+# other, but it is not the newest day: one wrong clock must not make all others old.
+DAYS_AHEAD = 1
+
+
+def trusted(day, ahead=DAYS_AHEAD):
+    """Whether a day lies no further than ``ahead`` after the date of processing."""
+    return F.col(day) <= F.date_add(F.current_date(), ahead)
 
 
 @dataclass(frozen=True)
@@ -63,9 +71,26 @@ class LogStore:
         """What was ingested per day, as of the newest batch (before ``before``)."""
         return read_slot(spark, self.path("days"), DAYS_SCHEMA, before)
 
+    def trusted_days(self, spark, before=None, ahead=DAYS_AHEAD) -> DataFrame:
+        """The days that may be the newest: none further in the future than ``ahead``."""
+        return self.days(spark, before).filter(trusted("day", ahead))
+
+    def days_in_the_future(self, spark, ahead=DAYS_AHEAD) -> DataFrame:
+        """The days stored with rows of a clock that is too far ahead."""
+        return self.days(spark).filter(~trusted("day", ahead))
+
+    def newest_day(self, spark, before=None):
+        """The newest trusted day as a date, None before the first one."""
+        return self.trusted_days(spark, before).agg(F.max("day").alias("d")).first()["d"]
+
     def stored_counts(self, spark, name: str) -> DataFrame:
-        """The additive counts of a summary, as last refreshed."""
-        return spark.read.parquet(self.summary_path(name))
+        """The additive counts of a summary, as last refreshed; empty before that."""
+        try:
+            return spark.read.parquet(self.summary_path(name))
+        except AnalysisException as err:
+            if "PATH_NOT_FOUND" not in str(err):
+                raise
+            return SUMMARIES[name][0](spark.createDataFrame([], _SCHEMAS["main"]))
 
     def summary(self, spark, name: str) -> DataFrame:
         """A summary as a reader sees it, percentages computed over what is stored."""

@@ -48,20 +48,32 @@ KAFKA = {"format": "kafka", "kafka.bootstrap.servers": "host:9092", "subscribe":
 
 
 def test_kafka_starts_at_the_earliest_offset(spark):
-    got = messages.message_stream(Recorder(), KAFKA, max_rows=45_000).seen
+    got = messages.message_stream(Recorder(), KAFKA, max_messages=50).seen
     assert got["format"] == "kafka" and got["subscribe"] == "queries"
-    assert got["startingOffsets"] == "earliest" and got["maxOffsetsPerTrigger"] == "45000"
+    assert got["startingOffsets"] == "earliest" and got["maxOffsetsPerTrigger"] == "50"
     assert "schema" not in got
     later = messages.message_stream(Recorder(), {**KAFKA, "startingOffsets": "latest"}).seen
     assert later["startingOffsets"] == "latest" and "maxOffsetsPerTrigger" not in later
 
 
 def test_files_are_limited_per_batch(spark):
-    got = messages.message_stream(Recorder(), {"format": "parquet", "path": "/in"}, 3).seen
+    got = messages.message_stream(Recorder(), {"format": "parquet", "path": "/in"}, max_files=3).seen
     assert got["maxFilesPerTrigger"] == "3" and got["schema"] == messages.VALUE_SCHEMA
     assert "startingOffsets" not in got
 
 
+def test_limits_are_in_the_unit_of_the_source(spark):
+    with pytest.raises(ValueError, match="not by files"):
+        messages.message_stream(Recorder(), KAFKA, max_files=3)
+    with pytest.raises(ValueError, match="not by messages"):
+        messages.message_stream(Recorder(), {"format": "parquet", "path": "/in"}, max_messages=3)
+
+
+def test_a_batch_of_messages_ends_where_they_do_now(spark):
+    got = messages.read_messages(Recorder(), KAFKA).seen
+    assert got["startingOffsets"] == "earliest" and got["endingOffsets"] == "latest"
+
+
 def test_messages_go_out_as_bytes(spark):
     sink = Recorder()
     messages.write_messages(sink, {"format": "kafka", "topic": "queries"})

@@ -4,7 +4,7 @@ from collections import Counter
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from querylume.fixture import query_log
 from querylume.operators import ordering, windows
@@ -114,9 +114,14 @@ def test_column_types_for_a_database(spark):
     df = spark.sql(
         "SELECT 1L AS big, 1 AS small, 1.5D AS d, 'x' AS t, true AS b, current_timestamp() AS ts,"
         " CAST(1 AS FLOAT) AS f, INTERVAL 1 DAY AS i, array(1) AS other, CAST(1 AS DECIMAL(9,2)) AS m")
-    assert jdbc.jdbc_column_types(df.schema) == (
-        '"big" BIGINT, "small" INTEGER, "d" DOUBLE PRECISION, "t" TEXT, "b" BOOLEAN,'
-        ' "ts" TIMESTAMP, "f" REAL, "i" INTERVAL, "other" TEXT, "m" NUMERIC(9,2)')
+    text = jdbc.jdbc_column_types(df.schema)
+    assert text == (
+        '`big` BIGINT, `small` INT, `d` DOUBLE, `t` STRING, `b` BOOLEAN, `ts` TIMESTAMP,'
+        ' `f` FLOAT, `i` STRING, `other` STRING, `m` DECIMAL(9,2)')
+    # Spark's writer hands the text to its own parser.
+    parsed = T.StructType.fromDDL(text)
+    assert parsed.names == df.columns
+    assert T.StructType.fromDDL(jdbc.jdbc_column_types(spark.sql("SELECT 1 AS `a``b`").schema)).names == ["a`b"]
     assert jdbc.create_table_sql(df.select("t").schema, "logs") == (
         'CREATE TABLE IF NOT EXISTS logs ("t" TEXT)')
 

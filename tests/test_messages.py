@@ -42,7 +42,8 @@ def test_round_trip(spark, encode):
 
 
 def test_first_rows_only(spark):
-    assert messages.to_messages(query_log(spark, SF)).count() == 20
+    assert messages.to_messages(query_log(spark, SF), 20).count() == 20
+    assert messages.to_messages(query_log(spark, SF)).count() == query_log(spark, SF).count()
 
 
 def test_unreadable_messages_are_set_apart(spark):
@@ -56,5 +57,5 @@ def test_unreadable_messages_are_set_apart(spark):
 
 def test_input_limits_and_start(spark, tmp_path):
     source = {"format": "parquet", "path": str(tmp_path)}
-    assert messages.read_messages(spark, source, max_rows=3).columns == ["value"]
+    assert messages.message_stream(spark, source, max_files=3).columns == ["value"]
     assert messages.read_batches(spark, source).columns == list(CLEAN)

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import CLEAN
-from querylume.operators.cleaning import conform
 from querylume.plans import reports, views
 from querylume.session import scratch_path
 from querylume.sources import files
@@ -14,10 +13,10 @@ from querylume.streaming import live
 from querylume.streaming.ingest import ingest_batch, run_ingest
 from querylume.streaming.refresh import days_to_refresh, refresh_views
 from querylume.streaming.retention import (
-    apply_retention, expired_days, retained_main, retained_summary,
+    apply_retention, expire, expired_days, retained_main, retained_summary,
 )
 from querylume.streaming.slots import SLOTS, read_slot, write_slot
-from querylume.streaming.sinks import top_tables_seen
+from querylume.streaming.sinks import compact, top_tables_seen
 from querylume.streaming.store import DAYS_SCHEMA, LogStore, running_total
 
 DAY = [datetime.date(2024, 1, d) for d in range(1, 32)]
@@ -188,7 +187,7 @@ def test_stream_equals_batch_and_resumes(spark, store, tmp_path):
             "append").parquet(folder)
 
     def run():
-        run_ingest(spark, source, store, checkpoint, max_rows=1).awaitTermination()
+        run_ingest(spark, source, store, checkpoint, max_files=1).awaitTermination()
 
     send(message(*[on(1, i) for i in range(5)]))
     send(message(*[on(2, i, was_cached=1) for i in range(5, 9)]), "not json")
@@ -205,23 +204,88 @@ def test_stream_equals_batch_and_resumes(spark, store, tmp_path):
         map(str, views.hit_rate_daily(main.drop("day")).collect()))
 
 
-def test_live_numbers_follow_the_stream(spark, store, make_log, tmp_path):
-    folder, checkpoint = str(tmp_path / "rows"), scratch_path(spark, "checkpoint")
-    one = make_log(on(1, 1, was_cached=1, write_table_ids="1"), on(2, 2))
-    # Query 2 again: the same day counts once, another day on its own.
-    two = make_log(on(2, 3, was_cached=1, write_table_ids="7"), on(2, 2),
-                   on(2, 4, query_type="copy", write_table_ids="1,9"), on(2, 1))
-    for part in (one, two):
-        conform(part).coalesce(1).write.mode("append").parquet(folder)
-        rows = spark.readStream.schema(part.schema).parquet(folder)
-        for q in live.live_metrics(rows, store, checkpoint):
-            q.awaitTermination()
-    everything = one.unionByName(two)
-    assert [tuple(r) for r in live.headline_now(spark, store).collect()] == [
-        tuple(r) for r in reports.headline(everything).collect()]
+def test_live_numbers_count_late_rows_and_outlive_a_wrong_clock(spark, store, feed):
+    """Days out of order, one far too late, one dated 2099; every batch sent twice."""
+    batches = [
+        message(on(20, 1, was_cached=1, write_table_ids="1"), on(21, 2, compile_duration_ms=None)),
+        message({"arrival_timestamp": "2099-01-01T00:00:00", "query_id": 90}),
+        message(on(1, 3, was_cached=1, compile_duration_ms=11.0)),
+        message(on(21, 4, query_type="copy", write_table_ids="1,9"), on(21, 2), on(21, 5, write_table_ids="7")),
+    ]
+    for i, text in enumerate(batches):
+        for _ in range(2):
+            feed(i, text, live=True, refresh="never")
+    everything = store.read(spark, "main").drop("batch_id")
+    got, want = live.headline_now(spark, store).first(), reports.headline(everything).first()
+    assert got[:3] == want[:3] and got.total_queries == 7
+    assert got.latest_query_date == DAY[20]
+    assert [r.day.year for r in store.days_in_the_future(spark).collect()] == [2099]
+    known = everything.filter("day < '2099-01-01'").drop("day")
     assert sorted(map(tuple, live.type_share_now(spark, store).collect())) == sorted(
-        map(tuple, reports.latest_type_share(everything).collect()))
+        map(tuple, reports.latest_type_share(known).collect()))
     assert sorted(map(tuple, live.table_share_now(spark, store).collect())) == sorted(
-        map(tuple, reports.latest_table_share(everything).collect()))
-    rates = {r.bucket.day: r.hit_rate for r in live.hit_rate_now(spark, store).collect()}
-    assert rates == {1: 100.0, 2: 20.0}
+        map(tuple, reports.latest_table_share(known).collect()))
+    rates = {(r.bucket.year, r.bucket.day): r.hit_rate for r in live.hit_rate_now(spark, store).collect()}
+    assert rates == {(2024, 20): 100.0, (2024, 21): 0.0, (2099, 1): 0.0, (2024, 1): 100.0}
+    assert live.hit_rate_now(spark, store, [DAY[0]]).count() == 1
+
+
+def test_an_empty_store_can_be_read(spark, store):
+    assert live.headline_now(spark, store).first().total_queries == 0
+    assert live.hit_rate_now(spark, store).collect() == []
+    assert live.type_share_now(spark, store).collect() == []
+    assert top_tables_seen(spark, store).collect() == []
+    assert retained_main(spark, store).collect() == [] and expire(spark, store) == []
+    for name in views.SUMMARIES:
+        assert store.summary(spark, name).collect() == []
+
+
+def test_duplicates_of_earlier_batches_are_left_out(spark, store, feed):
+    first = message(on(1, 1), on(2, 2), on(1, None))
+    for batch, text in ((0, first), (1, first), (2, message(on(1, 1), on(3, 3), on(1, 4))), (2, message(
+            on(1, 1), on(3, 3), on(1, 4)))):
+        feed(batch, text, dedupe=True, refresh="never")
+    got = Counter((r.day.day, r.query_id) for r in store.read(spark, "main").collect())
+    assert got == {(1, 1): 1, (2, 2): 1, (1, None): 2, (3, 3): 1, (1, 4): 1}
+    assert {r.day.day: r.rows for r in store.days(spark).collect()} == {1: 4, 2: 1, 3: 1}
+
+
+def test_retention_in_the_ingest(spark, store, feed):
+    steps = [
+        message(on(1, 1), on(2, 2)), message(on(5, 3)), message(on(1, 4), on(5, 5)),
+        message({"arrival_timestamp": "2099-01-01T00:00:00", "query_id": 90}), message(on(6, 6)),
+    ]
+    seen = []
+    for i, text in enumerate(steps):
+        for _ in range(2):
+            feed(i, text, retention_days=4)
+        seen.append(main_rows(spark, store))
+    assert seen[0] == [(1, 1), (2, 2)]
+    assert seen[1] == seen[2][:1] + [(5, 3)] == [(2, 2), (5, 3)]
+    assert seen[2] == [(2, 2), (5, 3), (5, 5)]
+    assert seen[3] == [(1, 90), (2, 2), (5, 3), (5, 5)]  # 2099-01-01
+    assert seen[4] == [(1, 90), (5, 3), (5, 5), (6, 6)]
+    assert store.read(spark, "archive").count() == 7
+    refresh_views(spark, store, expired=DAY[:2])
+    summary = {r.day: r.total_queries for r in store.summary(spark, "hit_rate").collect()}
+    assert summary == {DAY[4]: 2, DAY[5]: 1, datetime.date(2099, 1, 1): 1}
+
+
+def test_merged_batches_hold_the_same_rows(spark, store, feed):
+    for i in range(4):
+        feed(i, message(*[on(d, 10 * i + d) for d in (1, 2, 3)]), refresh="never")
+    before = main_rows(spark, store)
+    compact(spark, store, 2, days=[DAY[0], DAY[1]])
+    assert main_rows(spark, store) == before
+    ids = {(r.day.day, r.batch_id) for r in store.read(spark, "main").select("day", "batch_id").collect()}
+    assert ids == {(1, 2), (1, 3), (2, 2), (2, 3), (3, 0), (3, 1), (3, 2), (3, 3)}
+    feed(3, message(on(1, 31)), refresh="never")  # the last batch is replayed
+    assert [r for r in main_rows(spark, store) if r[0] == 1] == [(1, 1), (1, 11), (1, 21), (1, 31)]
+    # A merge that stopped after its rows were written is finished by the next one.
+    rows = store.read(spark, "main").filter("day = '2024-01-03' AND batch_id <= 3")
+    rows.withColumn("batch_id", F.lit(3)).write.partitionBy("day", "batch_id").parquet(
+        f"{store.path('main')}_merged")
+    before = main_rows(spark, store)
+    compact(spark, store, -1)
+    assert main_rows(spark, store) == before
+    assert store.read(spark, "main").filter("day = '2024-01-03'").select("batch_id").distinct().count() == 1
