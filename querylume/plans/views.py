@@ -30,11 +30,14 @@ def _with_shares(groups: DataFrame, totals: DataFrame, day_share: str) -> DataFr
     # One row per calendar date, so the window over all of them is small; the totals and
     # their sum reach the groups in one broadcast.
     overall = F.sum("total").over(Window.partitionBy(F.lit(0)))
+    lookup = totals.withColumn("overall", overall).withColumnRenamed("day", "_day")
+    # Groups without a day are part of the whole, but have no share of a day.
+    day_total = F.when(F.col("day").isNotNull(), F.col("total"))
     return (
-        join_day_totals(groups, totals.withColumn("overall", overall), "left")
-        .withColumn(day_share, percent(F.col("count"), F.col("total")))
+        groups.join(F.broadcast(lookup), F.col("day").eqNullSafe(F.col("_day")), "left")
+        .withColumn(day_share, percent(F.col("count"), day_total))
         .withColumn("overall_percentage", percent(F.col("count"), F.col("overall")))
-        .drop("total", "overall")
+        .drop("total", "overall", "_day")
     )
 
 

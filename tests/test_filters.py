@@ -77,3 +77,11 @@ def test_a_timestamp_range_prunes_days(spark, log, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in plan
     scans = [line for line in plan.splitlines() if "FileScan" in line]
     assert scans and all("2024-02-01" in line for line in scans)
+
+
+def test_a_query_type_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.createDataFrame([("select",), ("SELECT",), ("Select",), ("copy",)], "query_type string").write.parquet(path)
+    rows = filters.of_type(spark.read.parquet(path), "sElect")
+    assert rows.count() == 3
+    assert "PushedFilters: [In(query_type" in rows._jdf.queryExecution().executedPlan().toString().replace("IsNotNull(query_type), ", "")

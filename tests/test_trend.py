@@ -77,3 +77,11 @@ def test_line_through_raw_rows(make_log):
     fit = trend.ols(log, query_type="SELECT").first()
     assert (fit.slope, fit.intercept, fit.r2) == (
         pytest.approx(2.0), pytest.approx(1.0), pytest.approx(1.0))
+
+
+def test_a_fit_that_did_not_settle_is_none(spark):
+    """A cap on the steps leaves no model, and it ranks last."""
+    points = curve(spark, lambda x: 0.2 * math.exp(0.35 * x) + 0.3 * (x % 3))
+    assert trend.fit_exponential(points).first().a is not None
+    capped = trend.fit_exponential(points, max_iter=1).first()
+    assert (capped.a, capped.b, capped.r2) == (None, None, None)

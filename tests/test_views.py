@@ -99,12 +99,15 @@ def test_shares_within_a_key(spark):
 
 
 def test_the_access_summary_shuffles_log_rows_once(spark):
-    """One shuffle by group; the other exchanges hold one row per day and task."""
+    """One shuffle by group; the other exchanges hold one row per day and task, and the
+    window runs over one row per day."""
     plan = first_plan(views.table_access_daily(query_log(spark, SF)))
     wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line
             and "table_id" in line]
     assert len(wide) == 1
-    assert "Window" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert plan.count("Window [") == 1 and "NestedLoop" not in plan and "Cartesian" not in plan
+    below = plan.split("Window [", 1)[1]
+    assert "keys=[day" in below.split("FileScan")[0] and "keys=[day#" in below
 
 
 def test_shares_from_a_log_and_from_stored_counts_agree(spark):
@@ -123,3 +126,9 @@ def test_rows_without_a_timestamp_have_no_share_of_a_day(make_log):
            for r in views.table_access_daily(log).collect()}
     assert got == {(True, "1"): (None, 25.0), (True, "2"): (None, 25.0),
                    (False, "3"): (50.0, 25.0), (False, "4"): (50.0, 25.0)}
+
+
+@pytest.mark.parametrize("view", [views.table_access_daily, views.query_types_daily, views.hit_rate_daily])
+def test_a_summary_reads_the_log_twice(spark, view):
+    """Once for its groups, once, narrowly, for the totals."""
+    assert first_plan(view(query_log(spark, SF))).count("FileScan") == 2
