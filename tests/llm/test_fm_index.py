@@ -57,7 +57,7 @@ def corpus(rng):
 def test_against_brute_force(spark, make_docs, phrase_bytes, monkeypatch):
     docs, items = corpus(random.Random(1))
     monkeypatch.setattr(fm_index, "PHRASE_BYTES", phrase_bytes)
-    monkeypatch.setattr(find_passages, "__defaults__", (10, phrase_bytes, ()))
+    monkeypatch.setattr(find_passages, "__defaults__", (10, phrase_bytes))
     got = [tuple(r) for r in contamination(make_docs(*docs), make_bench(spark, items)).collect()]
     assert sorted(got) == sorted(slow(docs, items))
 

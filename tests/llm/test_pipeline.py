@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from querylume.llm import pieces, simhash, toxicity
-from test_fm_index import slow as slow_passages
-from test_fm_index import words as passage_words
-from test_simhash import slow_fingerprint, slow_groups
-from test_suffix_dedup import slow as slow_repeats
+from llm.test_fm_index import slow as slow_passages
+from llm.test_fm_index import words as passage_words
+from llm.test_simhash import slow_fingerprint, slow_groups
+from llm.test_suffix_dedup import slow as slow_repeats
 
 STAGE = dict(corpus_pipeline.STAGES)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
