@@ -2,6 +2,7 @@
 
 import gc
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 
 from querylume.session import scratch_path
@@ -61,3 +62,19 @@ def chunks_of(batches, max_bytes):
             end = max(start + 1, int(total.searchsorted(before + max_bytes, side="right")))
             yield batch.slice(start, end - start)
             start = end
+
+
+_REMEMBERING = []
+
+
+def remembers(owner=None):
+    """Say that ``owner`` now uses its memory of words in this worker, or that no operator
+    does. Workers outlive their tasks: what another operator remembers is forgotten, and
+    freed memory goes back, so that memories do not add up."""
+    if _REMEMBERING and _REMEMBERING[0] is owner:
+        return
+    if _REMEMBERING:
+        _REMEMBERING.pop().memo.clear()
+    if owner is not None:
+        _REMEMBERING.append(owner)
+    pa.default_memory_pool().release_unused()

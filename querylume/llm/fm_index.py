@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from querylume.llm.common import chunks_of
+from querylume.llm.common import chunks_of, remembers
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -214,34 +214,30 @@ ADDED = (
 )
 
 
-def _scanning(phrases, schema):
+def _scanning(phrases, schema, cut=False):
     def scan(batches):
+        remembers()
         local = phrases.value
         for piece in chunks_of(batches, SHARD_BYTES):
-            counts, spans, items = search_shard(piece.column("text").to_pylist(), local)
+            texts = piece.column("text").to_pylist()
+            counts, spans, items = search_shard(texts, local)
             columns = {name: piece.column(name) for name in piece.schema.names}
             names = [sorted({local.items[i] for i in x}) for x in items]
             if "hits" in columns:  # an earlier block of items has been here
                 old = [[(h["start"], h["end"]) for h in row] for row in columns["hits"].to_pylist()]
                 spans = [merged(a + b) for a, b in zip(old, spans)]
                 names = [sorted({*a, *b}) for a, b in zip(columns["items"].to_pylist(), names)]
-            columns |= {"n_words": counts, "hits": [
-                [{"start": a, "end": b} for a, b in x] for x in spans], "items": names}
-            yield pa.RecordBatch.from_pydict(columns, schema=schema)
+            if cut:
+                columns["text"] = [without(t, x) if x else t for t, x in zip(texts, spans)]
+            else:
+                columns |= {"n_words": counts, "hits": [
+                    [{"start": a, "end": b} for a, b in x] for x in spans], "items": names}
+            yield pa.RecordBatch.from_pydict({n: columns[n] for n in schema.names}, schema=schema)
     return scan
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window=WINDOW,
-                  phrase_bytes=PHRASE_BYTES, carried=()) -> DataFrame:
-    """doc_id and text of ``docs`` with n_words, hits (runs of words that lie in an
-    occurrence of a window, as [start, end) word numbers, merged) and items (the
-    item_ids whose windows occur, sorted as strings).
-
-    A window is ``window`` consecutive words of an item of ``benchmark`` (item_id,
-    text), or the whole of a shorter one. Texts that are null or hold no words have no
-    windows and no hits; a null item_id is called ``null``; more columns are ignored but
-    for the ``carried`` ones.
-    """
+def _searched(docs, benchmark, carried, window, phrase_bytes, cut=False):
+    """The blocks of items one after the other; the last one cuts the texts if asked to."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
@@ -251,11 +247,25 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window=WINDOW,
     for block in range(n_blocks):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
         phrases = spark.sparkContext.broadcast(Phrases([tuple(r) for r in some.collect()], window))
-        schema = StructType(given + StructType.fromDDL(ADDED).fields)
-        found = found.mapInArrow(_scanning(phrases, to_arrow_schema(schema)), schema)
+        last = cut and block == n_blocks - 1
+        schema = StructType(given if last else given + StructType.fromDDL(ADDED).fields)
+        found = found.mapInArrow(_scanning(phrases, to_arrow_schema(schema), last), schema)
     return found
 
 
+def find_passages(docs: DataFrame, benchmark: DataFrame, window=WINDOW,
+                  phrase_bytes=PHRASE_BYTES) -> DataFrame:
+    """doc_id and text of ``docs`` with n_words, hits (runs of words that lie in an
+    occurrence of a window, as [start, end) word numbers, merged) and items (the
+    item_ids whose windows occur, sorted as strings).
+
+    A window is ``window`` consecutive words of an item of ``benchmark`` (item_id,
+    text), or the whole of a shorter one. Texts that are null or hold no words have no
+    windows and no hits; a null item_id is called ``null``; more columns are ignored.
+    """
+    return _searched(docs, benchmark, (), window, phrase_bytes)
+
+
 def without(text, hits):
     """``text`` without the hit words and what stands between words of one run."""
     data = text.encode()
@@ -279,22 +289,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_passages(docs: DataFrame, benchmark: DataFrame, window=WINDOW,
+                     phrase_bytes=PHRASE_BYTES) -> DataFrame:
     """All rows and columns of ``docs``; from the text the hit words are cut, with what
     stands between words of one run. Other texts stay as they are."""
+    # The other columns travel in one struct, so their names cannot clash.
     row = F.struct(*(c for c in docs.columns if c != "text")).alias("row")
-    found = find_passages(docs.select("doc_id", "text", row), benchmark, carried=["row"])
-    found = found.select("text", "hits", "row")
-    schema = found.select("text", "row").schema
-    arrow = to_arrow_schema(schema)
-
-    def cut(batches):
-        for batch in batches:
-            texts = [
-                without(t.as_py(), [(h["start"], h["end"]) for h in hits.as_py()]) if len(hits) else t.as_py()
-                for t, hits in zip(batch.column("text"), batch.column("hits"))
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("row")], schema=arrow)
-
-    cleaned = found.mapInArrow(cut, schema)
+    cleaned = _searched(docs.select("doc_id", "text", row), benchmark, ["row"], window,
+                        phrase_bytes, cut=True)
     return cleaned.select(*("text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

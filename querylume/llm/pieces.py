@@ -18,14 +18,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 from sentencepiece import sentencepiece_model_pb2
 
-from querylume.llm.common import chunks_of
+from querylume.llm.common import chunks_of, remembers
 
 # Fixed values of the format: kinds of pieces, the sign for a space, the penalties.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
 UNKNOWN_PENALTY, USER_PENALTY = 10.0, 0.1
 
-MEMO = 800_000
+MEMO = 500_000
 LONGEST_REMEMBERED = 64
 PIECE_BYTES = 4 << 20
 LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -121,10 +121,11 @@ class PieceEncoder:
 
     def encode(self, texts):
         """The ids of each text as little-endian bytes; null is an empty text."""
+        remembers(self)
         split = [self.chunk.findall(self.normalised(t)) if t else () for t in texts]
         new = set().union(*split)
         if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
+            self.memo.clear()
         memo = self.memo
         for chunk in new:
             if chunk not in memo:

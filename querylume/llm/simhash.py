@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from querylume.llm.common import written
+from querylume.llm.common import remembers, written
 from querylume.llm.graph import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -47,6 +47,7 @@ def fingerprints(docs: DataFrame, shingle=SHINGLE) -> DataFrame:
     """doc_id, a hash ``th`` of the text that tells rows of one id apart, and the signed
     64-bit fingerprint ``fp``. Null and wordless texts have 0."""
     def compute(batches):
+        remembers()
         for batch in batches:
             doc_id, text, th = batch.columns
             fp = [fingerprint(shingle_hashes(t.as_py(), shingle)) for t in text]

@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from querylume.llm import suffix_names as sn
-from querylume.llm.common import dropped, written
+from querylume.llm.common import chunks_of, dropped, remembers, written
 
 LENGTH = 200
 # Places in a row that share a sample; the sample's name and all it is compared by must
@@ -34,8 +34,9 @@ RUN = 120
 SHORT, DEEP = 9, 81
 BLOCK = 16
 COMMON = LENGTH - BLOCK + 1
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 PLACE_BITS = 22
+PIECE_BYTES = 8 << 20
 assert LENGTH - (RUN - 1) >= DEEP and RUN % 8 == 0 and SEGMENT + 2 * LENGTH < 1 << PLACE_BITS
 
 SAMPLES = "dk long, th int, place int, low short, high short, name long, wide long"
@@ -57,12 +58,11 @@ def _sample_segments(segments):
     lengths = np.array([len(s) for s in segments])
     ends = np.cumsum(lengths)
     starts = ends - lengths
-    levels = {}
-    deep = sn.names(data, DEEP, levels=levels)
+    deep, short = sn.names(data, DEEP, also=SHORT)
     mask = np.uint64((1 << PLACE_BITS) - 1)
     # The low bits are the place, so of equal names the first is the least.
-    least = (levels[SHORT] & ~mask) | np.arange(len(data), dtype=np.uint64)
-    levels.clear()
+    least = (short & ~mask) | np.arange(len(data), dtype=np.uint64)
+    del short
     step = 1
     while 2 * step <= RUN:
         least[:-step] = np.minimum(least[:-step], least[step:])
@@ -132,7 +132,8 @@ def sample_texts(texts):
 
 
 def _sampling(batches):
-    for batch in batches:
+    remembers()
+    for batch in chunks_of(batches, SEGMENT):
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
         number, place, low, high, deep, wide = sample_texts(texts)
         dk, th = (batch.column(c).to_numpy() for c in ("dk", "th"))
@@ -154,7 +155,8 @@ def _blocks_of(data, place, low, high):
 
 
 def _cutting(batches):
-    for batch in batches:
+    remembers()
+    for batch in chunks_of(batches, SEGMENT):
         rows = []
         for text, samples in zip(batch.column("text").to_pylist(), batch.column("samples").to_pylist()):
             data = text.encode()
@@ -264,7 +266,8 @@ REMOVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept
 
 def _removing(schema):
     def remove(batches):
-        for batch in batches:
+        remembers()
+        for batch in chunks_of(batches, PIECE_BYTES):
             rows = []
             for text, spans in zip(batch.column("text"), batch.column("spans")):
                 data = (text.as_py() or "").encode()

@@ -50,15 +50,15 @@ def deeper(names, depth, seed=0):
     return out
 
 
-def names(data, depth=DEPTHS[-1], seed=0, levels=None):
-    """Names of ``depth`` (a power of three) bytes from every place of ``data``; names of
-    smaller depths go into ``levels``."""
-    now, at = byte_names(data, seed), 1
+def names(data, depth=DEPTHS[-1], seed=0, also=None):
+    """Names of ``depth`` (a power of three) bytes from every place of ``data``; with those
+    of the smaller depth ``also``, if one is given."""
+    now, at, kept = byte_names(data, seed), 1, None
     while at < depth:
         now, at = deeper(now, at, seed), at * 3
-        if levels is not None:
-            levels[at] = now
-    return now
+        if at == also:
+            kept = now
+    return now if also is None else (now, kept)
 
 
 def spanning(deep, places, lengths, depth=DEPTHS[-1], seed=0):

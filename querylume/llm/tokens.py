@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from querylume.llm.common import remembers
+
 MEMO = 1_500_000
 CHUNK = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[ \n.,]|\Z)|[^ \t\n\r\f\v]+")
 JOINED = 500
@@ -41,6 +43,7 @@ class ChunkEncoder:
 
     def encode(self, texts):
         """The ids of each text as little-endian bytes; null is an empty text."""
+        remembers(self)
         split = [CHUNK.findall(t) if t else () for t in texts]
         get = self.memo.get
         found = [list(map(get, words)) for words in split]
@@ -48,7 +51,7 @@ class ChunkEncoder:
             [i for i, ids in enumerate(row) if ids is None] if None in row else () for row in found]
         new = {words[i] for words, row in zip(split, gaps) for i in row}
         if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
+            self.memo.clear()
         self._learn(new)
         for words, row, ids in zip(split, gaps, found):
             for i in row:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from querylume.llm.common import dropped, written
+from querylume.llm.common import dropped, remembers, written
 
 # At most so many labelled rows of either class are learnt from, those with the smallest
 # hashes; one in four of them fits the weights, the others choose the terms.
@@ -29,7 +29,7 @@ EDITS = ((9, 2), (5, 1))
 EDIT_FACTOR = 0.8
 # The context of a term: so many words on either side, and the marks that touch them.
 CONTEXT, MARKS = 6, 3
-MEMO = 500_000
+MEMO = 300_000
 # Weights without evidence: abuse counts fully, quotation a quarter.
 PRIOR = np.array([-4.0, 2.0, 0.5, 1.0])
 RIDGE = 1.0
@@ -127,6 +127,7 @@ class Lexicon:
 
     def find(self, words):
         """The words that are terms: {word: weight}."""
+        remembers(self)
         memo = self.memo
         new = words.difference(memo)
         if len(memo) + len(new) > MEMO:
@@ -256,7 +257,7 @@ def _mapping(lexicon, beta, schema):
     def score(batches):
         words = lexicon.value
         for batch in batches:
-            x = np.array([features(t, words) for t in batch.column("text").to_pylist()])
+            x = np.array([features(t.as_py(), words) for t in batch.column("text")])
             x = x.reshape(batch.num_rows, 4)
             columns = {n: batch.column(n) for n in batch.schema.names if n != "text"}
             if beta is None:
@@ -311,7 +312,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def keep(batches):
         for batch in batches:
-            x = np.array([features(t, sent.value) for t in batch.column(text).to_pylist()])
+            x = np.array([features(t.as_py(), sent.value) for t in batch.column(text)])
             p = 1 / (1 + np.exp(-x.reshape(batch.num_rows, 4) @ beta))
             yield batch.filter(pa.array(p < 0.5))
 
