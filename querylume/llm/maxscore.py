@@ -168,17 +168,16 @@ def top_k(vectors: DataFrame, is_query, k=K) -> DataFrame:
     asked = chosen.filter(is_query).dropDuplicates(["vec_id"])
     queries = pack(asked, QUERY_ROWS).select(
         F.col("shard").alias("block"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "weights", "n_terms")))
-    # A numbered list of the shards, one row for thousands of vectors, meets every block
-    # of queries; the vectors of a shard then join by its number.
-    numbers = [r["shard"] for r in shards.select("shard").collect()]
-    if not numbers:
-        return vectors.sparkSession.createDataFrame(
-            [], "query_id long, rank int, vec_id long, score long")
-    every = F.explode(F.array(*map(F.lit, numbers)))
-    parts = len(numbers)
-    pairs = queries.withColumn("shard", every).repartition(parts, "shard").join(
-        shards.repartition(parts, "shard").hint("merge"), "shard")
-    found = pairs.drop("shard", "block").mapInArrow(_searching(k), FOUND)
+    # The shards, one row for thousands of vectors, are numbered from 1, and every block of
+    # queries goes to every number.
+    number = F.row_number().over(Window.orderBy("shard"))
+    numbered = shards.join(shards.select("shard", number.alias("number")), "shard")
+    n = shards.count()
+    every = F.explode(F.sequence(F.lit(1), F.lit(max(n, 1))))
+    parts = max(1, min(n, 20_000))
+    pairs = queries.withColumn("number", every).repartition(parts, "number").join(
+        numbered.repartition(parts, "number").hint("merge"), "number")
+    found = pairs.drop("shard", "block", "number").mapInArrow(_searching(k), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
