@@ -17,6 +17,7 @@ from querylume.schema import (
     EXPECTED_TYPES, INVALID_TABLE_IDS, LEGAL_QUERY_TYPES, READING_TYPES, WRITING_TYPES,
 )
 
+# The texts of the rules below and what joins them.
 SEPARATOR = " | "
 
 

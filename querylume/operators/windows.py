@@ -42,6 +42,7 @@ def fill_hours(hourly: DataFrame, zeros, hour="hour") -> DataFrame:
     kind = hourly.schema[hour].dataType
     span = hourly.agg(F.min(hour).alias("lo"), F.max(hour).alias("hi")).filter("lo IS NOT NULL")
     days = span.select("lo", "hi", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).alias("d"))
+    days = days.repartition("d")  # a stray date makes the span long: spread its hours
     midnight = F.col("d").cast(kind)
     each = F.sequence(midnight, midnight + F.expr("INTERVAL 25 HOURS"), F.expr("INTERVAL 1 HOUR"))
     hours = days.select("lo", "hi", "d", F.explode(each).alias(hour))

@@ -18,6 +18,7 @@ from querylume.operators.projections import relabel, rename, require_columns, un
 from querylume.operators.windows import fill_days, fill_hours, rolling_mean
 
 TS = "arrival_timestamp"
+# The output column names of the reports below.
 
 
 # -- trends -------------------------------------------------------------------

@@ -22,6 +22,9 @@ from querylume.operators.joins import join_day_totals, join_unique
 from querylume.operators.projections import with_day
 
 
+# The output column names of the summaries below.
+
+
 def _day_totals(rows: DataFrame, amount) -> DataFrame:
     return with_day(rows).groupBy("day").agg(F.sum(amount).alias("total"))
 

@@ -31,19 +31,20 @@ def to_batches(df: DataFrame, n=ROWS_PER_MESSAGE, ts="arrival_timestamp", slices
 
     Rows are range-partitioned by time and numbered where they lie, so no task sees
     more than its slice and no group holds more than ``n`` rows. The last message
-    of a slice may be shorter.
+    of a slice may be shorter. Rows go into their message as the JSON text they will be.
     """
     rows = drop_raw_only(df)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE_BITS))
     placed = time_slices(rows, ts, slices).select(
         F.spark_partition_id().alias("slice"),
         place.alias("place"),
-        F.struct(*rows.columns).alias("row"),
+        F.to_json(F.struct(*rows.columns), JSON_OPTIONS).alias("row"),
     )
     grouped = placed.groupBy("slice", F.floor(F.col("place") / n).alias("chunk")).agg(
         F.sort_array(F.collect_list(F.struct("place", "row"))).alias("items")
     )
-    return grouped.select("slice", "chunk", F.to_json("items.row", JSON_OPTIONS).alias("value"))
+    array = F.concat(F.lit("["), F.array_join("items.row", ","), F.lit("]"))
+    return grouped.select("slice", "chunk", array.alias("value"))
 
 
 def to_messages(df: DataFrame, n=None) -> DataFrame:
