@@ -26,7 +26,7 @@ def _sent(log):
     return messages.to_batches(log).select("value")
 
 
-def _write_messages(spark, sf_dir, folder):
+def write_log_messages(spark, sf_dir, folder):
     """The log as JSON-array messages, and every conversation text as a message that
     cannot be read."""
     noise = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
@@ -36,7 +36,7 @@ def _write_messages(spark, sf_dir, folder):
     messages.write_messages(noise, {"format": "parquet", "path": folder})
 
 
-def _run(spark, base, store, **options):
+def run_to_end(spark, base, store, **options):
     source = {"format": "parquet", "path": f"{base}/messages"}
     run_ingest(spark, source, store, f"{base}/checkpoint", **options).awaitTermination()
 
@@ -55,16 +55,16 @@ def _kept(spark, sf_dir, name, make):
 def ingested(spark, sf_dir):
     """The store after the whole log went through the ingest, in several batches."""
     def make(base, store):
-        _write_messages(spark, sf_dir, f"{base}/messages")
-        _run(spark, base, store, max_files=2, sketch_capacity=10_000, refresh="never")
+        write_log_messages(spark, sf_dir, f"{base}/messages")
+        run_to_end(spark, base, store, max_files=2, sketch_capacity=10_000, refresh="never")
     return _kept(spark, sf_dir, "ingest", make)
 
 
 def refreshed(spark, sf_dir):
     """A store of its own with its summaries brought up to date."""
     def make(base, store):
-        _write_messages(spark, sf_dir, f"{base}/messages")
-        _run(spark, base, store, archive=False, refresh="never")
+        write_log_messages(spark, sf_dir, f"{base}/messages")
+        run_to_end(spark, base, store, archive=False, refresh="never")
         refresh_views(spark, store)
     return _kept(spark, sf_dir, "refreshed", make)
 
@@ -83,7 +83,7 @@ def out_of_order(spark, sf_dir):
     live numbers."""
     def make(base, store):
         _in_parts(spark, query_log(spark, sf_dir), base)
-        _run(spark, base, store, max_files=1, live=True, archive=False, refresh="never")
+        run_to_end(spark, base, store, max_files=1, live=True, archive=False, refresh="never")
     return _kept(spark, sf_dir, "late", make)
 
 
@@ -212,7 +212,7 @@ def x9(spark, sf_dir):
     def make(base, store):
         for _ in range(2):
             _in_parts(spark, query_log(spark, sf_dir), base, 2)
-        _run(spark, base, store, max_files=1, dedupe=True, archive=False, refresh="never")
+        run_to_end(spark, base, store, max_files=1, dedupe=True, archive=False, refresh="never")
     main = _kept(spark, sf_dir, "deduplicated", make).read(spark, "main")
     return main.groupBy("query_id").agg(F.count("*").alias("n"))
 
@@ -225,7 +225,7 @@ def x2(spark, sf_dir):
         for half in (0, 1):
             part = log.filter(F.col("query_id") % 2 == half)
             messages.write_messages(_sent(part), {"format": "parquet", "path": f"{base}/messages"})
-            _run(spark, base, store, archive=False, refresh="never")
+            run_to_end(spark, base, store, archive=False, refresh="never")
     return _kept(spark, sf_dir, "resumed", make).read(spark, "main").select("query_id")
 
 
@@ -262,8 +262,8 @@ def s11(spark, sf_dir):
 def x6_applied(spark, sf_dir):
     """Retention as part of the ingest."""
     def make(base, store):
-        _write_messages(spark, sf_dir, f"{base}/messages")
-        _run(spark, base, store, max_files=2, archive=False, retention_days=4)
+        write_log_messages(spark, sf_dir, f"{base}/messages")
+        run_to_end(spark, base, store, max_files=2, archive=False, retention_days=4)
     return _kept(spark, sf_dir, "expired", make).read(spark, "main").select("query_id")
 
 
@@ -278,7 +278,7 @@ def x6_wrong_clock(spark, sf_dir):
         })
         for part in (odd, log):
             messages.write_messages(_sent(part), {"format": "parquet", "path": f"{base}/messages"})
-        _run(spark, base, store, archive=False, retention_days=4)
+        run_to_end(spark, base, store, archive=False, retention_days=4)
     return _kept(spark, sf_dir, "clock", make).read(spark, "main").select("query_id")
 
 
@@ -294,7 +294,7 @@ def x8(spark, sf_dir):
         for half in halves:
             sent = _sent(log.filter(half))
             messages.write_messages(sent, {"format": "parquet", "path": f"{base}/messages"})
-            _run(spark, base, store, archive=False)
+            run_to_end(spark, base, store, archive=False)
     store = _kept(spark, sf_dir, "refreshing", make)
     shown = store.summary(spark, "hit_rate")
     return shown.filter(F.col("day") < shown.agg(F.max("day")).scalar())
@@ -305,7 +305,7 @@ def s14(spark, sf_dir):
     """The main table after its batch folders were merged."""
     def make(base, store):
         _in_parts(spark, query_log(spark, sf_dir), base)
-        _run(spark, base, store, max_files=1, archive=False, refresh="never")
+        run_to_end(spark, base, store, max_files=1, archive=False, refresh="never")
         compact(spark, store, FILES, tables=["main"])
     main = _kept(spark, sf_dir, "compacted", make).read(spark, "main")
     return main.drop("batch_id")
