@@ -93,4 +93,10 @@ def test_rows(spark, make_docs):
         assert rows[i].n_pieces == len(want)
         assert rows[i].ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
         assert rows[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+    coded = pieces.encoded(docs, PATH)
+    assert {r.doc_id: r.pieces for r in coded.collect()}[4] == ids("two  spaces")
+    assert all(r.restored for r in coded.collect())
+    back = {r.doc_id: r for r in pieces.decoded(coded, PATH).collect()}
+    assert {i: r.decoded for i, r in back.items()} == {i: t or "" for i, t in enumerate(texts)}
+    assert all(back[i].ids_crc32 == rows[i].ids_crc32 and back[i].n_pieces == rows[i].n_pieces for i in rows)
     assert pieces.round_trip(docs.limit(0), PATH).collect() == []
