@@ -244,8 +244,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             mixed.join(known, ["name", "wide"]).select(
                 "dk", "th", F.when(F.col("n") > 1, whole).otherwise(some).alias("s")))
     )
+    # Rows that repeat an id and a text find the same spans: a set, filled before the shuffle
+    # too, holds them once, so that it is bounded by one text however many the rows are.
     found = written(
-        spans.groupBy("dk", "th").agg(F.flatten(F.collect_list("s")).alias("spans")), "suffix-spans")
+        spans.groupBy("dk", "th").agg(F.flatten(F.collect_set("s")).alias("spans")), "suffix-spans")
     dropped(spark, again, classes, settled)
     return found
 

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from querylume.llm import suffix_dedup
-from querylume.llm.suffix_dedup import repeats, without_repeats
+from querylume.llm.suffix_dedup import repeated_spans, repeats, without_repeats
 
 
 def slow(texts, n=200):
@@ -90,6 +90,20 @@ def test_repeated_rows_and_ids(make_docs):
     check(make_docs, [single, c, words(rng, 50) + c[30:400]], [5, 6, 6])
 
 
+def test_many_repeated_rows_share_one_list(make_docs):
+    rng = random.Random(4)
+    a, b = words(rng, 200), words(rng, 150)
+    others = [a[:300] + "#" + a[301:], b, words(rng, 20) + b[100:500]]
+
+    def held(texts, ids):
+        docs = make_docs(*zip(ids, texts)).repartition(4)
+        return {r.th: len(r.spans) for r in repeated_spans(docs).collect()}
+
+    texts = [a] * 60 + others
+    assert held(texts, [None] * 63) == held([a, a, *others], range(5))
+    check(make_docs, texts, [None] * 60 + [7, 7, 8])
+
+
 def test_long_text_in_segments(make_docs, monkeypatch):
     rng = random.Random(12)
     t = words(rng, 3000)
