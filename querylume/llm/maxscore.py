@@ -160,12 +160,14 @@ def top_k(vectors: DataFrame, is_query, k=K) -> DataFrame:
 
     Rows with a null vec_id, and vectors that are null or hold a null or non-finite
     component, take no part. A shorter vector counts as padded with zeros. Rows of the
-    query's own vec_id are no candidates; other repeated rows count each. Queries that
-    repeat a vec_id are searched once. No rows, no rows.
+    query's own vec_id are no candidates; other repeated rows count each. Every query row
+    that takes part is searched; those that repeat a vec_id share its ranks, so that a
+    candidate counts once for each of them. No rows, no rows.
     """
     chosen = vectors.select("vec_id", "embedding")
     shards = pack(chosen, SHARD_ROWS)
-    asked = chosen.filter(is_query).dropDuplicates(["vec_id"])
+    # Dealt by place, so that blocks are full and rows of one vec_id are spread.
+    asked = chosen.filter(is_query).withColumn("place", F.monotonically_increasing_id()).repartition("place")
     queries = pack(asked, QUERY_ROWS).select(
         F.col("shard").alias("block"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "weights", "n_terms")))
     # The shards, one row for thousands of vectors, are numbered from 1, and every block of

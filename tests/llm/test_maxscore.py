@@ -1,9 +1,11 @@
 import math
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from querylume.llm import maxscore
+from querylume.llm.queries import ORACLES, op10_maxscore
 
 
 def slow(rows, k=5):
@@ -59,3 +61,18 @@ def test_few_or_no_vectors(spark):
     assert got(spark, [(3, [1.0])]) == []
     assert got(spark, [(3, [1.0]), (6, [2.0]), (7, [2.0])]) == slow([(3, [1.0]), (6, [2.0]), (7, [2.0])])
     assert got(spark, [(3, [1.0]), (4, [1.0]), (4, [1.0])]) == [(3, 1, 4, 65536), (3, 2, 4, 65536)]
+
+
+def test_repeated_queries_against_the_sql(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(6)]) for i in range(1, 50)]
+    for i in range(50, 1050, 50):
+        usable = [rng.gauss(0, 0.3) for _ in range(6)]
+        rows += [(i, None), (i, [None] * 6), (i, [float("nan")] * 6), (i, usable)]
+        rows += [(i, usable)] * (i % 200 == 0) + [(i, usable[::-1])] * (i % 300 == 0)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    frame.write.parquet(str(tmp_path / "embeddings.parquet"))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = con.execute(ORACLES["op10_maxscore"]).fetchall()
+    assert sorted(map(tuple, op10_maxscore(spark, str(tmp_path)).collect())) == sorted(want)
