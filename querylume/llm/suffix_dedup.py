@@ -1,5 +1,6 @@
-"""Long byte strings that occur more than once, found by a distributed difference-cover
-sort of suffixes, and documents without them.
+"""Long byte strings that occur more than once, found by grouping sampled suffixes on
+fingerprints, and documents without them. This replaces the sort, the merge order and the
+comparison of neighbours of a difference-cover suffix sort: no suffix order is made.
 
 A suffix starts at every byte. Only sampled suffixes are named and compared across
 documents; the others between them are settled by the nearest sample:
@@ -11,7 +12,7 @@ documents; the others between them are settled by the nearest sample:
    Samples whose 81-byte name occurs once are done: nothing around them repeats.
 3. Classes. Samples of one name whose whole surroundings agree are one class, settled by
    their number. Only names with several classes are looked at more closely.
-4. Merge. The suffixes before a sample are compared in blocks: two suffixes of a block
+4. Blocks. The suffixes before a sample are compared in blocks: two suffixes of a block
    agree if the bytes all of the block's strings share have one name, and the few bytes
    left and right of these are equal.
 """
