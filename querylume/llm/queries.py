@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from querylume.llm import (
-    fm_index, kd_shards, maxscore, pieces, separators, simhash, suffix_dedup, token_files,
-    toxicity, warc,
+    fill_middle, fm_index, kd_shards, maxscore, pieces, separators, simhash, suffix_dedup,
+    token_files, toxicity, warc,
 )
 
 QUERIES = {}
@@ -143,3 +143,33 @@ WHERE rank <= 5
 """)
 def op10_maxscore(spark, sf_dir):
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS text, len(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents
+), k AS (
+  SELECT doc_id, text, n, CAST('0x' || substr(d, 1, 8) AS BIGINT) % (n + 1) AS c1,
+         CAST('0x' || substr(d, 9, 8) AS BIGINT) % (n + 1) AS c2,
+         CAST('0x' || substr(d, 17, 8) AS BIGINT) % 100 AS h3,
+         CAST('0x' || substr(d, 25, 8) AS BIGINT) % 100 AS h4 FROM h
+), f AS (
+  SELECT doc_id, text, n, least(c1, c2) AS a, greatest(c1, c2) AS b,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>')
+                OR contains(text, '<M>') OR h3 >= 90 THEN 'plain'
+              WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k
+), p AS (
+  SELECT *, array_slice(text, 1, a) AS prefix, array_slice(text, a + 1, b) AS middle,
+         array_slice(text, b + 1, n) AS suffix FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+              WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+""")
+def op11_fill_middle(spark, sf_dir):
+    return fill_middle.digests(table(spark, sf_dir, "documents"))

@@ -1,0 +1,76 @@
+import hashlib
+import random
+
+import pytest
+
+from querylume.llm import fill_middle
+from querylume.llm.fill_middle import digests, outputs
+
+
+def slow(doc_id, text):
+    """A document's row and output, straight from the definition."""
+    text, n = text or "", len(text or "")
+    h = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(h[i:i + 8], 16) for i in (0, 8, 16, 24)]
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    marked = any(m in text for m in ("<P>", "<S>", "<M>"))
+    if not n or marked or h[2] % 100 >= 90:
+        return (doc_id, n, "plain", None, None), text
+    prefix, middle, suffix = text[:a], text[a:b], text[b:]
+    if h[3] % 100 < 20:
+        return (doc_id, n, "spm", a, b - a), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return (doc_id, n, "psm", a, b - a), f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+def sha(text):
+    return hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def check(docs, rows):
+    key = lambda r: tuple((x is None, x) for x in r)
+    want, texts = [], []
+    for doc_id, text in rows:
+        head, output = slow(doc_id, text)
+        want.append((*head, sha(output), sha(text)))
+        texts.append((*head, output))
+    assert sorted(map(tuple, digests(docs).collect()), key=key) == sorted(want, key=key)
+    assert sorted(map(tuple, outputs(docs).collect()), key=key) == sorted(texts, key=key)
+    return {w[2] for w in want}
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1 << 16])
+def test_against_the_definition(make_docs, monkeypatch, chunk):
+    monkeypatch.setattr(fill_middle, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    texts = ["".join(rng.choice("ab<>PSM é\U0001f600\n") for _ in range(rng.randrange(40))) for _ in range(300)]
+    texts += [None, "", "<P>", "a<S>b", "<M", "x" * 70_000 if chunk > 1 else "x" * 700, "<" * 9, "S>P>M>"]
+    rows = list(enumerate(texts))
+    assert check(make_docs(*rows).repartition(5), rows) == {"plain", "psm", "spm"}
+
+
+def test_repeated_rows_ids_and_nulls(make_docs):
+    rows = [(1, "one"), (1, "one"), (1, "other"), (None, "none"), (None, "none"), (None, None), (-1, "x")]
+    check(make_docs(*rows), rows)
+
+
+def test_marks_are_found_across_pieces(make_docs):
+    text = "pre<fix S> mid<dle P> suf<fix"
+    for form, output in (("psm", "<P>pre<<S>fix<M>m"), ("spm", "<S>fix<P>pre<<M>m")):
+        for cut in range(1, 6):
+            parts = fill_middle._Parts(form)
+            got = [p for i in range(0, len(output), cut) for p in parts.feed(output[i:i + cut])]
+            got += parts.end()
+            assert "".join(p[2] for p in sorted(got)) == "pre<mfix"
+    pieces = list(fill_middle.pieces_of(text, "psm", 5, 9))
+    assert [p for _, p in pieces] == ["<P>" + text[:5], "<S>" + text[14:], "<M>" + text[5:14]]
+
+
+def test_no_rows(make_docs):
+    docs = make_docs((1, "a")).filter("doc_id > 1")
+    assert digests(docs).collect() == [] and outputs(docs).collect() == []
+
+
+def test_one_shuffle(make_docs):
+    docs = make_docs(*[(i, "some text") for i in range(20)])
+    plan = digests(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
