@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from querylume.llm import (
-    fill_middle, fm_index, kd_shards, maxscore, pieces, separators, simhash, suffix_dedup,
-    token_files, toxicity, warc,
+    fill_middle, fm_index, kd_shards, maxscore, periodic, pieces, separators, simhash,
+    suffix_dedup, token_files, toxicity, warc,
 )
 
 QUERIES = {}
@@ -173,3 +173,10 @@ FROM p
 """)
 def op11_fill_middle(spark, sf_dir):
     return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_periodic_runs(spark, sf_dir):
+    """Over whole texts, every tenth of them made periodic as the test asks."""
+    docs = periodic.with_planted_runs(table(spark, sf_dir, "documents"))
+    return periodic.digests(periodic.periodic_runs(docs))
