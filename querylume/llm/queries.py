@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from querylume.llm import (
-    fill_middle, fm_index, kd_shards, maxscore, periodic, pieces, separators, simhash,
-    suffix_dedup, token_files, toxicity, warc,
+    fill_middle, fm_index, kd_shards, maxscore, periodic, pieces, repeats, separators,
+    simhash, suffix_dedup, token_files, toxicity, warc,
 )
 
 QUERIES = {}
@@ -180,3 +180,10 @@ def op12_periodic_runs(spark, sf_dir):
     """Over whole texts, every tenth of them made periodic as the test asks."""
     docs = periodic.with_planted_runs(table(spark, sf_dir, "documents"))
     return periodic.digests(periodic.periodic_runs(docs))
+
+
+@query()
+def op13_repeats(spark, sf_dir):
+    kept = repeats.first_occurrences(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed",
+                       F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
