@@ -4,6 +4,7 @@ import gc
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.sql import functions as F
 
 from querylume.session import scratch_path
 
@@ -42,6 +43,24 @@ def open_store(uri):
     return pafs.FileSystem.from_uri(uri)
 
 
+def text_key():
+    """128 bits of a document's text; those of a null are apart from those of an empty one."""
+    return F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.lit(b""))
+
+
+def keyed(docs, *columns):
+    """Documents with an integer doc_id by ``dk`` and ``tk``, which tell apart all rows that
+    differ in id or text, and sort them: rows without an id come after all others and are
+    apart from those with the largest one."""
+    mark = F.when(F.col("doc_id").isNull(), F.lit(b"\x01")).otherwise(F.lit(b"\x00"))
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("dk"),
+        F.concat(mark, text_key()).alias("tk"), "text", *columns)
+
+
+KEY = ["dk", "tk"]
+
+
 def utf8_lengths(column):
     """Bytes of each text in an Arrow string column, null as 0."""
     import pyarrow.compute as pc

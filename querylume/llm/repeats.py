@@ -22,13 +22,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from querylume.llm import word_symbols as ws
-from querylume.llm.common import chunks_of, dropped, remembers, written
+from querylume.llm.common import KEY, chunks_of, dropped, keyed, remembers, written
 from querylume.operators.joins import join_unique
 
 WINDOW = 20
 PIECE_BYTES = 2 << 20
 SEGMENT = 1 << 19
-KEY = ["dk", "tk"]
 SAMPLES = "dk long, tk binary, first int, last int, name long, wide long"
 SAMPLE_ROWS = pa.schema([
     ("dk", pa.int64()), ("tk", pa.binary()), ("first", pa.int32()), ("last", pa.int32()),
@@ -41,16 +40,6 @@ WINDOW_ROWS = pa.schema([
 ])
 
 
-def _keyed(docs: DataFrame, *columns) -> DataFrame:
-    """Documents by id and 128 bits of the text. Rows without an id come after all others
-    and are apart from those with the largest one."""
-    none = F.col("doc_id").isNull()
-    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("dk"),
-        F.unhex(F.concat(F.when(none, "01").otherwise("00"), text)).alias("tk"), "text", *columns)
-
-
 class _Names:
     """The words of a chunk of texts as two columns of 64-bit names."""
 
@@ -146,8 +135,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """dk, tk and spans: stretches of words (start, end), not merged, of each text of
     ``docs`` that are windows seen earlier."""
     spark = docs.sparkSession
-    keyed = _keyed(docs)
-    samples = written(keyed.mapInArrow(_sampling, SAMPLES), "word-samples")
+    texts = keyed(docs)
+    samples = written(texts.mapInArrow(_sampling, SAMPLES), "word-samples")
     names = samples.groupBy("name").agg(
         F.count("*").alias("n"), (F.min("wide") != F.max("wide")).alias("mixed"))
     shared = written(names.filter("n > 1"), "word-names")
@@ -162,16 +151,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     stretch = F.struct(F.col("least.first").alias("first"), F.col("last").alias("last"))
     wanted = classes.filter("mixed").select("least.dk", "least.tk", stretch.alias("w")).groupBy(*KEY).agg(
         F.collect_set("w").alias("wanted"))
-    windows = written(keyed.join(wanted, KEY).select(*KEY, "text", "wanted")
+    windows = written(texts.join(wanted, KEY).select(*KEY, "text", "wanted")
                       .mapInArrow(_windowing, WINDOWS), "word-windows")
     dropped(spark)
-    same = written(_groups(windows, ["high", "low"]).filter("n > 1"), "word-same")
-    single = _not_first(windows, same, ["high", "low"]).select(*KEY, F.struct(
+    same = written(windows.groupBy("high", "low").agg(F.count("*").alias("n")).filter("n > 1"), "word-same")
+    equal = written(join_unique(windows, same, ["high", "low"], "n").drop("n"), "word-equal")
+    dropped(spark, windows, same)
+    single = _not_first(equal, written(_groups(equal, ["high", "low"]), "word-least"), ["high", "low"]).select(*KEY, F.struct(
         F.col("first").alias("start"), (F.col("first") + WINDOW).alias("end")).alias("s"))
     # A set, filled before the shuffle too: rows that repeat an id and a text find the same.
     found = written(copies.unionByName(single).groupBy(*KEY).agg(
         F.collect_set("s").alias("spans")), "word-spans")
-    dropped(spark, again, classes, windows, same)
+    dropped(spark, again, classes, equal)
     return found
 
 
@@ -203,7 +194,7 @@ def _removing(schema):
 def _judged(docs: DataFrame) -> DataFrame:
     """``row``, a struct of all columns but the text, with what is removed and kept."""
     spans = repeated_spans(docs.select("doc_id", "text"))
-    given = _keyed(docs, F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
+    given = keyed(docs, F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
     joined = given.join(spans, KEY, "left").select("row", "text", "spans")
     schema = StructType(joined.select("row").schema.fields + StructType.fromDDL(REMOVED).fields)
     return joined.mapInArrow(_removing(to_arrow_schema(schema)), schema)

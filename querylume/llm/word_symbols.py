@@ -29,21 +29,16 @@ class Symbols:
     """Symbols in order: names (never 0), first word, end, reach (low, high), and the length
     of the longest symbol a symbol is made of (its own, if it was not made just now)."""
 
-    FIELDS = ("name", "start", "end", "low", "high", "inner")
-
     def __init__(self, *columns):
         self.name, self.start, self.end, self.low, self.high, self.inner = columns
 
-    def filtered(self, some):
-        return Symbols(*(getattr(self, c)[some] for c in self.FIELDS))
-
-    def within(self, length):
-        """Those whose reach is at most ``length`` words."""
-        return self.filtered(self.high - self.low <= length)
-
-    def born(self, least):
-        """Those of ``least`` words or more that are made of shorter ones."""
-        return self.filtered((self.end - self.start >= least) & (self.inner < least))
+    def made(self, length):
+        """Those made just now with a reach of at most ``length`` words: name, first word,
+        words, words of the longest part, and first and last window that holds the reach."""
+        size = self.end - self.start
+        some = np.flatnonzero((self.high - self.low <= length) & (self.inner < size))
+        first = np.maximum(self.high[some] - length, 0)
+        return self.name[some], self.start[some], size[some], self.inner[some], first, self.low[some]
 
     def blocks(self, words):
         """Runs of one symbol become one. Where a run ends is decided by the next word
@@ -84,18 +79,18 @@ class Symbols:
         return Symbols(new, self.start[first], self.end[last], low, high, inner)
 
 
-def levels(words, length):
-    """The symbols of a sequence of words (64-bit names, odd) with a reach of at most
-    ``length`` words, step by step, the words themselves first."""
+def symbols_made(words, length):
+    """All symbols of a sequence of words (64-bit names, odd) with a reach of at most
+    ``length`` words, as ``made`` gives them, from the words themselves up."""
     at = np.arange(len(words))
     now = Symbols(words, at, at + 1, at, at + 1, np.zeros(len(words), np.int64))
-    found, number = [now], 0
-    while len(words) and len(found[-1].name):
+    found, number = [now.made(length)], 0
+    while len(words) and (now.high - now.low <= length).any():
         number += 1
         runs = now.blocks(words)
         now = runs.pairs(number)
-        found += [runs.within(length), now.within(length)]
-    return found
+        found += [runs.made(length), now.made(length)]
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 # Symbols of this many words are looked for first, as they tell windows well apart; where a
@@ -107,26 +102,26 @@ def anchors(words, length, windows):
     """For each window of ``length`` words (by its start, ascending) a symbol whose reach it
     holds: its name and first word. The window's words alone decide: of the symbols just
     long enough that with the largest name, of equal ones the first."""
-    name, place = np.zeros(len(windows), np.uint64), np.zeros(len(windows), np.int64)
-    made = levels(words, length)
-    open_ = np.arange(len(windows))
+    found, place = np.zeros(len(words), np.uint64), np.full(len(words), len(words))
+    open_ = np.zeros(len(words), bool)
+    open_[windows] = True
+    name, start, size, inner, low, high = symbols_made(words, length)
     for least in LEAST:
-        for level in made:
-            level = level.born(least)
-            starts = windows[open_]
-            lo = np.searchsorted(level.low, starts)
-            hi = np.searchsorted(level.high, starts + length, side="right")
-            step, some = 0, np.flatnonzero(lo < hi)
-            while len(some):
-                k, at = lo[some] + step, open_[some]
-                better = level.name[k] > name[at]
-                name[at[better]], place[at[better]] = level.name[k[better]], level.start[k[better]]
-                step += 1
-                some = some[lo[some] + step < hi[some]]
-        open_ = open_[name[open_] == 0]
-        if not len(open_):
+        before = np.append(0, np.cumsum(open_))
+        wanted = (size >= least) & (inner < least) & (before[high + 1] > before[low])
+        k = np.flatnonzero(wanted)
+        many = high[k] - low[k] + 1
+        at = np.arange(many.sum()) + np.repeat(low[k] - np.cumsum(many) + many, many)
+        k = np.repeat(k, many)
+        some = open_[at]
+        at, k = at[some], k[some]
+        np.maximum.at(found, at, name[k])
+        some = found[at] == name[k]
+        np.minimum.at(place, at[some], start[k[some]])
+        open_ &= found == 0
+        if not open_.any():
             break
-    return name, place
+    return found[windows], place[windows]
 
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
