@@ -10,11 +10,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from querylume.llm.common import remembers, written
+from querylume.llm.common import chunks_of, remembers, text_key, written
 from querylume.llm.graph import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 TILE = 32768
+PIECE_BYTES = 4 << 20
 BLOCK = 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -43,20 +44,21 @@ def fingerprint(hashes):
     return int(np.packbits(major, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle=SHINGLE) -> DataFrame:
-    """doc_id, a hash ``th`` of the text that tells rows of one id apart, and the signed
-    64-bit fingerprint ``fp``. Null and wordless texts have 0."""
+def fingerprints(docs: DataFrame, shingle=SHINGLE, key=False) -> DataFrame:
+    """doc_id and the signed 64-bit fingerprint ``fp``; with ``key`` also ``tk``, 128 bits of
+    the text that tell rows of one id apart. Null and wordless texts have 0."""
+    names = ["doc_id", *(["tk"] if key else []), "fp"]
+
     def compute(batches):
         remembers()
-        for batch in batches:
-            doc_id, text, th = batch.columns
-            fp = [fingerprint(shingle_hashes(t.as_py(), shingle)) for t in text]
-            yield pa.RecordBatch.from_arrays(
-                [doc_id, th, pa.array(fp, pa.int64())], names=["doc_id", "th", "fp"])
+        for batch in chunks_of(batches, PIECE_BYTES):
+            fp = [fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column("text")]
+            given = [batch.column(c) for c in names[:-1]]
+            yield pa.RecordBatch.from_arrays([*given, pa.array(fp, pa.int64())], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.hash("text").alias("th")).mapInArrow(
-        compute, f"doc_id {kind}, th int, fp long")
+    given = docs.select("doc_id", "text", *([text_key().alias("tk")] if key else []))
+    return given.mapInArrow(compute, f"doc_id {kind}, {'tk binary, ' if key else ''}fp long")
 
 
 def _tiles(distinct: DataFrame, tile: int):
@@ -190,23 +192,25 @@ def near_groups(fps: DataFrame, radius=RADIUS, tile=TILE) -> DataFrame:
 
 def one_of_each(docs: DataFrame, shingle=SHINGLE, radius=RADIUS) -> DataFrame:
     """The rows of ``docs`` with all their columns, one of each group: that with the
-    smallest doc_id (a null is largest), of equal ones that whose text hashes least."""
-    held = written(fingerprints(docs, shingle), "fingerprints")
+    smallest doc_id (a null is largest), of equal ones that with the smallest MD5 of its
+    text (a null text first). Rows are told apart by the id and 128 bits of the text, so no
+    row goes for another of the same id; of rows that repeat both one stays."""
+    held = written(fingerprints(docs, shingle, key=True), "fingerprints")
     rooted = written(_rooted(held, radius, TILE), "simhash-roots")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "tk")
     firsts = held.groupBy("fp").agg(F.min(order).alias("one"))
     kept = rooted.join(firsts, "fp").groupBy("root").agg(F.min("one").alias("one"))
-    kept = kept.select("one.doc_id", "one.th")
+    kept = kept.select("one.doc_id", "one.tk")
     # The columns travel in one struct, so their names cannot clash.
-    keyed = docs.select("doc_id", F.hash("text").alias("th"), F.struct("*").alias("row"))
-    same = keyed["doc_id"].eqNullSafe(kept["doc_id"]) & (keyed["th"] == kept["th"])
-    found = keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "th"])
+    rows = docs.select("doc_id", text_key().alias("tk"), F.struct("*").alias("row"))
+    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["tk"] == kept["tk"])
+    found = rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "tk"])
     return found.select("row.*")
 
 
 def simhash_groups(docs: DataFrame, shingle=SHINGLE, radius=RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``
     (doc_id, text; more columns are ignored). No rows, no rows."""
-    grouped = near_groups(fingerprints(docs, shingle).drop("th"), radius)
+    grouped = near_groups(fingerprints(docs, shingle), radius)
     return grouped.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

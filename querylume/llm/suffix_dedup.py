@@ -26,7 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from querylume.llm import suffix_names as sn
-from querylume.llm.common import chunks_of, dropped, remembers, written
+from querylume.llm.common import KEY, chunks_of, dropped, keyed, remembers, written
+from querylume.operators.joins import join_unique
 
 LENGTH = 200
 # Places in a row that share a sample; the sample's name and all it is compared by must
@@ -40,9 +41,9 @@ PLACE_BITS = 22
 PIECE_BYTES = 8 << 20
 assert LENGTH - (RUN - 1) >= DEEP and RUN % 8 == 0 and SEGMENT + 2 * LENGTH < 1 << PLACE_BITS
 
-SAMPLES = "dk long, th int, place int, low short, high short, name long, wide long"
+SAMPLES = "dk long, tk binary, place int, low short, high short, name long, wide long"
 SAMPLE_ROWS = pa.schema([
-    ("dk", pa.int64()), ("th", pa.int32()), ("place", pa.int32()), ("low", pa.int16()),
+    ("dk", pa.int64()), ("tk", pa.binary()), ("place", pa.int32()), ("low", pa.int16()),
     ("high", pa.int16()), ("name", pa.int64()), ("wide", pa.int64()),
 ])
 BLOCKS = "name long, wide long, block int, common long, before binary, after binary"
@@ -137,10 +138,10 @@ def _sampling(batches):
     for batch in chunks_of(batches, SEGMENT):
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
         number, place, low, high, deep, wide = sample_texts(texts)
-        dk, th = (batch.column(c).to_numpy() for c in ("dk", "th"))
-        columns = [dk[number], th[number], place.astype(np.int32), low.astype(np.int16),
-                   high.astype(np.int16), deep, wide]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=SAMPLE_ROWS)
+        keys = [batch.column(c).take(pa.array(number)) for c in KEY]
+        columns = [place.astype(np.int32), low.astype(np.int16), high.astype(np.int16), deep, wide]
+        yield pa.RecordBatch.from_arrays(
+            [*keys, *(pa.array(c) for c in columns)], schema=SAMPLE_ROWS)
 
 
 def _blocks_of(data, place, low, high):
@@ -201,34 +202,29 @@ def _settled_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _keyed(docs: DataFrame, *columns) -> DataFrame:
-    """Documents by id and a hash of the text: rows that repeat an id stay apart."""
-    dk = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("dk")
-    return docs.select(dk, F.hash("text").alias("th"), "text", *columns)
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """dk, th and spans: runs of bytes (start, end), at least LENGTH long and not merged,
+    """dk, tk and spans: runs of bytes (start, end), at least LENGTH long and not merged,
     of each text of ``docs`` (doc_id, text) that has strings of LENGTH bytes occurring
     more than once."""
     spark = docs.sparkSession
-    keyed = _keyed(docs)
-    long_enough = keyed.filter(F.octet_length("text") >= LENGTH)
+    texts = keyed(docs)
+    long_enough = texts.filter(F.octet_length("text") >= LENGTH)
     samples = written(long_enough.mapInArrow(_sampling, SAMPLES), "suffix-samples")
     names = samples.groupBy("name").agg(
         F.count("*").alias("n"), (F.min("wide") != F.max("wide")).alias("mixed")).filter("n > 1")
-    again = written(samples.join(names.drop("n"), "name"), "suffix-again")
-    dropped(spark, samples)
+    shared = written(names, "suffix-names")
+    again = written(join_unique(samples, shared, ["name"], "n").drop("n"), "suffix-again")
+    dropped(spark, samples, shared)
     mixed = again.filter("mixed")
     classes = mixed.groupBy("name", "wide").agg(
         F.count("*").alias("n"),
-        F.min(F.struct("dk", "th", "place", "low", "high")).alias("one"))
+        F.min(F.struct(*KEY, "place", "low", "high")).alias("one"))
     classes = written(classes.select("name", "wide", "n", "one.*"), "suffix-classes")
-    wanted = classes.groupBy("dk", "th").agg(F.collect_list(
+    wanted = classes.groupBy(*KEY).agg(F.collect_list(
         F.struct("name", "wide", "place", "low", "high")).alias("samples"))
     # Rows that repeat an id and a text would name their class twice.
     blocks = written(
-        keyed.join(wanted, ["dk", "th"]).select("text", "samples").mapInArrow(_cutting, BLOCKS)
+        texts.join(wanted, KEY).select("text", "samples").mapInArrow(_cutting, BLOCKS)
         .distinct(), "suffix-blocks")
     dropped(spark)
     settled = written(_settled_blocks(blocks), "suffix-settled")
@@ -241,14 +237,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     some = F.transform("offsets", lambda d: F.struct(
         (F.col("place") - d).alias("start"), (F.col("place") - d + LENGTH).alias("end")))
     spans = (
-        again.filter("not mixed").select("dk", "th", whole.alias("s")).unionByName(
+        again.filter("not mixed").select(*KEY, whole.alias("s")).unionByName(
             mixed.join(known, ["name", "wide"]).select(
-                "dk", "th", F.when(F.col("n") > 1, whole).otherwise(some).alias("s")))
+                *KEY, F.when(F.col("n") > 1, whole).otherwise(some).alias("s")))
     )
     # Rows that repeat an id and a text find the same spans: a set, filled before the shuffle
     # too, holds them once, so that it is bounded by one text however many the rows are.
     found = written(
-        spans.groupBy("dk", "th").agg(F.flatten(F.collect_set("s")).alias("spans")), "suffix-spans")
+        spans.groupBy(*KEY).agg(F.flatten(F.collect_set("s")).alias("spans")), "suffix-spans")
     dropped(spark, again, classes, settled)
     return found
 
@@ -292,23 +288,24 @@ def _removing(schema):
 
 def _judged(docs: DataFrame) -> DataFrame:
     """``row``, a struct of all columns but the text, with what is removed and kept."""
-    spans = repeated_spans(docs)
+    spans = repeated_spans(docs.select("doc_id", "text"))
     row = F.struct(*(c for c in docs.columns if c != "text"))
-    given = _keyed(docs, row.alias("row"))
-    joined = given.join(spans, ["dk", "th"], "left").select("row", "text", "spans")
+    given = keyed(docs, row.alias("row"))
+    joined = given.join(spans, KEY, "left").select("row", "text", "spans")
     schema = StructType(joined.select("row").schema.fields + StructType.fromDDL(REMOVED).fields)
     return joined.mapInArrow(_removing(to_arrow_schema(schema)), schema)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id of every row of ``docs`` (doc_id, text; more columns are ignored) with n_bytes,
+    """doc_id of every row of ``docs`` (integer doc_id, text; more columns are ignored) with n_bytes,
     n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes that are left) and
     kept, the text that is left, without the parts of characters that were cut.
 
     Every byte is removed that is covered by a string of LENGTH bytes starting at another
     place too, in the same text or another; all occurrences go, and strings are judged on
     the input. Null texts are empty and stay null, texts shorter than LENGTH stay as they
-    are. Rows that repeat an id and a text repeat all its strings. No rows, no rows.
+    are. Rows that repeat an id and a text repeat all its strings. Rows are told apart by the id,
+    if they have one, and 128 bits of the text. No rows, no rows.
     """
     judged = _judged(docs.select("doc_id", "text"))
     return judged.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

@@ -101,3 +101,23 @@ def test_components(spark):
             root[y] = x
     assert rows == {x: find(x) for x in root}
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_rows_of_one_id_and_one_short_hash_stay(make_docs):
+    """Texts that a 32-bit hash does not tell apart, with one id or none, are two rows."""
+    from tests.llm.test_suffix_dedup import colliding
+
+    one, two = colliding(random.Random(3))
+    rng = random.Random(8)
+    far = [" ".join(f"{rng.random()}" for _ in range(40)) for _ in range(2)]
+    for doc_id in (7, None, -1):
+        docs = make_docs((doc_id, one), (doc_id, two), (9, far[0]), (None, far[1]))
+        assert {r.h for r in docs.limit(2).selectExpr("hash(text) AS h").collect()} and len(
+            {r.h for r in docs.filter(docs.text.isin(one, two)).selectExpr("hash(text) AS h").collect()}) == 1
+        kept = simhash.one_of_each(docs, 3, 3).collect()
+        assert sorted(r.text for r in kept) == sorted([one, two, *far])
+
+
+def test_null_and_empty_texts_are_one_group(make_docs):
+    docs = make_docs((1, None), (1, ""), (1, None), (2, " "))
+    assert [tuple(r)[:2] for r in simhash.one_of_each(docs).collect()] == [(1, None)]

@@ -97,7 +97,7 @@ def test_many_repeated_rows_share_one_list(make_docs):
 
     def held(texts, ids):
         docs = make_docs(*zip(ids, texts)).repartition(4)
-        return {r.th: len(r.spans) for r in repeated_spans(docs).collect()}
+        return {bytes(r.tk)[1:]: len(r.spans) for r in repeated_spans(docs).collect()}
 
     texts = [a] * 60 + others
     assert held(texts, [None] * 63) == held([a, a, *others], range(5))
@@ -113,3 +113,41 @@ def test_long_text_in_segments(make_docs, monkeypatch):
     for n in (500, 777, 1900):
         monkeypatch.setattr(suffix_dedup, "SEGMENT", n)
         assert [x.tolist() for x in suffix_dedup.sample_texts([x.encode() for x in texts])] == want
+
+
+def colliding(rng):
+    """Two different texts that Spark's ``hash`` does not tell apart: it takes four bytes at
+    a time, and a change of one four is undone by the next."""
+    def mix(k):
+        k = k * 0xCC9E2D51 & 0xFFFFFFFF
+        k = (k << 15 | k >> 17) & 0xFFFFFFFF
+        return k * 0x1B873593 & 0xFFFFFFFF
+
+    def unmix(k):
+        k = k * pow(0x1B873593, -1, 1 << 32) & 0xFFFFFFFF
+        k = (k >> 15 | k << 17) & 0xFFFFFFFF
+        return k * pow(0xCC9E2D51, -1, 1 << 32) & 0xFFFFFFFF
+
+    def step(h, k):
+        h ^= mix(k)
+        h = (h << 13 | h >> 19) & 0xFFFFFFFF
+        return (h * 5 + 0xE6546B64) & 0xFFFFFFFF
+
+    letters = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    while True:
+        a, b, c = (bytes(rng.choice(letters) for _ in range(4)) for _ in range(3))
+        h1, h2 = (step(42, int.from_bytes(x, "little")) for x in (a, b))
+        second = unmix(mix(int.from_bytes(c, "little")) ^ h1 ^ h2).to_bytes(4, "little")
+        if a != b and all(x in letters for x in second):
+            return (a + c).decode(), (b + second).decode()
+
+
+def test_texts_of_one_hash_stay_apart(spark, make_docs):
+    rng = random.Random(11)
+    one, two = colliding(rng)
+    rest = words(rng, 70)[:352]
+    first, second = one + rest, two + rest
+    hashes = {r.h for r in make_docs(first, second).selectExpr("hash(text) AS h").collect()}
+    assert len(hashes) == 1 and first != second
+    check(make_docs, [first, second, rest[40:300], words(rng, 60)], [None, None, 5, -1])
+    check(make_docs, [first, second, words(rng, 80), rest[:250]], [-1, None, -1, (1 << 63) - 1])
