@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from querylume.catalog.core import log_sql, rounded, table_query
+from querylume.catalog.core import ORACLES, log_sql, rounded, table_query
 from querylume.catalog.files import TYPED_ROWS
 from querylume.catalog.quality import ALL_FOUND, FOUND_ROWS
 from querylume.catalog.summaries import ACCESSES, M1, M3, M4, M5_ROWS
@@ -14,11 +14,13 @@ from querylume.streaming import live
 from querylume.streaming.ingest import run_ingest
 from querylume.streaming.refresh import refresh_views
 from querylume.streaming.retention import retained, retained_main, retained_summary
-from querylume.streaming.sinks import compact, top_tables_seen
+from querylume.streaming.merging import compact
+from querylume.streaming.sinks import top_tables_seen
 from querylume.streaming.store import LogStore, running_total
 
 FILES = 4
 _RUNS = {}
+_LIMITED = {}
 
 
 def _sent(log):
@@ -69,24 +71,36 @@ def refreshed(spark, sf_dir):
     return _kept(spark, sf_dir, "refreshed", make)
 
 
-def _in_parts(spark, log, base, n=FILES):
-    """The log in ``n`` files of messages, dealt by query id: every file has rows of all
-    days, so all but the first bring late ones."""
+def _in_parts(spark, log, base, store, n=FILES, after=None, **options):
+    """The log in ``n`` parts, dealt by query id, each sent as the shuffle leaves it and taken
+    by one run of the ingest: every part has rows of all days, so all but the first bring
+    late ones. ``after`` is called when a part is in."""
     for i in range(n):
         part = log.filter(F.pmod(F.col("query_id"), F.lit(n)) == i)
-        sink = {"format": "parquet", "path": f"{base}/messages"}
-        messages.write_messages(_sent(part).coalesce(1), sink)
+        messages.write_messages(_sent(part), {"format": "parquet", "path": f"{base}/messages"})
+        run_to_end(spark, base, store, **options)
+        if after:
+            after()
 
 
 def out_of_order(spark, sf_dir):
-    """The store after an ingest of the log out of time order, a file per batch, with the
+    """The store after an ingest of the log out of time order, in several batches, with the
     live numbers."""
     def make(base, store):
-        _in_parts(spark, query_log(spark, sf_dir), base)
-        run_to_end(spark, base, store, max_files=1, live=True, archive=False, refresh="never")
+        _in_parts(spark, query_log(spark, sf_dir), base, store, live=True, archive=False, refresh="never")
     return _kept(spark, sf_dir, "late", make)
 
 
+def merged(spark, sf_dir):
+    """A store whose parts were merged while the ingest went on."""
+    def make(base, store):
+        def merge():
+            compact(spark, store, store.live(spark).batch, fan=2)
+        _in_parts(spark, query_log(spark, sf_dir), base, store, after=merge, live=True, dedupe=True,
+                  archive=False, refresh="never")
+    return _kept(spark, sf_dir, "merged", make)
+
+
 DATED_ROWS = TYPED_ROWS.replace(
     "num_scans FROM", "num_scans, CAST(arrival_timestamp AS DATE) AS day FROM"
 )
@@ -204,6 +218,26 @@ def m6_compile(spark, sf_dir):
     return rounded(store.summary(spark, "compile_by_joins"), "y")
 
 
+@table_query("m6_refreshed_in_steps", log_sql(M1 + "SELECT * FROM m1"))
+def m6_steps(spark, sf_dir):
+    """A refresh after every part of the log: each adds what the part brought to its days."""
+    def make(base, store):
+        _in_parts(spark, query_log(spark, sf_dir), base, store, archive=False, refresh="never",
+                  after=lambda: refresh_views(spark, store))
+    return _kept(spark, sf_dir, "steps", make).summary(spark, "table_access")
+
+
+@table_query("m6_refreshed_after_retention", log_sql(
+    LAST_DAYS + M4.replace("FROM query_log", "FROM kept") + "SELECT * FROM m4"))
+def m6_retained(spark, sf_dir):
+    """A refresh by call, after retention has removed days that were never refreshed."""
+    def make(base, store):
+        write_log_messages(spark, sf_dir, f"{base}/messages")
+        run_to_end(spark, base, store, archive=False, retention_days=4, refresh="never")
+        refresh_views(spark, store)
+    return _kept(spark, sf_dir, "retained", make).summary(spark, "hit_rate")
+
+
 @table_query("x9_ingest_deduplicated", log_sql("""
 SELECT query_id, count(*) AS n FROM query_log GROUP BY 1
 """))
@@ -211,12 +245,24 @@ def x9(spark, sf_dir):
     """Every message comes twice, in different batches."""
     def make(base, store):
         for _ in range(2):
-            _in_parts(spark, query_log(spark, sf_dir), base, 2)
-        run_to_end(spark, base, store, max_files=1, dedupe=True, archive=False, refresh="never")
+            _in_parts(spark, query_log(spark, sf_dir), base, store, 2, dedupe=True, archive=False,
+                      refresh="never")
     main = _kept(spark, sf_dir, "deduplicated", make).read(spark, "main")
     return main.groupBy("query_id").agg(F.count("*").alias("n"))
 
 
+@table_query("x9_late_after_retention", log_sql(RETAINED))
+def x9_late(spark, sf_dir):
+    """De-duplication and retention together: the log comes a second time, when most of its
+    days have been removed, and a third time after that."""
+    def make(base, store):
+        for _ in range(3):
+            sent = _sent(query_log(spark, sf_dir))
+            messages.write_messages(sent, {"format": "parquet", "path": f"{base}/messages"})
+            run_to_end(spark, base, store, archive=False, dedupe=True, retention_days=4)
+    return _kept(spark, sf_dir, "late-retained", make).read(spark, "main").select("query_id")
+
+
 @table_query("x2_resumed_main", log_sql("SELECT query_id FROM query_log"))
 def x2(spark, sf_dir):
     """The ingest stops, more messages come, and it goes on where it was."""
@@ -239,14 +285,23 @@ def x7(spark, sf_dir):
 
 
 @table_query("x11_limited_batches", log_sql(f"""
-SELECT query_id % {FILES} AS part, count(*) AS n, CAST(1 AS BIGINT) AS batches
-FROM query_log GROUP BY 1
+SELECT query_id % {FILES} AS part, count(*) AS n, true AS limited FROM query_log GROUP BY 1
 """))
 def x11(spark, sf_dir):
-    """One file per batch: the rows of each of the files have a batch of their own."""
-    main = out_of_order(spark, sf_dir).read(spark, "main")
+    """Two files a batch: all rows are there, in as many batches as that takes."""
+    made = {}
+
+    def make(base, store):
+        sent = _sent(query_log(spark, sf_dir))
+        messages.write_messages(sent, {"format": "parquet", "path": f"{base}/messages"})
+        run_to_end(spark, base, store, max_files=2, archive=False, refresh="never")
+        made["files"] = len(spark.read.parquet(f"{base}/messages").inputFiles())
+    store = _kept(spark, sf_dir, "limited", make)
+    files = _LIMITED.setdefault(store.root, made.get("files"))
+    main = store.read(spark, "main")
+    batches = main.agg(F.count_distinct("batch_id")).scalar()
     return main.groupBy((F.col("query_id") % FILES).alias("part")).agg(
-        F.count("*").alias("n"), F.count_distinct("batch_id").alias("batches"))
+        F.count("*").alias("n"), (batches == -(-files // 2)).alias("limited"))
 
 
 @table_query("s11_read_messages", "SELECT text AS value FROM conversations")
@@ -302,13 +357,13 @@ def x8(spark, sf_dir):
 
 @table_query("s14_compacted", log_sql(DATED_ROWS))
 def s14(spark, sf_dir):
-    """The main table after its batch folders were merged."""
-    def make(base, store):
-        _in_parts(spark, query_log(spark, sf_dir), base)
-        run_to_end(spark, base, store, max_files=1, archive=False, refresh="never")
-        compact(spark, store, FILES, tables=["main"])
-    main = _kept(spark, sf_dir, "compacted", make).read(spark, "main")
-    return main.drop("batch_id")
+    """The main table, its parts merged."""
+    return merged(spark, sf_dir).read(spark, "main").drop("batch_id")
+
+
+@table_query("s14_merged_anomalies", log_sql(ALL_FOUND + FOUND_ROWS))
+def s14_anomalies(spark, sf_dir):
+    return merged(spark, sf_dir).read(spark, "anomalies").drop("batch_id", "day")
 
 
 @table_query("a11_top_tables_seen", log_sql(ACCESSES + """
@@ -350,6 +405,12 @@ def x10_hit_rate(spark, sf_dir):
     return live.hit_rate_now(spark, out_of_order(spark, sf_dir))
 
 
+@table_query("x10_merged_hit_rate", ORACLES["x10_live_hit_rate"])
+def x10_merged(spark, sf_dir):
+    """The same from merged buckets."""
+    return live.hit_rate_now(spark, merged(spark, sf_dir))
+
+
 LIVE_LATEST = """
 , latest AS (
  SELECT * FROM query_log WHERE CAST(arrival_timestamp AS DATE) =

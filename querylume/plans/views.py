@@ -147,7 +147,8 @@ def compile_counts(df: DataFrame) -> DataFrame:
     return (
         present(of_type(with_day(df), "select"), "num_joins")
         .groupBy("day", "num_joins")
-        .agg(F.sum(spent).alias("compile_sum"), F.count(spent).alias("compile_count"))
+        .agg(F.sum(spent).alias("compile_sum"), F.count(spent).alias("compile_count"),
+             count_rows().alias("total_count"))
     )
 
 
@@ -172,3 +173,11 @@ SUMMARIES = {
     "hit_rate": (hit_counts, hit_rates),
     "compile_by_joins": (compile_counts, compile_means),
 }
+# The additive columns of the stored counts. The last one of each counts rows, so a group
+# whose rows were all taken off again has 0 there.
+AMOUNTS = {
+    "table_access": ["count"],
+    "query_types": ["count"],
+    "hit_rate": ["was_cached_count", "total_count"],
+    "compile_by_joins": ["compile_sum", "compile_count", "total_count"],
+}

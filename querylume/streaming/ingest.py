@@ -1,5 +1,7 @@
 """The ingest: messages in, checked and stored per micro-batch."""
 
+from dataclasses import replace
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,11 +13,14 @@ from querylume.operators.quality import anomalies
 from querylume.schema import STREAM_COLUMNS
 from querylume.sources.files import balanced
 from querylume.sources.messages import message_stream, parsed, rejected_of, rows_of
+from querylume.streaming.commits import marked
+from querylume.streaming.ids import blocks_for, day_blocks, filters, suspects
 from querylume.streaming.live import add_live
 from querylume.streaming.refresh import refresh_views
-from querylume.streaming.retention import expire, expired_in_store
+from querylume.streaming.retention import EXPIRING, expired_in_store, parts_of_days
 from querylume.streaming.sinks import (
-    add_days, add_sketch, append_anomalies, append_log, append_rejected, archive_batch,
+    add_days, add_sketch, append_anomalies, append_log, append_rejected, batch_part,
+    part_name, write_part,
 )
 from querylume.streaming.store import LogStore
 
@@ -33,25 +38,44 @@ def drop_duplicates(rows: DataFrame) -> DataFrame:
     return known.select("r.*").unionByName(unknown)
 
 
-def _unseen(rows, batch_id, store, days):
+def _unseen(rows, batch_id, store, days, kept):
     """Without the rows whose id an earlier batch has stored for the same day. Batches
-    from this one on do not count, so a replay decides as the first run did."""
+    from this one on do not count, so a replay decides as the first run did.
+
+    The filters of stored ids (see ``ids``) say which ids may be there and in which parts;
+    only these parts' ids are read, and only when there are any. A day that retention has
+    removed, or that is not stored yet, has no filter, so its rows stay. ``kept`` persists
+    a frame until the batch is done.
+    """
     spark = rows.sparkSession
-    known = {r["day"] for r in store.days(spark, before=batch_id).select("day").collect()}
-    stored = sorted(known.intersection(days))
-    if not stored:
+    live = store.live(spark)
+    held = [p for p in live.of("ids", days) if p.last < batch_id]
+    if not held:
         return rows
-    ids = (
-        store.read_days(spark, "main", stored).filter(F.col("batch_id") < batch_id)
-        .select(F.col("query_id").alias("_id"), F.col("day").alias("_day"))
-    )
+    heads = spark.createDataFrame(
+        [(p.date, p.name, p.blocks) for p in held], "day date, part string, blocks long")
+    blocks = store.read_parts(spark, "ids", held, with_part=True)
+    maybe = kept(suspects(rows, heads, blocks))
+    met = {(r["day"], r["part"]) for r in maybe.select("day", "part").distinct().collect()}
+    parts = [p for p in live.of("main", days) if (p.date, p.name) in met]
+    if not parts:
+        return rows
+    asked = maybe.select(F.col("query_id").alias("_id"), F.col("day").alias("_day")).distinct()
     same = (F.col("query_id") == F.col("_id")) & (F.col("day") == F.col("_day"))
-    return rows.join(ids, same, "left_anti")
+    stored = store.read_parts(spark, "main", parts).select("query_id", "day")
+    return rows.join(asked.join(stored, same, "left_semi"), same, "left_anti")
+
 
+def _ids_per_day(rows):
+    """The days of some rows and their ids; bounded by the calendar."""
+    return {r["day"]: r["n"] for r in rows.groupBy("day").agg(F.count("query_id").alias("n")).collect()}
 
-def _days_of(rows):
-    """The days of some rows; bounded by the calendar."""
-    return [r["day"] for r in rows.select("day").distinct().collect()]
+
+def add_filters(rows, batch_id, store, name, known):
+    """Filters of the ids the batch stores; returns the parts to commit."""
+    made = filters(rows, day_blocks(rows.sparkSession, known))
+    parts = write_part(made, store, batch_part("ids", batch_id, name))
+    return [replace(p, blocks=blocks_for(known[p.date])) for p in parts]
 
 
 def ingest_batch(messages: DataFrame, batch_id: int, store: LogStore, *, dedupe=False,
@@ -60,51 +84,69 @@ def ingest_batch(messages: DataFrame, batch_id: int, store: LogStore, *, dedupe=
     """Check and store one micro-batch.
 
     The decoded messages, and the typed rows spread as they are written, are kept for the
-    duration of the batch: every output reads them. The writes run side by side: none
-    reads what another writes, and a replay repeats them all.
+    duration of the batch: every output reads them. The writes run side by side, each into
+    folders of this try alone, and one commit switches them all in; what an earlier try of
+    the batch committed goes in the same commit.
 
     ``dedupe`` stores one row per query id and day, also over batches. ``live`` keeps the
     live numbers. ``refresh`` is ``"day_change"`` (when a day shows up for the first
     time), ``"batch"`` or ``"never"``. ``retention_days`` removes older days from the main
-    table and the summaries, never from the archive (default: keep all).
+    table and the summaries, never from the archive (default: keep all); rows of such days
+    that come later go to the archive only.
     """
     spark = messages.sparkSession
-    decoded = parsed(messages).persist(StorageLevel.MEMORY_AND_DISK)
-    typed = None
+    name = part_name("b")
+    made, frames = [], []
+
+    def kept(df):
+        frames.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return frames[-1]
+
     try:
+        decoded = kept(parsed(messages))
         texts = rows_of(decoded)
-        append_anomalies(anomalies(texts), batch_id, store)
-
         unreadable = rejected_of(decoded).withColumn("reason", F.lit(UNREADABLE))
         undated = _undated(texts).withColumn("reason", F.lit(UNDATED))
         rows = clean_log(conform(texts))
         if dedupe:
-            rows = with_day(drop_duplicates(rows))
-            rows = _unseen(rows, batch_id, store, _days_of(rows))
-        typed = balanced(with_day(rows)).persist(StorageLevel.MEMORY_AND_DISK)
-        days = _days_of(typed)
+            rows = kept(with_day(drop_duplicates(rows)))
+            rows = _unseen(rows, batch_id, store, set(_ids_per_day(rows)), kept)
+        typed = kept(balanced(with_day(rows)))
+        known = _ids_per_day(typed)
         writes = [
-            lambda: append_rejected(unreadable.unionByName(undated), batch_id, store),
-            lambda: append_log(typed, batch_id, store),
+            lambda: made.extend(append_anomalies(anomalies(texts), batch_id, store, name)),
+            lambda: made.extend(append_rejected(unreadable.unionByName(undated), batch_id, store, name)),
+            lambda: made.extend(append_log(typed, batch_id, store, name)),
             lambda: add_days(typed, batch_id, store),
         ]
+        if dedupe:
+            writes.append(lambda: made.extend(add_filters(typed, batch_id, store, name, known)))
         if archive:
-            writes.append(lambda: archive_batch(typed, batch_id, store))
+            writes.append(lambda: made.extend(append_log(typed, batch_id, store, name, "archive")))
         if live:
-            writes.append(lambda: add_live(typed, batch_id, store))
+            writes.append(lambda: made.extend(add_live(typed, batch_id, store, name)))
         if sketch_capacity:
             writes.append(lambda: add_sketch(typed, batch_id, store, sketch_capacity))
         run_together(spark, *writes)
-        new_day = _new_day(spark, store, batch_id)
-        gone = expired_in_store(spark, store, retention_days) if retention_days else []
-        if refresh == "batch" or (refresh == "day_change" and new_day):
-            refresh_views(spark, store, expired=gone)
-        if gone and (new_day or set(gone).intersection(days)):
-            expire(spark, store, retention_days)
+        gone = expired_in_store(spark, store, retention_days, batch_id + 1) if retention_days else []
+        store.commit(spark, lambda now: _switched(now, made, batch_id, gone))
+        if refresh == "batch" or (refresh == "day_change" and _new_day(spark, store, batch_id)):
+            refresh_views(spark, store)
     finally:
-        decoded.unpersist()
-        if typed is not None:
-            typed.unpersist()
+        for df in frames:
+            df.unpersist()
+
+
+def _switched(now, made, batch_id, gone):
+    """The commit of a batch: its parts instead of those of an earlier try, and without the
+    expired days. Rows of that try that summaries have counted are still to be taken off."""
+    expired = parts_of_days(now, gone)
+    held = {p.folder for p in expired}
+    before = [p for p in now.parts.values() if p.level == 0 and p.first == p.last == batch_id
+              and p.folder not in held and p.state != "gone"]
+    counted = marked([p for p in before if p.table == "main" and p.state == "done"], "gone")
+    add = [p for p in made if not (p.table in EXPIRING and p.date in set(gone))]
+    return add + counted, expired + before, batch_id
 
 
 def _undated(texts):

@@ -2,20 +2,21 @@
 
 Numbers that add up are kept as sums: those of the headline one row per day, rewritten
 per batch (see ``slots``); those of the hit rate one row per five-minute bucket and
-batch, in folders by day, so a batch writes the buckets it has rows for and no others.
+batch, in folders by day, so a batch writes the buckets it has rows for and no others, and
+merging (see ``merging``) adds them up.
 Late rows count whenever they come. Shares of distinct queries do not add up; they are
 counted from the stored rows of the latest day alone, whose folder is all that is read.
 
 The latest day is the newest one the store trusts (see ``store.DAYS_AHEAD``).
 """
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from querylume.functions.numbers import count_if, count_rows, known, percent, safe_ratio
 from querylume.operators.aggregation import distinct_queries, distinct_query_counts
 from querylume.operators.explode import explode_read_write
-from querylume.sources.files import write_balanced
+from querylume.sources.files import balanced
+from querylume.streaming.sinks import batch_part, write_part
 from querylume.streaming.slots import read_slot, write_slot
 from querylume.streaming.store import LogStore, trusted
 
@@ -25,15 +26,11 @@ HEADLINE = (
     T.StructType().add("day", "date").add("total_queries", "long").add("hits", "long")
     .add("compile_sum", "double").add("compile_count", "long")
 )
-BUCKETS = (
-    T.StructType().add("bucket", "timestamp").add("hits", "long").add("queries", "long")
-    .add("day", "date").add("batch_id", "long")
-)
 
 
-def add_live(rows: DataFrame, batch_id: int, store: LogStore) -> None:
-    """Add a batch of typed rows (with their ``day``) to the live numbers. A replay
-    starts from the same predecessor and replaces what the batch wrote."""
+def add_live(rows: DataFrame, batch_id: int, store: LogStore, name: str) -> list:
+    """Add a batch of typed rows (with their ``day``) to the live numbers; returns the parts
+    to commit. A replay starts from the same predecessor and replaces what the batch wrote."""
     spark = rows.sparkSession
     spent = known(rows, "compile_duration_ms")
     mine = rows.groupBy("day").agg(
@@ -51,13 +48,12 @@ def add_live(rows: DataFrame, batch_id: int, store: LogStore) -> None:
     buckets = rows.groupBy("day", window.alias("bucket")).agg(
         count_if(F.col("was_cached") == 1).alias("hits"), count_rows().alias("queries")
     )
-    tagged = buckets.withColumn("batch_id", F.lit(batch_id).cast("long"))
-    write_balanced(tagged, store.path("live/hit_rate"), ["day", "batch_id"])
+    return write_part(balanced(buckets), store, batch_part("live/hit_rate", batch_id, name))
 
 
 def headline_now(spark, store: LogStore) -> DataFrame:
     """The headline numbers over all days so far."""
-    days = read_slot(spark, store.path("live/headline"), HEADLINE)
+    days = read_slot(spark, store.path("live/headline"), HEADLINE, store.live(spark).batch + 1)
     return days.agg(
         F.coalesce(F.sum("total_queries"), F.lit(0)).alias("total_queries"),
         percent(F.sum("hits"), F.sum("total_queries")).alias("cache_hit_rate"),
@@ -67,15 +63,11 @@ def headline_now(spark, store: LogStore) -> DataFrame:
 
 
 def hit_rate_now(spark, store: LogStore, days=None) -> DataFrame:
-    """Hit rate per bucket, of some days or all."""
-    try:
-        buckets = spark.read.schema(BUCKETS).parquet(store.path("live/hit_rate"))
-    except AnalysisException as err:
-        if "PATH_NOT_FOUND" not in str(err):
-            raise
-        buckets = spark.createDataFrame([], BUCKETS)
-    if days is not None:
-        buckets = buckets.filter(F.col("day").isin(*days))
+    """Hit rate per bucket, of some days or all; of days, only their folders are read."""
+    if days is None:
+        buckets = store.read(spark, "live/hit_rate")
+    else:
+        buckets = store.read_days(spark, "live/hit_rate", days)
     return buckets.groupBy("bucket").agg(
         percent(F.sum("hits"), F.sum("queries")).alias("hit_rate"))
 

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from querylume.plans.views import SUMMARIES
 from querylume.schema import DAYS_KEPT
-from querylume.sources.files import delete_folder
-from querylume.streaming.store import DAYS_AHEAD, LogStore, trusted
+from querylume.streaming.store import DAYS_AHEAD, LogStore, summary_table, trusted
 
 
 def retained(df: DataFrame, days=DAYS_KEPT, newest: DataFrame = None,
@@ -65,16 +64,28 @@ def apply_retention(spark, table: str, days=DAYS_KEPT) -> list:
     return gone
 
 
-def expired_in_store(spark, store: LogStore, days=DAYS_KEPT) -> list:
+def expired_in_store(spark, store: LogStore, days=DAYS_KEPT, before=None) -> list:
     """The expired days among all days ever stored (one row per calendar day)."""
-    return _expired([r["day"] for r in store.days(spark).select("day").collect()], days)
+    return _expired([r["day"] for r in store.days(spark, before).select("day").collect()], days)
+
+
+# What retention takes from a store; the archive, anomalies and live numbers stay.
+EXPIRING = ("main", "ids", *map(summary_table, SUMMARIES))
+
+
+def parts_of_days(live, days) -> list:
+    """The parts of some days that retention removes."""
+    return [p for table in EXPIRING for p in live.of(table, days, gone=True)]
 
 
 def expire(spark, store: LogStore, days=DAYS_KEPT) -> list:
     """Remove the expired days from the main table and the summaries, never from the
-    archive; returns them. Removing a day again is no error, so a batch may be replayed."""
+    archive; returns them. One commit: readers see a day whole or not at all. Removing a
+    day again is no error, so a batch may be replayed."""
     gone = expired_in_store(spark, store, days)
-    for day in gone:
-        for folder in (store.path("main"), *map(store.summary_path, SUMMARIES)):
-            delete_folder(spark, f"{folder}/day={day}")
+    if gone:
+        def change(live):
+            parts = parts_of_days(live, gone)
+            return ([], parts, None) if parts else None
+        store.commit(spark, change)
     return gone

@@ -1,4 +1,7 @@
-"""The writes of one micro-batch. Each replaces what the same batch wrote before."""
+"""The writes of one micro-batch, each into folders of its own, and its running state."""
+
+import uuid
+from dataclasses import replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
@@ -10,35 +13,62 @@ from querylume.operators.aggregation import (
 )
 from querylume.operators.explode import explode_accesses
 from querylume.operators.projections import with_day
-from querylume.sources.files import (
-    balanced, delete_folder, write_balanced, write_folders,
-)
+from querylume.sources.files import balanced
+from querylume.streaming.commits import Part
 from querylume.streaming.slots import read_slot, write_slot
-from querylume.streaming.store import LogStore
+from querylume.streaming.store import WITHOUT_DAY, LogStore
+
+
+def part_name(kind: str) -> str:
+    """A name no other writer, and no other try of this one, uses."""
+    return f"{kind}-{uuid.uuid4().hex}"
+
+
+def _days_written(spark, folder):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(path)]
+    return [n.removeprefix("day=") for n in names if n.startswith("day=")]
+
 
+def write_part(df: DataFrame, store: LogStore, part: Part) -> list:
+    """Write rows as a new part, a folder per day, and return the parts to commit. Nobody
+    reads them before that."""
+    spark = df.sparkSession
+    by = [] if part.table in WITHOUT_DAY else ["day"]
+    folder = f"{store.path(part.table)}/part={part.name}"
+    df.write.mode("errorifexists").partitionBy(*by).parquet(folder)
+    if not by:
+        return [part]
+    return [replace(part, day=day) for day in _days_written(spark, folder)]
 
-def _tagged(df, batch_id):
+
+def batch_part(table: str, batch_id: int, name: str, state="done") -> Part:
+    return Part(table, name, level=0, first=batch_id, last=batch_id, state=state)
+
+
+def tagged(df, batch_id):
     return df.withColumn("batch_id", F.lit(batch_id).cast("long"))
 
 
-def append_log(df: DataFrame, batch_id: int, store: LogStore, table="main") -> None:
+def append_log(df: DataFrame, batch_id: int, store: LogStore, name: str, table="main") -> list:
     """Rows (balanced already, with their ``day``) into their day's folder, made on
     demand. Late rows land in their own day."""
-    write_folders(_tagged(df, batch_id), store.path(table), ["day", "batch_id"])
-
+    state = "new" if table == "main" else "done"
+    return write_part(tagged(df, batch_id), store, batch_part(table, batch_id, name, state))
 
-def archive_batch(df: DataFrame, batch_id: int, store: LogStore) -> None:
-    """The same rows into the archive, which retention never touches."""
-    append_log(df, batch_id, store, "archive")
 
-
-def append_anomalies(found: DataFrame, batch_id: int, store: LogStore) -> None:
+def append_anomalies(found: DataFrame, batch_id: int, store: LogStore, name: str) -> list:
     """Anomalies into their day's folder; one with a bad timestamp has a null day."""
-    write_balanced(_tagged(with_day(found), batch_id), store.path("anomalies"), ["day", "batch_id"])
+    rows = balanced(tagged(with_day(found), batch_id))
+    return write_part(rows, store, batch_part("anomalies", batch_id, name))
 
 
-def append_rejected(rejected: DataFrame, batch_id: int, store: LogStore) -> None:
-    write_balanced(_tagged(rejected, batch_id), store.path("rejected"), ["batch_id"])
+def append_rejected(rejected: DataFrame, batch_id: int, store: LogStore, name: str) -> list:
+    rows = balanced(tagged(rejected, batch_id), by_day=False)
+    return write_part(rows, store, batch_part("rejected", batch_id, name))
 
 
 def add_days(df: DataFrame, batch_id: int, store: LogStore) -> None:
@@ -81,50 +111,6 @@ def top_tables_seen(spark, store: LogStore, k=10) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(err):
             raise
         return spark.createDataFrame([], "table_id string, count long")
+    versions = versions.filter(F.col("batch_id") <= store.live(spark).batch)
     newest = versions.agg(F.max("batch_id")).scalar()
     return estimate_frequent(versions.filter(F.col("batch_id") == newest), k)
-
-
-# -- merging of batch folders -----------------------------------------------------
-
-
-def compact(spark, store: LogStore, through: int, tables=("main", "archive"), days=None) -> None:
-    """Merge the folders of all batches up to ``through`` into one per day.
-
-    For batches that are done for good: the checkpoint no longer replays them. Rows do
-    not change, only their ``batch_id``, which becomes ``through``. Merged rows are
-    written aside first; then the old folders go and the merged one takes their place.
-    Run again after a failure, it goes on where it stopped. Not to be run next to a
-    stream into the same store.
-    """
-    for table in tables:
-        _finish(spark, store, table)
-        rows = store.read(spark, table).filter(F.col("batch_id") <= through)
-        if days is not None:
-            rows = rows.filter(F.col("day").isin(*days))
-        aside = f"{store.path(table)}_merged"
-        merged = balanced(rows.withColumn("batch_id", F.lit(through)))
-        merged.write.partitionBy("day", "batch_id").parquet(aside)
-        _finish(spark, store, table)
-
-
-def _finish(spark, store, table):
-    """Put completely written merged folders in place of what they hold."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    aside = f"{store.path(table)}_merged"
-    fs = path(aside).getFileSystem(conf)
-    if fs.exists(path(f"{aside}/_SUCCESS")):
-        for day in fs.listStatus(path(aside)):
-            name = day.getPath().getName()
-            if not name.startswith("day="):
-                continue
-            merged = fs.listStatus(day.getPath())[0].getPath()
-            through = int(merged.getName().removeprefix("batch_id="))
-            target = f"{store.path(table)}/{name}"
-            for old in fs.listStatus(path(target)):
-                if int(old.getPath().getName().removeprefix("batch_id=")) <= through:
-                    fs.delete(old.getPath(), True)
-            fs.rename(merged, path(f"{target}/{merged.getName()}"))
-            fs.delete(day.getPath(), True)
-    delete_folder(spark, aside)

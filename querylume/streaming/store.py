@@ -1,32 +1,38 @@
 """Where the ingest keeps its tables, and how they are read back.
 
-All tables are Parquet folders below one root, which belongs to one streaming
-checkpoint. Every write of a micro-batch goes to folders of its own ``batch_id`` (or
-slot, see ``slots``) with per-partition overwrite, so a batch that is replayed after
-a failure replaces its own rows.
+All tables are Parquet folders below one root, which belongs to one streaming checkpoint.
+Which folders count is said by the log of commits (see ``commits``): a micro-batch writes
+folders of its own and switches them in together, in all tables at once, in place of those
+an earlier try of the same batch left. Small running state is kept in slots (see ``slots``).
 """
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from querylume.plans.views import SUMMARIES
+from querylume.plans.views import AMOUNTS, SUMMARIES
 from querylume.schema import ANOMALY_SCHEMA, LOG_SCHEMA
+from querylume.streaming import commits
 from querylume.streaming.slots import read_slot
 
 _BATCH = [T.StructField("batch_id", T.LongType())]
 _DAY = [T.StructField("day", T.DateType())]
-
-_SCHEMAS = {
-    "main": T.StructType(LOG_SCHEMA.fields + _DAY + _BATCH),
-    "archive": T.StructType(LOG_SCHEMA.fields + _DAY + _BATCH),
-    "anomalies": T.StructType(ANOMALY_SCHEMA.fields + _DAY + _BATCH),
+_PART = [T.StructField("part", T.StringType())]
+BUCKETS = T.StructType().add("bucket", "timestamp").add("hits", "long").add("queries", "long")
+
+# Columns as stored; the day, where there is one, is that of the folder.
+_LOG = T.StructType(LOG_SCHEMA.fields + _BATCH)
+_STORED = {
+    "main": _LOG,
+    "archive": _LOG,
+    "anomalies": T.StructType(ANOMALY_SCHEMA.fields + _BATCH),
     "rejected": T.StructType(
         [T.StructField("value", T.StringType()), T.StructField("reason", T.StringType())] + _BATCH
     ),
-    "refreshed": T.StructType([T.StructField("through", T.LongType())] + _DAY),
+    "ids": T.StructType().add("block", "integer").add("bits", "binary"),
+    "live/hit_rate": BUCKETS,
 }
+WITHOUT_DAY = {"rejected"}
 # One row per day seen: its rows, its table accesses, the last batch that added some.
 DAYS_SCHEMA = T.StructType(
     _DAY + [T.StructField(c, T.LongType()) for c in ("rows", "table_accesses", "last_batch")]
@@ -41,6 +47,10 @@ def trusted(day, ahead=DAYS_AHEAD):
     return F.col(day) <= F.date_add(F.current_date(), ahead)
 
 
+def summary_table(name):
+    return f"summaries/{name}"
+
+
 @dataclass(frozen=True)
 class LogStore:
     root: str
@@ -48,27 +58,50 @@ class LogStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def summary_path(self, name: str) -> str:
-        return f"{self.root}/summaries/{name}"
+    # -- the parts that count ---------------------------------------------------------
+
+    def live(self, spark) -> commits.Live:
+        return commits.read_live(spark, self.path("_commits"))
+
+    def commit(self, spark, change) -> commits.Live:
+        return commits.commit(spark, self.path("_commits"), change)
+
+    def read_parts(self, spark, table: str, parts, with_part=False) -> DataFrame:
+        """The rows of some parts of a table; only their folders are listed."""
+        schema = self._schema(spark, table)
+        day = [] if table in WITHOUT_DAY else _DAY
+        if not parts:
+            empty = spark.createDataFrame([], T.StructType(schema.fields + _PART + day))
+            return empty if with_part else empty.drop("part")
+        found = (
+            spark.read.schema(T.StructType(schema.fields + _PART + day))
+            .option("basePath", self.path(table))
+            .parquet(*(f"{self.root}/{p.folder}" for p in parts))
+        )
+        return found if with_part else found.drop("part")
+
+    @staticmethod
+    def _schema(spark, table):
+        if table in _STORED:
+            return _STORED[table]
+        counts = SUMMARIES[table.removeprefix("summaries/")][0]
+        made = counts(spark.createDataFrame([], T.StructType(_LOG.fields + _DAY))).schema
+        return T.StructType([f for f in made.fields if f.name != "day"])
 
     def read(self, spark, table: str) -> DataFrame:
         """A table of the store; empty, with its schema, before the first write."""
-        schema = _SCHEMAS[table]
-        try:
-            return spark.read.schema(schema).parquet(self.path(table))
-        except AnalysisException as err:
-            if "PATH_NOT_FOUND" not in str(err):
-                raise
-            return spark.createDataFrame([], schema)
+        return self.read_parts(spark, table, self.live(spark).of(table))
 
     def read_days(self, spark, table: str, days) -> DataFrame:
-        """Some days of a table, listing no other day's folder."""
-        paths = [f"{self.path(table)}/day={d}" for d in days]
-        reader = spark.read.schema(_SCHEMAS[table]).option("basePath", self.path(table))
-        return reader.parquet(*paths)
+        """Some days of a table, listing no other day's folders. Days that are not there,
+        or were removed by retention, have no rows."""
+        return self.read_parts(spark, table, self.live(spark).of(table, days))
+
+    # -- days and summaries -----------------------------------------------------------
 
     def days(self, spark, before=None) -> DataFrame:
-        """What was ingested per day, as of the newest batch (before ``before``)."""
+        """What was ingested per day, as of the newest committed batch (or before ``before``)."""
+        before = self.live(spark).batch + 1 if before is None else before
         return read_slot(spark, self.path("days"), DAYS_SCHEMA, before)
 
     def trusted_days(self, spark, before=None, ahead=DAYS_AHEAD) -> DataFrame:
@@ -85,12 +118,7 @@ class LogStore:
 
     def stored_counts(self, spark, name: str) -> DataFrame:
         """The additive counts of a summary, as last refreshed; empty before that."""
-        try:
-            return spark.read.parquet(self.summary_path(name))
-        except AnalysisException as err:
-            if "PATH_NOT_FOUND" not in str(err):
-                raise
-            return SUMMARIES[name][0](spark.createDataFrame([], _SCHEMAS["main"]))
+        return self.read(spark, summary_table(name))
 
     def summary(self, spark, name: str) -> DataFrame:
         """A summary as a reader sees it, percentages computed over what is stored."""
@@ -105,6 +133,14 @@ class LogStore:
             self.summary(spark, name).createOrReplaceTempView(name)
 
 
+def added_up(counts: DataFrame, name: str) -> DataFrame:
+    """Counts of a summary with one row per group, groups that came to nothing left out."""
+    amounts = AMOUNTS[name]
+    keys = [c for c in counts.columns if c not in amounts]
+    total = counts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in amounts))
+    return total.filter(F.col(amounts[-1]) != 0)
+
+
 def running_total(spark, store: LogStore) -> DataFrame:
     """Elements seen so far, by key."""
     totals = store.days(spark).agg(
