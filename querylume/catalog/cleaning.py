@@ -176,6 +176,21 @@ def p17(log):
     return filters.of_type(log, "SELECT").select("query_id")
 
 
+SPELLINGS = ["select", "SELECT", "Select", "sElect", "SeLeCt"]
+
+
+@query("p17_of_type_any_case", """
+SELECT query_id FROM query_log WHERE lower(query_type) IN ('select', 'copy')
+""")
+def p17_any_case(log):
+    """Both types logged in five spellings, dealt by id."""
+    place = F.pmod(F.col("query_id"), F.lit(5)).cast("int")
+    spelt = F.when(F.col("query_type") == "select", F.element_at(F.array(*map(F.lit, SPELLINGS)), place + 1)).when(
+        F.col("query_type") == "copy", F.element_at(F.array(*map(F.lit, ["copy", "COPY", "cOPY", "Copy", "copY"])), place + 1))
+    odd = log.withColumn("query_type", F.coalesce(spelt, "query_type"))
+    return filters.of_type(odd, "Select").unionByName(filters.of_type(odd, "coPy")).select("query_id")
+
+
 @query("p18_col_in", "SELECT query_id FROM query_log WHERE query_type IN ('select', 'copy')")
 def p18(log):
     return log.filter(filters.col_in(F.col("query_type"), ["select", "copy"])).select("query_id")

@@ -7,6 +7,7 @@ from querylume.catalog.files import TYPED_ROWS
 from querylume.catalog.quality import ALL_FOUND, FOUND_ROWS
 from querylume.catalog.summaries import ACCESSES, M1, M3, M4, M5_ROWS
 from querylume.fixture import query_log
+from querylume.operators.filters import of_type
 from querylume.operators.quality import latest_anomalies
 from querylume.session import scratch_path
 from querylume.sources import messages
@@ -108,7 +109,15 @@ DATED_ROWS = TYPED_ROWS.replace(
 
 @table_query("x1_ingest_main", log_sql(DATED_ROWS))
 def x1(spark, sf_dir):
-    return ingested(spark, sf_dir).read(spark, "main").drop("batch_id")
+    return ingested(spark, sf_dir).read(spark, "main").drop("batch_id", "type_key")
+
+
+@table_query("p17_of_type_stored", log_sql("""
+SELECT query_id, query_type FROM query_log WHERE lower(query_type) = 'select'
+"""))
+def p17_stored(spark, sf_dir):
+    """A type asked for in any case, by the column the store keeps for that."""
+    return of_type(ingested(spark, sf_dir).read(spark, "main"), "SeLeCt").select("query_id", "query_type")
 
 
 @table_query("x3_ingest_rejected", "SELECT text AS value FROM conversations")
@@ -358,7 +367,7 @@ def x8(spark, sf_dir):
 @table_query("s14_compacted", log_sql(DATED_ROWS))
 def s14(spark, sf_dir):
     """The main table, its parts merged."""
-    return merged(spark, sf_dir).read(spark, "main").drop("batch_id")
+    return merged(spark, sf_dir).read(spark, "main").drop("batch_id", "type_key")
 
 
 @table_query("s14_merged_anomalies", log_sql(ALL_FOUND + FOUND_ROWS))

@@ -15,6 +15,7 @@ from querylume.functions.times import literal_like, minute_of
 from querylume.operators.projections import require_columns
 
 TS = "arrival_timestamp"
+TYPE_KEY = "type_key"
 
 
 def between_ts(df: DataFrame, start=None, end=None, ts=TS) -> DataFrame:
@@ -83,11 +84,25 @@ def present(df: DataFrame, *cols) -> DataFrame:
     return df
 
 
+def type_key(query_type: Column) -> Column:
+    """A query type without its case, as the store keeps it beside the raw spelling."""
+    return F.lower(query_type)
+
+
 def of_type(df: DataFrame, query_type: str) -> DataFrame:
-    """Rows of one query type, asked for in any case and logged in lower case, upper case
-    or with a capital. The bare column is compared, so the scan sees the filter."""
-    spellings = {query_type.lower(), query_type.upper(), query_type.capitalize()}
-    return df.filter(F.col("query_type").isin(*sorted(spellings)))
+    """Rows of one query type, in whatever case it is asked for and logged.
+
+    A frame of the store has the type without case as a column of its own, and that is
+    compared: the scan sees the filter. In other frames the spellings of an ASCII type lie
+    between its upper and its lower case, a range that the scan sees, and the rows found
+    there are compared without case.
+    """
+    wanted = query_type.lower()
+    if TYPE_KEY in df.columns:
+        return df.filter(F.col(TYPE_KEY) == wanted)
+    if wanted.isascii():
+        df = df.filter(F.col("query_type").between(wanted.upper(), wanted))
+    return df.filter(type_key(F.col("query_type")) == wanted)
 
 
 def col_in(col: Column, values) -> Column:

@@ -24,32 +24,42 @@ def sort_check(spark, path, ts="arrival_timestamp") -> DataFrame:
     predecessor, in file order and with files in name order.
 
     Each scan task walks its rows where they lie and reports one line per stretch of
-    neighbouring rows, so no log row is shuffled. The seams between stretches are
-    then compared: first within each file, then between files. The last comparison
-    sees one line per file, which is what the driver lists to plan the scan anyway.
+    neighbouring rows, so no log row is shuffled. Stretches join into longer ones, as
+    (first, last, lowest, highest, inversions) of neighbours make those of both: ranges of
+    them by file and row first, then FAN neighbouring ranges at a time, as a tree. No task
+    orders more than a range of stretches or FAN ranges.
     """
     rows = spark.read.parquet(path)
     schema = _run_schema(rows.schema[ts].dataType)
     runs = rows.select("_metadata.file_path", "_metadata.row_index", ts).mapInArrow(
         _runs_of, schema
     )
-    in_file = Window.partitionBy("path").orderBy("first_row")
-    by_file = (
-        runs.withColumn("_seam", (F.col("first") < F.lag("last").over(in_file)).cast("long"))
-        .groupBy("path")
-        .agg(
-            (F.sum("inversions") + F.coalesce(F.sum("_seam"), F.lit(0))).alias("inversions"),
-            F.min("low").alias("low"),
-            F.max("high").alias("high"),
-            F.min_by("first", "first_row").alias("first"),
-            F.max_by("last", "first_row").alias("last"),
-        )
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = runs.repartitionByRange(n, "path", "first_row")
+    joined = _joined_runs(ranged.withColumn("at", F.spark_partition_id()), "at", ["path", "first_row"])
+    while n > 1:
+        n = -(-n // FAN)
+        joined = _joined_runs(joined.withColumn("of", F.floor(F.col("at") / FAN)), "of", ["at"])
+        joined = joined.withColumnRenamed("of", "at")
+    return joined.agg(
+        F.min("low").alias("first"), F.max("high").alias("last"),
+        F.coalesce(F.sum("inversions"), F.lit(0)).alias("out_of_order"),
     )
-    seam = F.col("first") < F.lag("last").over(Window.orderBy("path"))
-    return by_file.withColumn("_seam", F.coalesce(seam.cast("long"), F.lit(0))).agg(
-        F.min("low").alias("first"),
-        F.max("high").alias("last"),
-        F.coalesce(F.sum(F.col("inversions") + F.col("_seam")), F.lit(0)).alias("out_of_order"),
+
+
+FAN = 64
+
+
+def _joined_runs(runs: DataFrame, into: str, order) -> DataFrame:
+    """The stretches of each ``into`` joined into one, in their order. A seam between two
+    counts when the second begins before the first ends."""
+    place = F.struct(*order)
+    beside = Window.partitionBy(into).orderBy(*order)
+    seam = F.coalesce((F.col("first") < F.lag("last").over(beside)).cast("long"), F.lit(0))
+    return runs.withColumn("_seam", seam).groupBy(into).agg(
+        F.min_by("first", place).alias("first"), F.max_by("last", place).alias("last"),
+        F.min("low").alias("low"), F.max("high").alias("high"),
+        F.sum(F.col("inversions") + F.col("_seam")).alias("inversions"),
     )
 
 

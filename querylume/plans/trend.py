@@ -7,7 +7,7 @@ its points several times, so pass a stored summary or a persisted frame, not a l
 one over a whole log.
 """
 
-import math
+from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -102,75 +102,112 @@ def fit_quadratic(df: DataFrame) -> DataFrame:
 
 
 def fit_exponential(df: DataFrame, max_iter=100, tolerance=1e-12) -> DataFrame:
-    """``log1p(y) = a*exp(b*x)`` by damped Gauss-Newton.
+    """``log1p(y) = a*exp(b*x)`` by damped Gauss-Newton, inside one plan.
 
-    Every step is one aggregate over the summary, and only its few sums reach the
-    driver. A step that does not lower the error is retried with more damping.
+    The points are brought down to one line per distinct ``x`` first, a number of joins, of
+    which there are few however long the log is. The steps are a fold over the numbers 1 to
+    ``max_iter``: each computes its sums from these lines, and one that does not lower the
+    error is tried again with more damping.
     Null coefficients if no start exists, the error is not finite, or ``max_iter`` steps
     do not settle it: a point on the way is no fit.
     """
-    points = _points(df)
-    solved = _solve_exponential(points, max_iter, tolerance)
-    a, b = solved if solved else (None, None)
-    row = points.sparkSession.range(1).select(
-        F.lit(a).cast("double").alias("a"),
-        F.lit(b).cast("double").alias("b"),
-        F.lit(None).cast("double").alias("c"),
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    log_z = F.when(z > 0, F.log(z))
+    lines = _points(df).groupBy("x").agg(
+        F.count("*").cast("double").alias("n"), F.avg(z).alias("z"), F.avg(y).alias("y"),
+        (F.var_pop(z) * F.count("*")).alias("z_within"), (F.var_pop(y) * F.count("*")).alias("y_within"),
+        F.count(log_z).alias("m"), F.sum(log_z).alias("l"),
     )
-    return _scored(points, "Exponential", row, F.col("_a") * F.exp(F.col("_b") * F.col("x")))
-
-
-def _solve_exponential(points, max_iter, tolerance):
-    start = points.filter("z > 0").agg(
-        F.regr_slope(F.log("z"), "x").alias("b"), F.regr_intercept(F.log("z"), "x").alias("a")
-    ).first()
-    if start["a"] is None or start["b"] is None:
-        return None
-    a, b = math.exp(start["a"]), start["b"]
-    now = _newton_sums(points, a, b)
-    damping = 1e-3
-    for _ in range(max_iter):
-        if now is None:
-            return None
-        step = _newton_step(now, damping)
-        if step is None:
-            return (a, b) if now["ga"] == now["gb"] == 0 else None
-        tried = _newton_sums(points, a + step[0], b + step[1])
-        if tried is None or tried["sse"] > now["sse"]:
-            damping *= 10
-            if damping > 1e12:  # no step, however small, lowers the error
-                return a, b
-            continue
-        gained = now["sse"] - tried["sse"]
-        a, b, now, damping = a + step[0], b + step[1], tried, damping / 10
-        if gained <= tolerance * max(now["sse"], tolerance * now["scale"]):
-            return a, b
-    return None
+    n = F.col("n")
+    all_lines = lines.agg(
+        F.collect_list(F.struct("x", "n", "z", "y")).alias("points"),
+        F.coalesce(F.sum("z_within"), F.lit(0.0)).alias("z_within"), F.sum("y_within").alias("y_within"),
+        F.sum(n * z * z).alias("scale"), (F.sum(n * y * y) - F.sum(n * y) * F.sum(n * y) / F.sum(n)).alias("syy_means"),
+        F.sum("m").cast("double").alias("m"), F.sum(F.col("m") * x).alias("mx"),
+        F.sum(F.col("m") * x * x).alias("mxx"), F.sum("l").alias("l"), F.sum(F.col("l") * x).alias("lx"),
+    )
+    slope = F.try_divide(
+        F.col("m") * F.col("lx") - F.col("mx") * F.col("l"), F.col("m") * F.col("mxx") - F.col("mx") * F.col("mx"))
+    started = all_lines.withColumn("b0", slope).withColumn(
+        "a0", F.exp(F.try_divide(F.col("l") - F.col("b0") * F.col("mx"), F.col("m"))))
+    first = started.withColumn("now", _newton_sums(F.col("points"), F.col("a0"), F.col("b0")))
+    state = F.struct(
+        F.col("a0").alias("a"), F.col("b0").alias("b"), F.lit(1e-3).alias("damping"), F.col("now").alias("now"),
+        F.when(_finite(F.col("now")), RUNNING).otherwise(FAILED).alias("status"))
+    step = partial(_newton_step, points=F.col("points"), within=F.col("z_within"), scale=F.col("scale"),
+                   tolerance=tolerance)
+    solved = first.withColumn("end", F.aggregate(F.sequence(F.lit(1), F.lit(max_iter)), state, lambda s, _: step(s)))
+    settled = F.col("end.status") == SETTLED
+    found = solved.select(
+        "points", "y_within", "syy_means", F.when(settled, F.col("end.a")).alias("a"),
+        F.when(settled, F.col("end.b")).alias("b"))
+    off = F.aggregate("points", F.lit(0.0), lambda total, p: total + p["n"] * F.pow(
+        p["y"] - unlog_scale(F.col("a") * F.exp(F.col("b") * p["x"])), 2))
+    score = 1 - safe_ratio(off + F.col("y_within"), F.col("syy_means") + F.col("y_within"))
+    return found.select(
+        F.lit("Exponential").alias("model"), "a", "b", F.lit(None).cast("double").alias("c"),
+        F.when(F.col("a").isNotNull(), score).alias("r2"))
+
+
+RUNNING, SETTLED, FAILED = 0, 1, 2
+_SUMS = ("sse", "aa", "ab", "bb", "ga", "gb")
+
+
+def _let(value, use):
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _finite(sums):
+    known = None
+    for c in _SUMS:
+        one = sums[c].isNotNull() & ~F.isnan(sums[c]) & (F.abs(sums[c]) < F.lit(float("inf")))
+        known = one if known is None else known & one
+    return known
 
 
 def _newton_sums(points, a, b):
-    """Sums for one step at (a, b), or None when the error is not finite."""
-    grow = F.exp(F.lit(b) * F.col("x"))
-    da, db = grow, F.lit(a) * F.col("x") * grow
-    miss = F.col("z") - F.lit(a) * grow
-    sums = points.agg(
-        F.sum(miss * miss).alias("sse"), F.sum(F.col("z") * F.col("z")).alias("scale"),
-        F.sum(da * da).alias("aa"), F.sum(da * db).alias("ab"), F.sum(db * db).alias("bb"),
-        F.sum(da * miss).alias("ga"), F.sum(db * miss).alias("gb"),
-    ).first()
-    finite = all(v is not None and math.isfinite(v) for v in sums)
-    return sums if finite else None
-
-
-def _newton_step(sums, damping):
-    aa, bb, ab = sums["aa"] * (1 + damping), sums["bb"] * (1 + damping), sums["ab"]
-    det = aa * bb - ab * ab
-    if det == 0:
-        return None
-    return (
-        (sums["ga"] * bb - sums["gb"] * ab) / det,
-        (sums["gb"] * aa - sums["ga"] * ab) / det,
-    )
+    """Sums for one step at (a, b). The part of the error that no curve through one value
+    per ``x`` can change is left out."""
+    def added(total, p):
+        def with_growth(g):
+            miss, slope = p["z"] - a * g, a * p["x"] * g
+            terms = (miss * miss, g * g, g * slope, slope * slope, g * miss, slope * miss)
+            return F.struct(*((total[c] + p["n"] * t).alias(c) for c, t in zip(_SUMS, terms)))
+        return _let(F.exp(b * p["x"]), with_growth)
+
+    zero = F.struct(*(F.lit(0.0).alias(c) for c in _SUMS))
+    return F.aggregate(points, zero, added)
+
+
+def _newton_step(s, points, within, scale, tolerance):
+    """The state after one more step: coefficients, damping, sums and whether it is over."""
+    now, damping = s["now"], s["damping"]
+
+    def state(a, b, damping, now, status):
+        return F.struct(a.alias("a"), b.alias("b"), damping.alias("damping"), now.alias("now"), status.alias("status"))
+
+    def tried(t):
+        worse = ~_finite(t["sums"]) | (t["sums"]["sse"] > now["sse"])
+        gained = now["sse"] - t["sums"]["sse"]
+        enough = gained <= tolerance * F.greatest(now["sse"] + within, tolerance * scale)
+        # No step, however small, lowers the error: settled too.
+        kept = state(s["a"], s["b"], damping * 10, now, F.when(damping * 10 > 1e12, SETTLED).otherwise(RUNNING))
+        moved = state(t["a"], t["b"], damping / 10, t["sums"], F.when(enough, SETTLED).otherwise(RUNNING))
+        return F.when(worse, kept).otherwise(moved)
+
+    def solved(e):
+        a = s["a"] + F.try_divide(now["ga"] * e["bb"] - now["gb"] * now["ab"], e["det"])
+        b = s["b"] + F.try_divide(now["gb"] * e["aa"] - now["ga"] * now["ab"], e["det"])
+        step = _let(F.struct(a.alias("a"), b.alias("b")), lambda c: F.struct(
+            c["a"].alias("a"), c["b"].alias("b"), _newton_sums(points, c["a"], c["b"]).alias("sums")))
+        flat = F.when((now["ga"] == 0) & (now["gb"] == 0), SETTLED).otherwise(FAILED)
+        return F.when(e["det"] == 0, state(s["a"], s["b"], damping, now, flat)).otherwise(_let(step, tried))
+
+    damped = F.struct((now["aa"] * (1 + damping)).alias("aa"), (now["bb"] * (1 + damping)).alias("bb"))
+    equations = _let(damped, lambda d: F.struct(
+        d["aa"].alias("aa"), d["bb"].alias("bb"), (d["aa"] * d["bb"] - now["ab"] * now["ab"]).alias("det")))
+    return F.when(s["status"] != RUNNING, s).otherwise(_let(equations, solved))
 
 
 def all_fits(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from querylume.operators.aggregation import (
     estimate_frequent, frequent_items_sketch, merge_sketches,
 )
 from querylume.operators.explode import explode_accesses
+from querylume.operators.filters import TYPE_KEY, type_key
 from querylume.operators.projections import with_day
 from querylume.sources.files import balanced
 from querylume.streaming.commits import Part
@@ -55,9 +56,11 @@ def tagged(df, batch_id):
 
 def append_log(df: DataFrame, batch_id: int, store: LogStore, name: str, table="main") -> list:
     """Rows (balanced already, with their ``day``) into their day's folder, made on
-    demand. Late rows land in their own day."""
-    state = "new" if table == "main" else "done"
-    return write_part(tagged(df, batch_id), store, batch_part(table, batch_id, name, state))
+    demand. Late rows land in their own day. The main table has the type without its case
+    beside the raw one, for filters that reach the scan."""
+    main = table == "main"
+    rows = df.withColumn(TYPE_KEY, type_key(F.col("query_type"))) if main else df
+    return write_part(tagged(rows, batch_id), store, batch_part(table, batch_id, name, "new" if main else "done"))
 
 
 def append_anomalies(found: DataFrame, batch_id: int, store: LogStore, name: str) -> list:

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from querylume.operators.filters import TYPE_KEY
 from querylume.plans.views import AMOUNTS, SUMMARIES
 from querylume.schema import ANOMALY_SCHEMA, LOG_SCHEMA
 from querylume.streaming import commits
@@ -23,7 +24,7 @@ BUCKETS = T.StructType().add("bucket", "timestamp").add("hits", "long").add("que
 # Columns as stored; the day, where there is one, is that of the folder.
 _LOG = T.StructType(LOG_SCHEMA.fields + _BATCH)
 _STORED = {
-    "main": _LOG,
+    "main": T.StructType(LOG_SCHEMA.fields + [T.StructField(TYPE_KEY, T.StringType())] + _BATCH),
     "archive": _LOG,
     "anomalies": T.StructType(ANOMALY_SCHEMA.fields + _BATCH),
     "rejected": T.StructType(

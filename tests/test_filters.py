@@ -84,4 +84,28 @@ def test_a_query_type_reaches_the_scan(spark, tmp_path):
     spark.createDataFrame([("select",), ("SELECT",), ("Select",), ("copy",)], "query_type string").write.parquet(path)
     rows = filters.of_type(spark.read.parquet(path), "sElect")
     assert rows.count() == 3
-    assert "PushedFilters: [In(query_type" in rows._jdf.queryExecution().executedPlan().toString().replace("IsNotNull(query_type), ", "")
+    assert "PushedFilters: [GreaterThanOrEqual(query_type" in rows._jdf.queryExecution().executedPlan().toString().replace("IsNotNull(query_type), ", "")
+
+
+SPELLINGS = ["select", "SELECT", "Select", "sElect", "SeLeCt", "selects", "copy", None, "selec", "sELECT"]
+
+
+def test_all_spellings_of_a_type_are_found(make_log):
+    log = make_log(*[{"query_type": t} for t in SPELLINGS])
+    for asked in ("select", "SELECT", "sElEcT"):
+        assert ids(filters.of_type(log, asked)) == [1, 2, 3, 4, 5, 10]
+    stored = log.withColumn("type_key", filters.type_key(log.query_type))
+    assert ids(filters.of_type(stored, "Select")) == [1, 2, 3, 4, 5, 10]
+    odd = make_log({"query_type": "Prüfen"}, {"query_type": "PRÜFEN"}, {"query_type": "prufen"})
+    assert ids(filters.of_type(odd, "prüFEN")) == [1, 2]
+
+
+def test_the_scan_sees_the_type(spark, make_log, tmp_path):
+    log = make_log(*[{"query_type": t} for t in SPELLINGS])
+    log.write.parquet(f"{tmp_path}/raw")
+    log.withColumn("type_key", filters.type_key(log.query_type)).write.parquet(f"{tmp_path}/stored")
+    raw = filters.of_type(spark.read.parquet(f"{tmp_path}/raw"), "Select")
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(query_type,SELECT), LessThanOrEqual(query_type,select)" in plan
+    stored = filters.of_type(spark.read.parquet(f"{tmp_path}/stored"), "Select")
+    assert "EqualTo(type_key,select)" in stored._jdf.queryExecution().executedPlan().toString()

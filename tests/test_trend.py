@@ -85,3 +85,24 @@ def test_a_fit_that_did_not_settle_is_none(spark):
     assert trend.fit_exponential(points).first().a is not None
     capped = trend.fit_exponential(points, max_iter=1).first()
     assert (capped.a, capped.b, capped.r2) == (None, None, None)
+
+
+def test_the_exponential_fit_is_one_plan(spark):
+    """Building it runs nothing, and many rows of an x count as their number says."""
+    started = spark.sparkContext.statusTracker()
+    jobs = len(started.getJobIdsForGroup(None) or [])
+    points = curve(spark, lambda x: 0.2 * math.exp(0.35 * x) + 0.03 * (x % 3))
+    fit = trend.fit_exponential(points)
+    assert len(started.getJobIdsForGroup(None) or []) == jobs
+    once = fit.first()
+    many = trend.fit_exponential(points.union(points).union(points)).first()
+    assert many.a == pytest.approx(once.a) and many.b == pytest.approx(once.b)
+    assert many.r2 == pytest.approx(once.r2)
+    plan = fit._jdf.queryExecution().executedPlan().toString()
+    assert "Subquery" not in plan and "Join" not in plan
+
+
+def test_values_that_overflow_are_no_fit(spark):
+    df = spark.createDataFrame([(0, 1.0), (800, 1e300), (1, 2.0)], "x int, y double")
+    fit = trend.fit_exponential(df).first()
+    assert fit.a is None or math.isfinite(fit.a)
