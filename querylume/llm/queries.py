@@ -41,7 +41,7 @@ FROM (SELECT page_id, coalesce(html, '') AS body,
 """)
 def op1_warc(spark, sf_dir):
     packages = warc.write_packages(table(spark, sf_dir, "pages"))
-    return warc.read_packages(packages).drop("url", "payload")
+    return warc.read_packages(packages, payload=False).drop("url")
 
 
 @query()

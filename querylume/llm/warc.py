@@ -228,31 +228,43 @@ def _listing(batches):
             })
 
 
-def _reading(batches):
-    for batch in batches:
-        store = file = opened = None
-        rows = []
-        for path, start, length in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if path != opened:
-                store, inner = open_store(path)
-                file, opened = store.open_input_file(inner), path
-            file.seek(start)
-            headers, http, payload = parse_record(file.read(length))
-            revisit = headers["warc-type"] == "revisit"
-            digest = headers["warc-payload-digest"].removeprefix("sha256:")
-            if not revisit and hashlib.sha256(payload).hexdigest() != digest:
-                raise ValueError(f"payload of {headers['warc-record-id']} differs from its digest")
-            rows.append({
-                "page_id": _page_id(headers["warc-record-id"]),
-                "url": headers.get("warc-target-uri"),
-                "payload": None if revisit else payload,
-                "payload_bytes": int(http["content-length"]) if revisit else len(payload),
-                "payload_digest": digest, "record_type": headers["warc-type"],
-                "refers_to": _page_id(headers["warc-refers-to"]) if revisit else None,
-            })
-        yield pa.RecordBatch.from_pylist(rows, schema=READ_ARROW)
-
+def _reading(with_payload):
+    schema = READ_ARROW if with_payload else READ_ARROW.remove(READ_ARROW.get_field_index("payload"))
 
+    def read(batches):
+        for batch in batches:
+            store = file = opened = None
+            rows, held = [], 0
+            for path, start, length in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if path != opened:
+                    store, inner = open_store(path)
+                    file, opened = store.open_input_file(inner), path
+                file.seek(start)
+                headers, http, payload = parse_record(file.read(length))
+                revisit = headers["warc-type"] == "revisit"
+                digest = headers["warc-payload-digest"].removeprefix("sha256:")
+                if not revisit and hashlib.sha256(payload).hexdigest() != digest:
+                    raise ValueError(f"payload of {headers['warc-record-id']} differs from its digest")
+                row = {
+                    "page_id": _page_id(headers["warc-record-id"]),
+                    "url": headers.get("warc-target-uri"),
+                    "payload_bytes": int(http["content-length"]) if revisit else len(payload),
+                    "payload_digest": digest, "record_type": headers["warc-type"],
+                    "refers_to": _page_id(headers["warc-refers-to"]) if revisit else None,
+                }
+                if with_payload:
+                    row["payload"] = None if revisit else payload
+                    held += len(payload)
+                rows.append(row)
+                if held >= READ_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+    return read
+
+
+# Payloads that one batch of records holds.
+READ_BYTES = 8 << 20
 READ = (
     "page_id long, url string, payload binary, payload_bytes long, payload_digest string,"
     " record_type string, refers_to long"
@@ -264,14 +276,17 @@ READ_ARROW = pa.schema([
 ])
 
 
-def read_packages(packages: DataFrame) -> DataFrame:
+def read_packages(packages: DataFrame, payload=True) -> DataFrame:
     """Records of packages (path): page_id, url, payload (null for revisits, which hold
-    none), payload_bytes and payload_digest of the full payload, record_type, refers_to.
+    none; only if asked for), payload_bytes and payload_digest of the full payload,
+    record_type, refers_to.
 
     Directories and indexes give the place of every record; ranges of a large package
-    are read by several tasks. A payload that does not match its digest is an error.
+    are read by several tasks, a batch of about READ_BYTES of payloads at a time. A payload
+    that does not match its digest is an error.
     """
     records = packages.repartition("path").mapInArrow(
         _listing, "path string, start long, length long")
     spread = records.repartition("path", F.expr(f"start div {SPLIT_BYTES}"))
-    return spread.sortWithinPartitions("path", "start").mapInArrow(_reading, READ)
+    schema = READ if payload else READ.replace(" payload binary,", "")
+    return spread.sortWithinPartitions("path", "start").mapInArrow(_reading(payload), schema)

@@ -16,7 +16,8 @@ def slow(rows, k=5):
     out = []
     for q in sorted({v for v, _ in whole.values() if v % 3 == 0}):
         query = next(w for v, w in whole.values() if v == q)
-        scored = sorted((-sum(a * b for a, b in zip(query, w)), v) for v, w in whole.values() if v != q)
+        sums = ((sum(a * b for a, b in zip(query, w)), v) for v, w in whole.values() if v != q)
+        scored = sorted((-max(-2**63, min(2**63 - 1, s)), v) for s, v in sums)
         out += [(q, r + 1, v, -s) for r, (s, v) in enumerate(scored[:k])]
     return out
 
@@ -76,3 +77,53 @@ def test_repeated_queries_against_the_sql(spark, tmp_path):
         con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
         want = con.execute(ORACLES["op10_maxscore"]).fetchall()
     assert sorted(map(tuple, op10_maxscore(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_large_components_are_exact(spark, monkeypatch):
+    """One large value, many, and sums beyond 64 bits; ordinary vectors beside them."""
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(300)]
+    rows += [(300, [1.0e6] + [0.5] * 7), (301, [-3.0e7] + [0.25] * 7)]
+    assert got(spark, rows) == slow(as_floats(rows))
+    rows += [(400 + i, [rng.choice([-1, 1]) * 2.0 ** rng.randrange(10, 21) for _ in range(8)]) for i in range(60)]
+    assert got(spark, rows) == slow(as_floats(rows))
+    vast = rows + [(500 + i, [2.0 ** rng.randrange(60, 100)] * 8) for i in range(6)]
+    want = slow(as_floats(vast))
+    assert got(spark, vast) == want
+    monkeypatch.setattr(maxscore, "SHARD_BYTES", 8 * 8 * 50)
+    monkeypatch.setattr(maxscore, "QUERY_ROWS", 9)
+    monkeypatch.setattr(maxscore, "BLOCKS_EACH", 2)
+    assert got(spark, vast) == want
+
+
+def as_floats(rows):
+    import numpy as np
+    return [(i, [float(np.float32(v)) for v in x]) for i, x in rows]
+
+
+def test_large_components_against_the_sql(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(6)]) for i in range(1, 400)] + [(1000, [1.0e6] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    frame.write.parquet(str(tmp_path / "embeddings.parquet"))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = con.execute(ORACLES["op10_maxscore"]).fetchall()
+    assert sorted(map(tuple, op10_maxscore(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_groups_are_dealt_evenly(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(4)]) for i in range(1000)]
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 20)
+    monkeypatch.setattr(maxscore, "QUERY_ROWS", 10)
+    seen = []
+    real = spark.range(0).repartitionById.__func__
+
+    def watched(self, parts, key):
+        out = real(self, parts, key)
+        seen.append([r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()])
+        return out
+    monkeypatch.setattr(type(spark.range(0)), "repartitionById", watched)
+    assert got(spark, rows) == slow(as_floats(rows))
+    assert len(seen[0]) >= 50 and max(seen[0]) <= 2 * sorted(seen[0])[len(seen[0]) // 2]

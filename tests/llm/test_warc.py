@@ -101,3 +101,18 @@ def test_what_is_no_archive():
     for data in (b"", b"PK", b"no archive at all" * 10):
         with pytest.raises(ValueError):
             members(data)
+
+
+def test_batches_are_bounded_by_bytes_and_payloads_left_out(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"{i} " * 400) for i in range(60)], "page_id long, url string, html string")
+    packages = warc.write_packages(pages)
+    whole = sorted(map(tuple, warc.read_packages(packages).collect()))
+    monkeypatch.setattr(warc, "READ_BYTES", 1000)
+    assert sorted(map(tuple, warc.read_packages(packages).collect())) == whole
+    bare = warc.read_packages(packages, payload=False)
+    assert "payload" not in bare.columns
+    assert sorted(map(tuple, bare.collect())) == [w[:2] + w[3:] for w in whole]
+    index = packages.mapInArrow(warc._listing, "path string, start long, length long").toPandas()
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pandas(index, preserve_index=False)
+    assert len(list(warc._reading(True)([batch]))) > 20 and len(list(warc._reading(False)([batch]))) == 1
