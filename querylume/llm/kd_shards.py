@@ -23,10 +23,14 @@ SLOT_ROWS = 50_000
 
 
 def _metadata(docs: DataFrame) -> DataFrame:
+    """What is held of each row, with its ``number``: a hash of where the row was written,
+    so that rows of one id, or of none, are told apart too. It is written with the rows, and
+    read from there ever after."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         "doc_id", (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.md5(text).alias("digest"), "lang", "source",
+        F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("number"),
     )
 
 
@@ -42,7 +46,7 @@ def _with_pieces(rows: DataFrame, unit: int) -> DataFrame:
         rows.groupBy("digest").agg(F.sum("size").alias("held")).filter(F.col("held") > unit)
         .select("digest", F.ceil(F.col("held") / unit).alias("pieces"))
     )
-    piece = F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1).cast("long")))
+    piece = F.pmod("number", F.coalesce("pieces", F.lit(1).cast("long")))
     return rows.join(F.broadcast(heavy), "digest", "left").withColumn("piece", piece).drop("pieces")
 
 
@@ -157,9 +161,10 @@ def kd_shards(docs: DataFrame, n_shards=N_SHARDS) -> DataFrame:
 
     Shard sizes are near equal: apart from the rounding of a cut to a whole unit. Equal
     texts share a shard unless they hold more than GROUP_SHARE of one; then they are dealt
-    by doc_id. Null texts are empty, null metadata is a value of its own. Rows that
-    repeat a doc_id of such a large group stay together. Slots run from 0 in each shard by
-    a hash of the doc_id, in no other order. With fewer units than shards some are empty.
+    by a number that is written with each row, so that rows that repeat a doc_id, or have
+    none, are dealt like any others. Null texts are empty, null metadata is a value of its
+    own. Slots run from 0 in each shard, in no order of the documents. With fewer units than
+    shards some are empty; no rows, no rows.
     """
     spark = docs.sparkSession
     held = written(_metadata(docs), "shard-rows")
@@ -175,13 +180,13 @@ def kd_shards(docs: DataFrame, n_shards=N_SHARDS) -> DataFrame:
     # Slots: rows are numbered in buckets of bounded size, offset by the buckets before.
     buckets = max(1, -(-sums["n"] // (n_shards * SLOT_ROWS)))
     placed = rows.join(shards, ["digest", "piece"]).withColumn(
-        "bucket", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(buckets)))
-    placed = written(placed.select("doc_id", "size", "text_crc32", "shard", "bucket"), "sharded")
+        "bucket", F.pmod(F.xxhash64("number"), F.lit(buckets)))
+    placed = written(placed.select("doc_id", "size", "text_crc32", "shard", "bucket", "number"), "sharded")
     offset = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")
     offsets = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select(
         "shard", "bucket", offset.alias("offset"))
     place = F.row_number().over(
-        Window.partitionBy("shard", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "text_crc32"))
+        Window.partitionBy("shard", "bucket").orderBy("number", "doc_id", "text_crc32"))
     return placed.withColumn("place", place).join(offsets, ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"),
         (F.col("offset") + F.col("place") - 1).cast("long").alias("slot"),
