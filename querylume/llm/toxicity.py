@@ -13,15 +13,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from querylume.llm.common import dropped, remembers, written
+from querylume.llm.common import chunks_of, dropped, remembers, written
 
 # At most so many labelled rows of either class are learnt from, those with the smallest
 # hashes; one in four of them fits the weights, the others choose the terms.
 SAMPLE_ROWS = 10_000
-MAX_TERMS = 4000
-# A term has at least so many contexts in toxic texts, is likelier there by this log odds,
-# and by so many standard errors.
-LEAST_CONTEXTS, LEAST_ODDS, LEAST_Z = 4, 3.5, 3.0
+# A term has at least so many contexts in toxic texts and is likelier there by this log odds.
+LEAST_CONTEXTS, LEAST_ODDS = 4, 3.5
+# The chance, over all words tried, that any one is taken for a term (or a cue of quotation)
+# though it says nothing.
+ALPHA = 0.01
+PIECE_BYTES = 4 << 20
 # A word that clean texts use this often in different surroundings is no misspelling.
 CLEAN_CONTEXTS = 2
 # Edits allowed in a term, by its length.
@@ -30,6 +32,7 @@ EDIT_FACTOR = 0.8
 # The context of a term: so many words on either side, and the marks that touch them.
 CONTEXT, MARKS = 6, 3
 MEMO = 300_000
+STATES = 200_000
 # Weights without evidence: abuse counts fully, quotation a quarter.
 PRIOR = np.array([-4.0, 2.0, 0.5, 1.0])
 RIDGE = 1.0
@@ -37,12 +40,6 @@ RIDGE = 1.0
 WORD = re.compile(r"[^\W_]+")
 SQL_WORD = r"[^\p{L}\p{N}]+"
 OPENING, CLOSING = "\"“«„‘", "\"”»“’"
-# Words that report what somebody else said, in the languages of the corpus.
-REPORTING = frozenset(
-    "said says say wrote writes called calls quote quoted quotes quoting "
-    "dit disait écrit appelé citation cité sagte sagt schrieb nannte zitat zitiert "
-    "dijo dice escribió llamó cita citado".split()
-)
 
 
 class FuzzyTrie:
@@ -64,6 +61,9 @@ class FuzzyTrie:
                 node = self.children[node][c]
             self.allowed[node] = max(self.allowed[node], edits)
             self.term[node] = (number, edits)
+        self._forget()
+
+    def _forget(self):
         self.states, self.nodes, self.moves, self.accepts = {}, [], [], []
         self.dead, self.start = self._state({}), self._state({0: 0})
 
@@ -100,7 +100,10 @@ class FuzzyTrie:
         return self._state(reached)
 
     def match(self, word):
-        """(edits, number of the term) of the nearest term within its edits, or None."""
+        """(edits, number of the term) of the nearest term within its edits, or None. States
+        beyond STATES are forgotten before a word, and made again when they are reached."""
+        if len(self.moves) > STATES:
+            self._forget()
         state = self.start
         for c in word:
             after = self.moves[state].get(c)
@@ -114,12 +117,13 @@ class FuzzyTrie:
 
 @dataclass
 class Lexicon:
-    """Terms with their weights, words that only resemble them, and a memory of the
-    words matched so far."""
+    """Terms with their weights, words that only resemble them, words that mark a term near
+    them as quoted, and a memory of the words matched so far."""
 
     terms: list
     weights: list
     clean: frozenset = frozenset()
+    cues: frozenset = frozenset()
     memo: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
@@ -139,17 +143,21 @@ class Lexicon:
         return {w: memo[w] for w in words if memo[w]}
 
     def __getstate__(self):
-        return {"terms": self.terms, "weights": self.weights, "clean": self.clean}
+        return {c: getattr(self, c) for c in ("terms", "weights", "clean", "cues")}
 
     def __setstate__(self, state):
         self.__init__(**state)
 
 
-def _quoted(text, words, i):
+def _near(words, i):
+    return words[max(0, i - CONTEXT):i + CONTEXT + 1]
+
+
+def _quoted(text, words, i, cues):
     """Whether the i-th of ``words`` (matches) is quoted: a mark opens before it and
-    closes after it within the context window, or a reporting word stands near."""
-    near = words[max(0, i - CONTEXT):i + CONTEXT + 1]
-    if any(m[0] in REPORTING for m in near):
+    closes after it within the context window, or a learnt cue stands near."""
+    near = _near(words, i)
+    if cues and any(m[0] in cues for m in near):
         return True
     before = text[max(0, near[0].start() - MARKS):words[i].start()]
     after = text[words[i].end():near[-1].end() + MARKS]
@@ -169,7 +177,7 @@ def features(text, lexicon):
         words = list(WORD.finditer(low))
         for i, m in enumerate(words):
             if m[0] in found:
-                (quoted if _quoted(low, words, i) else abuse)[m[0]] = found[m[0]]
+                (quoted if _quoted(low, words, i, lexicon.cues) else abuse)[m[0]] = found[m[0]]
     strongest = max(abuse.values(), default=0.0) / 4
     return 1.0, np.log1p(sum(abuse.values())), np.log1p(sum(quoted.values())), strongest
 
@@ -224,19 +232,32 @@ def _word_counts(sample):
         F.sum("t").alias("a"), F.sum(1 - F.col("c")).alias("b"))
 
 
-def _learn_lexicon(sample, max_terms):
-    """The terms that mark toxic texts most surely, weighted by their log odds."""
+def _surprise(hits, misses, share):
+    """Logarithm of how unlikely it is at most (Chernoff's bound) that so many of a word's
+    occurrences are hits, if it had the general ``share`` of them; 0 if it has no more."""
+    n = hits + misses
+    rate = hits / n
+    rest = F.when(misses > 0, (1 - rate) * F.log((1 - rate) / (1 - share))).otherwise(0.0)
+    return F.when(rate > share, n * (rate * F.log(rate / share) + rest)).otherwise(0.0)
+
+
+def _learn_lexicon(sample):
+    """The terms that mark toxic texts, weighted by their log odds. How many words could be
+    terms by their number of occurrences decides how sure one must be: the more are tried,
+    the less chance each is given."""
     spark = sample.sparkSession
     counts = written(_word_counts(sample), "word-counts")
-    totals = counts.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    tried = F.count_if(F.col("a") + F.col("b") >= LEAST_CONTEXTS)
+    totals = counts.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), tried.alias("tried")).first()
     if not totals["a"] or not totals["b"]:
         return Lexicon([], [])
     odds = F.log((F.col("a") + 0.5) / (F.col("b") + 0.5)) - float(
         np.log(totals["a"] + 0.5) - np.log(totals["b"] + 0.5))
-    z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = counts.filter(F.col("a") >= LEAST_CONTEXTS).select("word", odds.alias("odds"), z.alias("z"))
-    best = best.filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
-    rows = best.orderBy(F.desc("z"), "word").limit(max_terms).collect()
+    share = totals["a"] / (totals["a"] + totals["b"])
+    surprise = _surprise(F.col("a"), F.col("b"), share)
+    best = counts.filter(F.col("a") >= LEAST_CONTEXTS).select("word", odds.alias("odds"), surprise.alias("s"))
+    best = best.filter((F.col("s") >= float(np.log(max(1, totals["tried"]) / ALPHA))) & (F.col("odds") >= LEAST_ODDS))
+    rows = best.orderBy(F.desc("s"), "word").collect()
     terms, weights = [r["word"] for r in rows], [r["odds"] for r in rows]
     lexicon = spark.sparkContext.broadcast(Lexicon(terms, weights))
 
@@ -250,13 +271,55 @@ def _learn_lexicon(sample, max_terms):
     clean = counts.filter(F.col("b") >= CLEAN_CONTEXTS).select("word")
     found = frozenset(r["word"] for r in clean.mapInArrow(resembling, "word string").collect())
     dropped(spark, counts)
-    return Lexicon(terms, weights, found)
+    return Lexicon(terms, weights, found, _learn_cues(sample, Lexicon(terms, weights, found)))
+
+
+def _learn_cues(sample, lexicon):
+    """Words that stand near terms in clean texts so much oftener than the same terms do
+    without them that they mark quotation. Each term is held against itself, so that words
+    of a language, or of a kind of text, are not taken for cues. A text counts once for a
+    word and a term. None if no clean text has a term."""
+    if not lexicon.terms:
+        return frozenset()
+    sent = sample.sparkSession.sparkContext.broadcast(lexicon)
+
+    def around(batches):
+        trie, terms = sent.value.trie, sent.value.terms
+        for batch in chunks_of(batches, PIECE_BYTES):
+            out = []
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
+                low = (text.as_py() or "").lower()
+                words = list(WORD.finditer(low))
+                found = {w: terms[trie.match(w)[1]] for w in sent.value.find({m[0] for m in words})}
+                near = {(m[0], found[w[0]]) for i, w in enumerate(words) if w[0] in found for m in _near(words, i)}
+                out += [(w, t, toxic) for w, t in near if w not in found]
+                out += [("", t, toxic) for t in set(found.values())]
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())],
+                names=["word", "term", "toxic"])
+
+    seen = sample.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(
+        around, "word string, term string, toxic long")
+    counts = written(seen.groupBy("word", "term").agg(
+        F.count_if(F.col("toxic") == 0).alias("a"), F.count_if(F.col("toxic") == 1).alias("b")), "cue-counts")
+    # The empty word counts the texts with a term: its share of clean ones.
+    shares = counts.filter("word = ''").select("term", (F.col("a") / (F.col("a") + F.col("b"))).alias("share"))
+    n = F.col("a") + F.col("b")
+    words = counts.filter("word <> ''").join(shares, "term").groupBy("word").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b"), (F.sum(n * F.col("share")) / F.sum(n)).alias("share"))
+    words = written(words.filter(n >= LEAST_CONTEXTS), "cue-words")
+    usable = words.filter((F.col("share") > 0) & (F.col("share") < 1))
+    sure = _surprise(F.col("a"), F.col("b"), F.col("share")) >= float(np.log(max(1, words.count()) / ALPHA))
+    cues = frozenset(r["word"] for r in usable.filter(sure).select("word").collect())
+    dropped(sample.sparkSession, counts, words)
+    return cues
 
 
 def _mapping(lexicon, beta, schema):
     def score(batches):
         words = lexicon.value
-        for batch in batches:
+        for batch in chunks_of(batches, PIECE_BYTES):
             x = np.array([features(t.as_py(), words) for t in batch.column("text")])
             x = x.reshape(batch.num_rows, 4)
             columns = {n: batch.column(n) for n in batch.schema.names if n != "text"}
@@ -274,12 +337,12 @@ class Model:
     beta: np.ndarray
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows=SAMPLE_ROWS, max_terms=MAX_TERMS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows=SAMPLE_ROWS) -> Model:
     """Learn from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic)
     marks, without those held out. Rows that repeat a doc_id are toxic if one of them is;
     null labels count as none. Without rows of both classes nothing is toxic."""
     sample = _sample(docs, labels, sample_rows)
-    lexicon = _learn_lexicon(sample.filter("fold < 3"), max_terms)
+    lexicon = _learn_lexicon(sample.filter("fold < 3"))
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
     schema = pa.schema([("toxic", pa.int64()), ("x", pa.list_(pa.float64()))])
     fitted = sample.filter("fold = 3").select(F.col("toxic").cast("long"), "text").mapInArrow(
@@ -306,7 +369,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns. A null text
+    has no terms; rows without an id, and repeated ones, are judged like any others."""
     sent = docs.sparkSession.sparkContext.broadcast(model.lexicon)
     beta, text = model.beta, docs.columns.index("text")
 

@@ -37,7 +37,7 @@ def test_automaton_finds_the_nearest_term():
 
 
 def test_quotation_counts_less():
-    lexicon = Lexicon(["idiot"], [6.0])
+    lexicon = Lexicon(["idiot"], [6.0], cues=frozenset(["called", "sagte"]))
     plain = features("you are an idiot and that is all", lexicon)
     assert plain[1] > 0 and plain[2] == 0
     for text in ('they shouted "what an idiot" at me', "she called him an idiot", "er sagte idiot zu ihm", "«un idiot»"):
@@ -106,3 +106,41 @@ def test_held_out_rows_are_not_learnt_from(spark, make_docs):
     models = [toxicity.train(frame, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, swapped)]
     assert models[0].lexicon.terms == models[1].lexicon.terms
     assert np.array_equal(models[0].beta, models[1].beta)
+
+
+def test_cues_of_quotation_are_learnt(spark, make_docs):
+    """A word near terms in clean texts marks quotation, in texts not learnt from too."""
+    docs, labels, _ = corpus(1500, 4)
+    rng, plain = random.Random(9), docs[0][1].split() + docs[2][1].split() + docs[3][1].split()
+    for i in range(40):
+        words = [rng.choice(plain) for _ in range(30)]
+        words[10:10] = ["allegedly", rng.choice(["moronic", "scumbag", "worthless", "idiotic"])]
+        docs.append((9000 + i, " ".join(words)))
+        if i < 20:
+            labels.append((9000 + i, 0))
+    frame = make_docs(*docs)
+    model = toxicity.train(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(model.lexicon.terms) == {"moronic", "scumbag", "worthless", "idiotic"}
+    assert model.lexicon.cues == {"allegedly"}
+    found = {r.doc_id for r in toxicity.score(frame, model).filter("predicted = 1").collect()}
+    assert not found & set(range(9000, 9040)) and len(found) > 200
+
+
+def test_words_by_chance_are_no_terms(spark, make_docs):
+    """Thousands of rare words, labels at random: none is a term."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(60))) for i in range(900)]
+    labels = [(i, int(rng.random() < 0.25)) for i, _ in docs]
+    model = toxicity.train(make_docs(*docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.lexicon.terms == [] and model.lexicon.cues == frozenset()
+
+
+def test_states_are_forgotten_and_made_again(monkeypatch):
+    rng = random.Random(7)
+    terms = ["".join(rng.choice("abcde") for _ in range(9)) for _ in range(30)]
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(7, 11))) for _ in range(400)] + terms
+    whole = [FuzzyTrie(terms).match(w) for w in words]
+    monkeypatch.setattr(toxicity, "STATES", 50)
+    trie = FuzzyTrie(terms)
+    assert [trie.match(w) for w in words] == whole
+    assert len(trie.moves) < 1000
