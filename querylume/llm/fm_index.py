@@ -10,16 +10,19 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from querylume.llm.common import chunks_of, remembers
+from querylume.llm.common import chunks_of, dropped, open_store, remembers, written
+from querylume.session import scratch_path
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
 SAMPLE = 8
-# Test phrases go to every task; beyond this many bytes they go in blocks, one after
+# Every task reads the test phrases; beyond this many bytes they come in blocks, one after
 # the other.
 PHRASE_BYTES = 16 << 20
 
@@ -214,10 +217,28 @@ ADDED = (
 )
 
 
-def _scanning(phrases, schema, cut=False):
+_HELD = {}
+
+
+def _phrases(folder, window):
+    """The phrases of one block of items, read where they were written; a worker holds one
+    block at a time."""
+    if (folder, window) not in _HELD:
+        _HELD.clear()
+        store, path = open_store(folder)
+        rows = []
+        for info in store.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+            if info.base_name.endswith(".parquet"):
+                table = pq.read_table(info.path, columns=["item_id", "text"], filesystem=store, partitioning=None)
+                rows += zip(*(c.to_pylist() for c in table.columns))
+        _HELD[folder, window] = Phrases(rows, window)
+    return _HELD[folder, window]
+
+
+def _scanning(folder, window, schema, cut=False):
     def scan(batches):
         remembers()
-        local = phrases.value
+        local = _phrases(folder, window)
         for piece in chunks_of(batches, SHARD_BYTES):
             texts = piece.column("text").to_pylist()
             counts, spans, items = search_shard(texts, local)
@@ -236,20 +257,36 @@ def _scanning(phrases, schema, cut=False):
     return scan
 
 
-def _searched(docs, benchmark, carried, window, phrase_bytes, cut=False):
-    """The blocks of items one after the other; the last one cuts the texts if asked to."""
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text")
+def _blocks(benchmark, phrase_bytes):
+    """The distinct items, written as a table in blocks of about ``phrase_bytes``; its folder
+    and the number of blocks. Nothing of them passes through the driver."""
+    spark = benchmark.sparkSession
+    items = benchmark.select("item_id", "text").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n_blocks = max(1, -(-size // phrase_bytes))
+    folder = scratch_path(spark, "phrases")
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    items.withColumn("block", block).write.partitionBy("block").parquet(folder)
+    return folder, n_blocks
+
+
+def _searched(docs, benchmark, carried, window, phrase_bytes, cut=False):
+    """The blocks of items one after the other; the last one cuts the texts if asked to.
+    What a block found is written before the next, so that tasks hold one at a time."""
+    spark = docs.sparkSession
+    folder, n_blocks = _blocks(benchmark, phrase_bytes)
     found = docs.select("doc_id", "text", *carried)
-    given = found.schema.fields
+    given, before = found.schema.fields, None
     for block in range(n_blocks):
-        some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        phrases = spark.sparkContext.broadcast(Phrases([tuple(r) for r in some.collect()], window))
-        last = cut and block == n_blocks - 1
-        schema = StructType(given if last else given + StructType.fromDDL(ADDED).fields)
-        found = found.mapInArrow(_scanning(phrases, to_arrow_schema(schema), last), schema)
+        last = block == n_blocks - 1
+        schema = StructType(given if cut and last else given + StructType.fromDDL(ADDED).fields)
+        scan = _scanning(f"{folder}/block={block}", window, to_arrow_schema(schema), cut and last)
+        found = found.mapInArrow(scan, schema)
+        if not last:
+            found = written(found, "passages")
+            if before is not None:
+                dropped(spark, before)
+            before = found
     return found
 
 
@@ -262,6 +299,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window=WINDOW,
     A window is ``window`` consecutive words of an item of ``benchmark`` (item_id,
     text), or the whole of a shorter one. Texts that are null or hold no words have no
     windows and no hits; a null item_id is called ``null``; more columns are ignored.
+    Items that repeat an id and a text are one; no items, no hits; no rows, no rows.
     """
     return _searched(docs, benchmark, (), window, phrase_bytes)
 

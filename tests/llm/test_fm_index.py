@@ -89,3 +89,18 @@ def test_index_counts_and_locates():
             for phrase, a, b in zip(phrases.tolist(), low, high):
                 want = [i for i in range(len(symbols) - n + 1) if symbols[i:i + n].tolist() == phrase]
                 assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_repeated_items_are_one_and_blocks_stay_small(spark, make_docs):
+    docs, items = corpus(random.Random(4))
+    many = items + [(99, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")] * 300
+    bench = make_bench(spark, many)
+    folder, n_blocks = fm_index._blocks(bench, 400)
+    sizes = spark.read.parquet(folder).groupBy("block").count().collect()
+    assert n_blocks > 2 and sum(r["count"] for r in sizes) == len(set(many)) < len(many) - 290
+    got = fm_index.find_passages(make_docs(*docs), bench, 10, 400)
+    want = {d: (w, h, i) for d, w, h, i, _, _ in slow(docs[:-1], many)}
+    for r in got.filter("doc_id <> 3").collect():
+        assert (r.n_words, sum(h["end"] - h["start"] for h in r.hits), len(r["items"])) == want[r.doc_id]
+    empty = fm_index.contamination(make_docs(*docs), bench.limit(0)).collect()
+    assert len(empty) == len(docs) and not any(r.contaminated for r in empty)
