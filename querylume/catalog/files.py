@@ -36,6 +36,19 @@ def s2(spark, sf_dir):
     return files.describe_schema(files.read_log(spark, f"{sf_dir}/events.parquet"))
 
 
+LOG_COLUMNS = (
+    "query_id user_id arrival_timestamp compile_duration_ms execution_duration_ms was_cached"
+    " query_type read_table_ids write_table_ids num_joins num_scans mbytes_scanned mbytes_spilled"
+).split()
+
+
+@query("s2_known_values", " UNION ALL ".join(
+    f"SELECT '{c}' AS name, count({c}) AS known, count(*) - count({c}) AS missing FROM query_log"
+    for c in LOG_COLUMNS))
+def s2_known(log):
+    return files.known_values(log)
+
+
 @query("s2_preview", ONLY_LOG_ROWS.format(n=20))
 def s2_preview(log):
     return only_log_rows(files.preview(log), log)

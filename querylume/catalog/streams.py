@@ -9,6 +9,7 @@ from querylume.catalog.summaries import ACCESSES, M1, M3, M4, M5_ROWS
 from querylume.fixture import query_log
 from querylume.operators.filters import of_type
 from querylume.operators.quality import latest_anomalies
+from querylume.plans import distinct
 from querylume.session import scratch_path
 from querylume.sources import messages
 from querylume.streaming import live
@@ -450,3 +451,64 @@ FROM uses GROUP BY table_id
 """))
 def x10_tables(spark, sf_dir):
     return live.table_share_now(spark, out_of_order(spark, sf_dir))
+
+
+# -- distinct queries from stored sets ------------------------------------------------
+
+
+def repeated(spark, sf_dir):
+    """A store that took the log and, later, every third query of it again; refreshed after
+    each, and the second time out of time order."""
+    def make(base, store):
+        log = query_log(spark, sf_dir)
+        for part in (log, log.filter(F.col("query_id") % 3 == 0)):
+            messages.write_messages(_sent(part), {"format": "parquet", "path": f"{base}/messages"})
+            run_to_end(spark, base, store, archive=False, refresh="never")
+            refresh_views(spark, store)
+    return _kept(spark, sf_dir, "repeated", make)
+
+
+def _distinct_sql(key, source, days):
+    return log_sql(f"""
+, twice AS (SELECT * FROM query_log UNION ALL SELECT * FROM query_log WHERE query_id % 3 = 0)
+, picked AS (SELECT * FROM twice WHERE {days})
+, uses AS (
+ SELECT query_id, unnest(string_split(read_table_ids || ',' || write_table_ids, ',')) AS table_id
+ FROM picked
+)
+SELECT {key}, count(DISTINCT query_id) AS count,
+ CAST(count(DISTINCT query_id) AS DOUBLE) / (SELECT count(DISTINCT query_id) FROM picked) * 100
+  AS overall_percentage
+FROM {source} GROUP BY {key}
+""")
+
+
+RANGE = "CAST(arrival_timestamp AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"
+LATEST_DAY = "CAST(arrival_timestamp AS DATE) = (SELECT max(CAST(arrival_timestamp AS DATE)) FROM query_log)"
+
+
+@table_query("q8_type_share_of_range", _distinct_sql("query_type", "picked", RANGE))
+def q8_range(spark, sf_dir):
+    sets = repeated(spark, sf_dir).distinct(spark)
+    return distinct.type_share(sets, "2024-01-05", "2024-01-20")
+
+
+@table_query("q9_table_share_of_range", _distinct_sql("table_id", "uses", RANGE))
+def q9_range(spark, sf_dir):
+    sets = repeated(spark, sf_dir).distinct(spark)
+    return distinct.table_share(sets, "2024-01-05", "2024-01-20")
+
+
+@table_query("q8_type_share_stored", _distinct_sql("query_type", "picked", LATEST_DAY))
+def q8_stored(spark, sf_dir):
+    """The latest day's types, from the stored sets."""
+    store = repeated(spark, sf_dir)
+    day = store.newest_day(spark)
+    return distinct.type_share(store.distinct(spark), day, day)
+
+
+@table_query("q9_table_share_stored", _distinct_sql("table_id", "uses", LATEST_DAY))
+def q9_stored(spark, sf_dir):
+    store = repeated(spark, sf_dir)
+    day = store.newest_day(spark)
+    return distinct.table_share(store.distinct(spark), day, day)

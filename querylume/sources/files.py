@@ -19,6 +19,13 @@ def describe_schema(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, name string, type string")
 
 
+def known_values(df: DataFrame) -> DataFrame:
+    """Per column how many rows have a value in it and how many do not, from one scan."""
+    counts = df.agg(*(F.count(c).alias(c) for c in df.columns), F.count("*").alias("_rows"))
+    known = counts.unpivot(["_rows"], df.columns, "name", "known")
+    return known.select("name", "known", (F.col("_rows") - F.col("known")).alias("missing"))
+
+
 def preview(df: DataFrame, n=PREVIEW_ROWS) -> DataFrame:
     return df.limit(n)
 

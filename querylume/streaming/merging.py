@@ -125,7 +125,7 @@ def vacuum(spark, store: LogStore, older_than=86_400) -> list:
     live = store.live(spark)
     listed = {p.folder for p in live.parts.values()}
     before = (time.time() - older_than) * 1000
-    tables = [*TABLES, "ids"] + sorted({p.table for p in live.parts.values() if p.table.startswith("summaries/")})
+    tables = [*TABLES, "ids", "distinct"] + sorted({p.table for p in live.parts.values() if p.table.startswith("summaries/")})
     gone = []
     for table in dict.fromkeys(tables):
         top = jvm.org.apache.hadoop.fs.Path(store.path(table))

@@ -12,6 +12,7 @@ from functools import partial
 from pyspark.sql import DataFrame, functions as F
 
 from querylume.jobs import run_together
+from querylume.plans.distinct import KEYS, merged, query_sets
 from querylume.plans.views import AMOUNTS, SUMMARIES
 from querylume.sources.files import balanced
 from querylume.streaming.commits import Part, marked
@@ -54,6 +55,23 @@ def _refreshed(spark, store, live, parts, name, new_name):
     return write_part(balanced(added_up(total, name)), store, part), old
 
 
+def _refreshed_sets(spark, store, live, parts, new_name):
+    """The sets of distinct queries of the parts' days: merged with those of the rows that
+    came since. Ids cannot be taken out of a set, so a day some of whose counted rows were
+    replaced is read again as a whole."""
+    again = {p.date for p in parts if p.state == "gone"}
+    days = {p.date for p in parts}
+    held = live.of("main", again)
+    old = live.of("distinct", days)
+    rows = store.read_parts(spark, "main", held + [p for p in parts if p.date not in again])
+    sets = query_sets(rows)
+    kept = [p for p in old if p.date not in again]
+    if kept:
+        sets = merged(sets.unionByName(store.read_parts(spark, "distinct", kept)), KEYS)
+    part = Part("distinct", new_name, first=-1, last=-1)
+    return write_part(balanced(sets), store, part), old, held
+
+
 def refresh_views(spark, store: LogStore, days=None, expired=()) -> list:
     """Bring the summaries of ``days`` (those that need it, for ``None``) up to date, but not
     of ``expired`` ones: what is left of such a day is not the day. Returns the days.
@@ -70,19 +88,21 @@ def refresh_views(spark, store: LogStore, days=None, expired=()) -> list:
         name, made = part_name("r"), []
 
         def one(summary):
-            made.append(_refreshed(spark, store, live, parts, summary, name))
+            made.append((*_refreshed(spark, store, live, parts, summary, name), []))
 
-        run_together(spark, *[partial(one, summary) for summary in SUMMARIES])
-        old = [p for _, parts_before in made for p in parts_before]
+        run_together(spark, *[partial(one, summary) for summary in SUMMARIES],
+                     lambda: made.append(_refreshed_sets(spark, store, live, parts, name)))
+        old = [p for _, parts_before, _ in made for p in parts_before]
+        read = [p for _, _, others in made for p in others]
         done = [False]
 
         def change(now):
-            done[0] = all(now.parts.get(p.folder) == p for p in [*parts, *old])
+            done[0] = all(now.parts.get(p.folder) == p for p in [*parts, *old, *read])
             if not done[0]:
                 return None
             counted = marked([p for p in parts if p.state == "new"], "done")
             gone = [p for p in parts if p.state == "gone"]
-            return [p for new, _ in made for p in new] + counted, old + gone, None
+            return [p for new, _, _ in made for p in new] + counted, old + gone, None
 
         store.commit(spark, change)
         if done[0]:

@@ -70,7 +70,7 @@ def expired_in_store(spark, store: LogStore, days=DAYS_KEPT, before=None) -> lis
 
 
 # What retention takes from a store; the archive, anomalies and live numbers stay.
-EXPIRING = ("main", "ids", *map(summary_table, SUMMARIES))
+EXPIRING = ("main", "ids", "distinct", *map(summary_table, SUMMARIES))
 
 
 def parts_of_days(live, days) -> list:

@@ -32,6 +32,8 @@ _STORED = {
     ),
     "ids": T.StructType().add("block", "integer").add("bits", "binary"),
     "live/hit_rate": BUCKETS,
+    "distinct": T.StructType().add("query_type", "string").add("table_id", "string").add("bucket", "long")
+    .add("few", T.ArrayType(T.IntegerType())).add("bits", "binary"),
 }
 WITHOUT_DAY = {"rejected"}
 # One row per day seen: its rows, its table accesses, the last batch that added some.
@@ -125,6 +127,10 @@ class LogStore:
         """A summary as a reader sees it, percentages computed over what is stored."""
         return SUMMARIES[name][1](self.stored_counts(spark, name))
 
+    def distinct(self, spark) -> DataFrame:
+        """The sets of distinct queries (see ``plans.distinct``), as last refreshed."""
+        return self.read(spark, "distinct")
+
     def register(self, spark) -> None:
         """Temp views over the store, for reports written as SQL text: ``query_log``,
         ``anomalies`` and one view per summary."""

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import CLEAN
-from querylume.plans import views
+from querylume.plans import distinct, views
 from querylume.session import scratch_path
 from querylume.streaming import commits, ids, ingest, live, merging, refresh
 from querylume.streaming.commits import Part, commit, read_live
@@ -342,3 +342,68 @@ def test_stored_ids_are_read_only_for_suspects(spark, store, feed, monkeypatch):
     assert got[2, 205] == got[2, 298] == got[1, 299] == 1 and max(got.values()) == 1
     plan = ingest._unseen(store.read(spark, "main").limit(1), 0, store, {DAY[0]}, lambda df: df)
     assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+# -- distinct queries -------------------------------------------------------------------
+
+
+def slow_sets(spark, store):
+    """Distinct queries by type and by table from the stored rows, range by range."""
+    main = store.read(spark, "main").collect()
+    out = {}
+    for lo in range(1, 5):
+        for hi in range(lo, 5):
+            some = [r for r in main if lo <= r.day.day <= hi and r.query_id is not None]
+            types, tables = {}, {}
+            for r in some:
+                types.setdefault(r.query_type, set()).add(r.query_id)
+                if r.read_table_ids is not None and r.write_table_ids is not None:
+                    for t in f"{r.read_table_ids},{r.write_table_ids}".split(","):
+                        tables.setdefault(t, set()).add(r.query_id)
+            out[lo, hi] = tuple({k: len(v) for k, v in x.items()} for x in (types, tables))
+    return out
+
+
+def same_sets(spark, store):
+    sets = store.distinct(spark)
+    for (lo, hi), (types, tables) in slow_sets(spark, store).items():
+        got = distinct.type_share(sets, DAY[lo - 1], DAY[hi - 1]).collect()
+        assert {r.query_type: r["count"] for r in got} == types
+        got = distinct.table_share(sets, DAY[lo - 1], DAY[hi - 1]).collect()
+        assert {r.table_id: r["count"] for r in got} == tables
+
+
+def use(day, query_id, reads, writes="9", kind="select"):
+    return on(day, query_id, read_table_ids=reads, write_table_ids=writes, query_type=kind)
+
+
+@pytest.mark.parametrize("few", [0, 2, 1024])
+def test_distinct_queries_of_any_range_come_from_stored_sets(spark, store, feed, monkeypatch, few):
+    monkeypatch.setattr(distinct, "FEW", few)
+    feed(0, message(use(1, 1, "1,1,2"), use(1, 1, "2"), use(2, 1, "1"), use(1, None, "1"), use(3, -40_000, "5", "1"),
+                    use(3, 0, "5"), use(1, 2, "3", None), use(4, 9, "7", "7", "copy")))
+    refresh_views(spark, store)
+    feed(1, message(use(1, 1, "2"), use(1, 70_000, "1"), use(2, 3_000_000_000_000, "1,4", kind="copy"), use(4, 32_768, "1"),
+                    use(4, 32_769, "1")))
+    refresh_views(spark, store)
+    same_sets(spark, store)
+    # A replay takes queries away again.
+    feed(1, message(use(1, 70_000, "6"), use(2, 5, "1")))
+    refresh_views(spark, store)
+    same_sets(spark, store)
+    for _ in range(2):
+        feed(1, message(use(2, 5, "1")))
+    refresh_views(spark, store)
+    same_sets(spark, store)
+
+
+def test_full_buckets_are_bitmaps(spark):
+    rows = spark.range(5000).select(
+        F.lit(DAY[0]).alias("day"), F.lit("select").alias("query_type"), (F.col("id") * 7).alias("query_id"),
+        F.when(F.col("id") % 500 == 0, "3").alias("read_table_ids"), F.lit("4").alias("write_table_ids"))
+    sets = distinct.query_sets(rows).collect()
+    # The ids 1 to 32,768 share a bucket; of table 3 and 4 it holds ten of them at most.
+    assert {(r.table_id, r.bits is not None) for r in sets if r.bucket == 1} == {
+        (None, True), ("3", False), ("4", False)}
+    again = distinct.query_sets(rows.union(rows))
+    assert distinct.distinct_counts(again, ["table_id"]).filter("table_id IS NULL").first()["count"] == 5000
