@@ -119,7 +119,7 @@ SELECT CAST(i AS INTEGER) AS chunk, true AS fair FROM range(10) t(i)
 def w1(log):
     """Every chunk by its number, and whether it has a tenth of the rows, but for one row of
     each partition."""
-    parts = log.agg(F.count_distinct(F.spark_partition_id())).scalar()
+    parts = log.select(F.spark_partition_id().alias("part")).agg(F.count_distinct("part")).scalar()
     total = log.agg(F.count("*")).scalar()
     sizes = log.groupBy(windows.chunk_id(10).alias("chunk")).agg(F.count("*").alias("n"))
     return sizes.select("chunk", (F.abs(F.col("n") * 10 - total) <= 10 * parts).alias("fair"))
