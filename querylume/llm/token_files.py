@@ -132,15 +132,18 @@ def write_token_files(docs: DataFrame, vocabulary, end_id, dtype="<u2", length=L
 
     Returns the written manifest, one row per file: part (files in ascending doc_id
     order), path, n_tokens, and its documents with their lengths. A null text is empty,
-    so every row has at least its end id; equal doc_ids follow each other by text; a
-    null doc_id comes first. No rows, no files. A task that runs again writes a new file, and only the file of the
-    attempt that counted is in the manifest.
+    so every row has at least its end id; equal doc_ids follow each other by a hash of
+    the text; a null doc_id comes first. Rows of one id, and repeated rows, are cut over
+    several tasks like any others; for that the rows must come from a scan or a written
+    table, which a repeated task reads in the same order. No rows, no files. A task that
+    runs again writes a new file, and only the file of the attempt that counted is in the
+    manifest.
     """
     folder = shared_folder(docs.sparkSession, "tokens")
-    ordered = (
-        docs.select("doc_id", "text").repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-    )
+    keys = ["doc_id", "spread", "place"]
+    placed = docs.select("doc_id", "text", F.xxhash64("text").alias("spread"),
+                         F.xxhash64(F.monotonically_increasing_id()).alias("place"))
+    ordered = placed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     write = _writing(folder, vocabulary, end_id, dtype, length)
     return written(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 

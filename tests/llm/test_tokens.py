@@ -116,3 +116,21 @@ def test_separators_across_blocks(spark, tmp_path, block):
         if start < n:
             want.append((path, ordinal, start, n - start, False))
     assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_rows_of_one_id_are_cut_over_several_files(spark, make_docs):
+    """Half of all rows without an id, half of these repeated."""
+    rows = [(None, f"text {i % 150} of many words " * 3) for i in range(300)] + [(i, f"own text {i}") for i in range(300)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write_token_files(make_docs(*rows).repartition(6), PATH, 2).cache()
+        held = [sum(i is None for i in r.doc_ids) for r in manifest.orderBy("part").collect()]
+        got = token_files.read_digests(manifest).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(held) == 300 and max(held) < 200 and sum(h > 0 for h in held) >= 3
+    by_start = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in by_start] == [None] * 300 + list(range(300))
+    ends = [0, *(r.start + r.n_tokens for r in by_start)]
+    assert [r.start for r in by_start] == ends[:-1]
