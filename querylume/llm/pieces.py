@@ -156,7 +156,8 @@ def encoder(path):
 def encoded(docs: DataFrame, path) -> DataFrame:
     """The rows of ``docs`` with all their columns, pieces (the ids of the whole text) and
     restored (whether the ids decode to the text), in the place of columns of these names
-    if there are any. A null text has no pieces."""
+    if there are any. A null or empty text has no pieces; rows that repeat are encoded each,
+    and no rows give no rows."""
     given = docs.drop("pieces", "restored")
     schema = StructType(given.schema.fields + [
         StructField("pieces", ArrayType(IntegerType())), StructField("restored", BooleanType())])
@@ -205,7 +206,8 @@ def round_trip(docs: DataFrame, path) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 and decoded_sha256 (of the text the ids decode to) of
     every row of ``docs``: ``encoded`` and ``decoded`` in one task, without the lists in
     between. A text comes back as it was, but for the sign that stands for spaces, which
-    becomes one; a null comes back empty."""
+    becomes one; a null comes back empty. Rows that repeat come back each, and no rows give
+    no rows."""
     def both(batches):
         model = encoder(path)
         for piece in chunks_of(batches, PIECE_BYTES):
