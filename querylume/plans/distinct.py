@@ -29,26 +29,35 @@ def query_sets(rows: DataFrame) -> DataFrame:
         *KEYS, F.expr("bitmap_bucket_number(query_id)").alias("bucket"),
         F.expr("bitmap_bit_position(query_id)").cast("int").alias("place"))
     lists = places.groupBy(*KEYS, "bucket").agg(F.collect_set("place").alias("few"))
-    return merged(lists.withColumn("bits", F.lit(None).cast("binary")), KEYS)
+    sparse = F.size("few") <= FEW
+    by = [*KEYS, "bucket"]
+    return _together(lists.filter(sparse), _bitmaps(lists.filter(~sparse), by), by)
+
+
+def _together(lists, bitmaps, by):
+    return lists.select(*by, "few", F.lit(None).cast("binary").alias("bits")).unionByName(
+        bitmaps.select(*by, F.lit(None).cast("array<int>").alias("few"), "bits"))
+
+
+def _bitmaps(lists, by):
+    """The places of ``few`` as bits."""
+    return lists.select(*by, F.explode("few").alias("place")).groupBy(*by).agg(
+        F.expr("bitmap_construct_agg(place)").alias("bits"))
 
 
 def merged(sets: DataFrame, keys) -> DataFrame:
     """Sets of one of ``keys`` and bucket as one: few (places) or bits. A bucket holds 32,768
-    ids at most, so a group's lists are bounded by the number of sets times FEW."""
+    ids at most, so a group's lists are bounded by the number of sets times FEW. Bitmaps take
+    a way of their own: beside the lists each group would carry 4 kB, most of them empty."""
     by = [*keys, "bucket"]
-    both = sets.groupBy(*by).agg(
+    lists = sets.groupBy(*by).agg(
         F.array_distinct(F.flatten(F.collect_list("few"))).alias("few"),
-        F.expr("bitmap_or_agg(bits) FILTER (WHERE bits IS NOT NULL)").alias("bits"),
         F.max(F.col("bits").isNotNull()).alias("full"))
     sparse = ~F.col("full") & (F.size("few") <= FEW)
-    lists = both.filter(sparse).select(*by, "few", F.lit(None).cast("binary").alias("bits"))
-    rest = both.filter(~sparse)
-    made = rest.select(*by, F.explode("few").alias("place")).groupBy(*by).agg(
-        F.expr("bitmap_construct_agg(place)").alias("bits"))
-    bitmaps = rest.filter("full").select(*by, "bits").unionByName(made).groupBy(*by).agg(
+    full = sets.filter(F.col("bits").isNotNull()).select(*by, "bits")
+    bitmaps = full.unionByName(_bitmaps(lists.filter(~sparse), by)).groupBy(*by).agg(
         F.expr("bitmap_or_agg(bits)").alias("bits"))
-    return lists.unionByName(bitmaps.select(
-        *by, F.lit(None).cast("array<int>").alias("few"), "bits"))
+    return _together(lists.filter(sparse), bitmaps, by)
 
 
 def distinct_counts(sets: DataFrame, keys) -> DataFrame:

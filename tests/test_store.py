@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import CLEAN
+from conftest import CLEAN, first_plan
 from querylume.plans import distinct, views
 from querylume.session import scratch_path
 from querylume.streaming import commits, ids, ingest, live, merging, refresh
@@ -407,3 +407,18 @@ def test_full_buckets_are_bitmaps(spark):
         (None, True), ("3", False), ("4", False)}
     again = distinct.query_sets(rows.union(rows))
     assert distinct.distinct_counts(again, ["table_id"]).filter("table_id IS NULL").first()["count"] == 5000
+
+
+def test_sets_without_bitmaps_carry_none_through_a_merge(spark):
+    """A bitmap takes 4 kB of every group it is aggregated in, so lists go without."""
+    rows = spark.range(3000).select(
+        F.lit(DAY[0]).alias("day"), F.lit("select").alias("query_type"), F.col("id").alias("query_id"),
+        (F.col("id") % 1500).cast("string").alias("read_table_ids"), F.lit("x").alias("write_table_ids"))
+    assert "bitmap_or_agg" not in first_plan(distinct.query_sets(rows))
+    two = distinct.query_sets(rows).unionByName(distinct.query_sets(rows.filter("query_id % 2 = 0")))
+    both = distinct.merged(two, distinct.KEYS)
+    plan = first_plan(both)
+    beside = [line for line in plan.splitlines() if "Aggregate" in line and "collect_list" in line]
+    assert "bitmap_or_agg" in plan and beside and not any("bitmap_or_agg" in line for line in beside)
+    want = {(r.table_id, r.bucket): (sorted(r.few or []), r.bits) for r in distinct.query_sets(rows).collect()}
+    assert {(r.table_id, r.bucket): (sorted(r.few or []), r.bits) for r in both.collect()} == want
