@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from querylume.functions.casts import to_ts_lenient
 from querylume.jobs import run_together
 from querylume.operators.cleaning import clean_log, conform
+from querylume.operators.filters import TYPE_KEY
 from querylume.operators.projections import with_day
 from querylume.operators.quality import anomalies
 from querylume.schema import STREAM_COLUMNS
@@ -38,14 +39,15 @@ def drop_duplicates(rows: DataFrame) -> DataFrame:
     return known.select("r.*").unionByName(unknown)
 
 
-def _unseen(rows, batch_id, store, days, kept):
+def _unseen(rows, batch_id, store, days, kept, came=None):
     """Without the rows whose id an earlier batch has stored for the same day. Batches
     from this one on do not count, so a replay decides as the first run did.
 
     The filters of stored ids (see ``ids``) say which ids may be there and in which parts;
     only these parts' ids are read, and only when there are any. A day that retention has
     removed, or that is not stored yet, has no filter, so its rows stay. ``kept`` persists
-    a frame until the batch is done.
+    a frame until the batch is done. ``came`` (day, query_id) names the ids to look for and
+    maybe others, where that is cheaper than to derive ``rows`` once more.
     """
     spark = rows.sparkSession
     live = store.live(spark)
@@ -55,7 +57,7 @@ def _unseen(rows, batch_id, store, days, kept):
     heads = spark.createDataFrame(
         [(p.date, p.name, p.blocks) for p in held], "day date, part string, blocks long")
     blocks = store.read_parts(spark, "ids", held, with_part=True)
-    maybe = kept(suspects(rows, heads, blocks))
+    maybe = kept(suspects(rows if came is None else came, heads, blocks))
     met = {(r["day"], r["part"]) for r in maybe.select("day", "part").distinct().collect()}
     parts = [p for p in live.of("main", days) if (p.date, p.name) in met]
     if not parts:
@@ -71,8 +73,9 @@ def _ids_per_day(rows):
     return {r["day"]: r["n"] for r in rows.groupBy("day").agg(F.count("query_id").alias("n")).collect()}
 
 
-def add_filters(rows, batch_id, store, name, known):
+def add_filters(rows, batch_id, store, name):
     """Filters of the ids the batch stores; returns the parts to commit."""
+    known = _ids_per_day(rows)
     made = filters(rows, day_blocks(rows.sparkSession, known))
     parts = write_part(made, store, batch_part("ids", batch_id, name))
     return [replace(p, blocks=blocks_for(known[p.date])) for p in parts]
@@ -83,10 +86,12 @@ def ingest_batch(messages: DataFrame, batch_id: int, store: LogStore, *, dedupe=
                  retention_days=None) -> None:
     """Check and store one micro-batch.
 
-    The decoded messages, and the typed rows spread as they are written, are kept for the
-    duration of the batch: every output reads them. The writes run side by side, each into
-    folders of this try alone, and one commit switches them all in; what an earlier try of
-    the batch committed goes in the same commit.
+    The decoded messages are kept for the duration of the batch. The main table is written
+    first, and what else is made of the typed rows reads them from there: a written part is
+    cut into even files, while a frame that is persisted keeps the partitions of its shuffle,
+    one for a day however long. The other writes run side by side, each into folders of this
+    try alone, and one commit switches them all in; what an earlier try of the batch committed
+    goes in the same commit.
 
     ``dedupe`` stores one row per query id and day, also over batches. ``live`` keeps the
     live numbers. ``refresh`` is ``"day_change"`` (when a day shows up for the first
@@ -109,18 +114,18 @@ def ingest_batch(messages: DataFrame, batch_id: int, store: LogStore, *, dedupe=
         undated = _undated(texts).withColumn("reason", F.lit(UNDATED))
         rows = clean_log(conform(texts))
         if dedupe:
-            rows = kept(with_day(drop_duplicates(rows)))
-            rows = _unseen(rows, batch_id, store, set(_ids_per_day(rows)), kept)
-        typed = kept(balanced(with_day(rows)))
-        known = _ids_per_day(typed)
+            came = with_day(rows).select("day", "query_id")
+            days = {r["day"] for r in came.select("day").distinct().collect()}
+            rows = _unseen(with_day(drop_duplicates(rows)), batch_id, store, days, kept, came)
+        made.extend(append_log(balanced(with_day(rows)), batch_id, store, name))
+        typed = store.read_parts(spark, "main", made).drop(TYPE_KEY, "batch_id")
         writes = [
             lambda: made.extend(append_anomalies(anomalies(texts), batch_id, store, name)),
             lambda: made.extend(append_rejected(unreadable.unionByName(undated), batch_id, store, name)),
-            lambda: made.extend(append_log(typed, batch_id, store, name)),
             lambda: add_days(typed, batch_id, store),
         ]
         if dedupe:
-            writes.append(lambda: made.extend(add_filters(typed, batch_id, store, name, known)))
+            writes.append(lambda: made.extend(add_filters(typed, batch_id, store, name)))
         if archive:
             writes.append(lambda: made.extend(append_log(typed, batch_id, store, name, "archive")))
         if live:

@@ -422,3 +422,25 @@ def test_sets_without_bitmaps_carry_none_through_a_merge(spark):
     assert "bitmap_or_agg" in plan and beside and not any("bitmap_or_agg" in line for line in beside)
     want = {(r.table_id, r.bucket): (sorted(r.few or []), r.bits) for r in distinct.query_sets(rows).collect()}
     assert {(r.table_id, r.bucket): (sorted(r.few or []), r.bits) for r in both.collect()} == want
+
+
+@pytest.mark.parametrize("dedupe", [False, True])
+def test_a_long_day_of_a_batch_is_written_by_several_tasks(spark, store, dedupe):
+    names = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {n: spark.conf.get(n, None) for n in names}
+    texts = [message(*[on(1, 1000 * m + i, user_id=37 * i) for i in range(300)]) for m in range(8)]
+    try:
+        for n, value in names.items():
+            spark.conf.set(n, value)
+        sent = spark.createDataFrame([(t,) for t in texts], "value string").repartition(8)
+        ingest_batch(sent, 0, store, dedupe=dedupe, live=True, archive=True, refresh="never")
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value) if value else spark.conf.unset(n)
+    main = store.read(spark, "main")
+    assert len(main.inputFiles()) > 1
+    assert rows(spark, store) == rows(spark, store, "archive") == Counter(
+        (1, 1000 * m + i) for m in range(8) for i in range(300))
+    assert [r.rows for r in store.days(spark).collect()] == [2400]
+    assert live.headline_now(spark, store).first().total_queries == 2400
