@@ -118,7 +118,7 @@ def ingest_batch(messages: DataFrame, batch_id: int, store: LogStore, *, dedupe=
             days = {r["day"] for r in came.select("day").distinct().collect()}
             rows = _unseen(with_day(drop_duplicates(rows)), batch_id, store, days, kept, came)
         made.extend(append_log(balanced(with_day(rows)), batch_id, store, name))
-        typed = store.read_parts(spark, "main", made).drop(TYPE_KEY, "batch_id")
+        typed = store.read_written(spark, "main", name, made).drop(TYPE_KEY, "batch_id")
         writes = [
             lambda: made.extend(append_anomalies(anomalies(texts), batch_id, store, name)),
             lambda: made.extend(append_rejected(unreadable.unionByName(undated), batch_id, store, name)),

@@ -71,15 +71,23 @@ class LogStore:
 
     def read_parts(self, spark, table: str, parts, with_part=False) -> DataFrame:
         """The rows of some parts of a table; only their folders are listed."""
+        return self._read(spark, table, [p.folder for p in parts], with_part)
+
+    def read_written(self, spark, table: str, name: str, parts) -> DataFrame:
+        """The rows a writer has just put into ``parts``, all days of ``name``, by the one
+        folder they share; committed or not."""
+        return self._read(spark, table, [f"{table}/part={name}"] if parts else [], False)
+
+    def _read(self, spark, table, folders, with_part):
         schema = self._schema(spark, table)
         day = [] if table in WITHOUT_DAY else _DAY
-        if not parts:
+        if not folders:
             empty = spark.createDataFrame([], T.StructType(schema.fields + _PART + day))
             return empty if with_part else empty.drop("part")
         found = (
             spark.read.schema(T.StructType(schema.fields + _PART + day))
             .option("basePath", self.path(table))
-            .parquet(*(f"{self.root}/{p.folder}" for p in parts))
+            .parquet(*(f"{self.root}/{folder}" for folder in folders))
         )
         return found if with_part else found.drop("part")
 
