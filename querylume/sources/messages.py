@@ -21,6 +21,9 @@ JSON_OPTIONS = {
 # monotonically_increasing_id holds the row's place in its partition in the lower
 # 33 bits, as documented.
 _PLACE_BITS = (1 << 33) - 1
+# A message is long: the 4096 rows that a Parquet reader takes at a time would be near a GB
+# of text. It takes no more than a row group has, so these are small (compressed bytes).
+ROW_GROUP_BYTES = 1 << 20
 
 
 # -- encoding -------------------------------------------------------------------
@@ -59,6 +62,8 @@ def write_messages(messages: DataFrame, sink: dict) -> None:
     out = messages.select("value")
     if sink["format"] == "kafka":
         out = out.select(F.encode("value", "UTF-8").alias("value"))
+    if sink["format"] == "parquet":
+        options = {"parquet.block.size": str(ROW_GROUP_BYTES), **options}
     out.write.format(sink["format"]).options(**options).mode("append").save()
 
 

@@ -1,5 +1,6 @@
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,18 @@ def test_input_limits_and_start(spark, tmp_path):
     source = {"format": "parquet", "path": str(tmp_path)}
     assert messages.message_stream(spark, source, max_files=3).columns == ["value"]
     assert messages.read_batches(spark, source).columns == list(CLEAN)
+
+
+def test_message_files_have_short_row_groups(spark, tmp_path):
+    """A Parquet reader holds up to 4096 rows of a row group, which is a GB of long messages."""
+    long = spark.range(600).repartition(1).select(F.expr("repeat(md5(string(id)), 4000)").alias("value"))
+    sink = {"format": "parquet", "path": str(tmp_path / "messages")}
+    messages.write_messages(long, sink)
+    groups = []
+    for name in (tmp_path / "messages").glob("*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        groups += [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+    assert sum(groups) == 600 and max(groups) <= 200
+    read = messages.read_messages(spark, sink)
+    assert read.select(F.md5("value")).distinct().count() == 600
+    assert read.agg(F.sum(F.length("value"))).first()[0] == 600 * 4000 * 32
