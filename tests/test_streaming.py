@@ -2,10 +2,12 @@ import datetime
 import json
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import CLEAN
+from querylume.catalog.streams import write_log_messages
 from querylume.plans import reports, views
 from querylume.session import scratch_path
 from querylume.sources import files
@@ -269,3 +271,17 @@ def test_retention_in_the_ingest(spark, store, feed):
     refresh_views(spark, store, expired=DAY[:2])
     summary = {r.day: r.total_queries for r in store.summary(spark, "hit_rate").collect()}
     assert summary == {DAY[4]: 2, DAY[5]: 1, datetime.date(2099, 1, 1): 1}
+
+
+def test_no_reader_of_the_log_messages_holds_a_whole_file(spark, tmp_path):
+    spark.range(10).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 10:00:00' AS ts", "id AS user_id",
+        "'view' AS event_type", "1.5 AS value", """'{"k": 2}' AS props""",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(600).coalesce(1).selectExpr("repeat(md5(string(id)), 4000) AS text").write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    write_log_messages(spark, str(tmp_path), str(tmp_path / "messages"))
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "messages").glob("*.parquet")]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    texts = spark.read.parquet(str(tmp_path / "messages")).filter("value NOT LIKE '[%'")
+    assert texts.distinct().count() == 600 and max(groups) <= 200
